@@ -19,7 +19,8 @@ PRIVATE_V4 = ["0.0.0.0/8", "10.0.0.0/8", "127.0.0.0/8", "169.254.0.0/16", "172.1
 PUBLIC_INSIDE_PRIVATE = ["192.0.0.9/32", "192.0.0.10/32"]
 PRIVATE_V6 = r"(?i)^(::1?$|::ffff:0?|f[cd][0-9a-f]{2}:|fe[89ab][0-9a-f]:|2001:db8:|100::)"
 
-IPV4_PATTERN = r"^(0|[1-9]\d{0,2})\.(0|[1-9]\d{0,2})\.(0|[1-9]\d{0,2})\.(0|[1-9]\d{0,2})$"
+_OCTET = r"(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+IPV4_PATTERN = rf"^{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}$"
 
 
 def _col(value) -> Column:
@@ -30,11 +31,8 @@ def ip_to_long(ip) -> Column:
     """Numeric value of a dotted IPv4 address, null when it is not one."""
     ip = _col(ip)
     octet = [F.substring_index(F.substring_index(ip, ".", i + 1), ".", -1).try_cast("long") for i in range(4)]
-    valid = ip.rlike(IPV4_PATTERN)
-    for part in octet:
-        valid = valid & (part <= 255)
     value = octet[0] * 16777216 + octet[1] * 65536 + octet[2] * 256 + octet[3]
-    return F.when(valid, value)
+    return F.when(ip.rlike(IPV4_PATTERN), value)
 
 
 def long_to_ip(value) -> Column:
@@ -43,31 +41,32 @@ def long_to_ip(value) -> Column:
                               for s in (24, 16, 8, 0)])
 
 
-def _in_networks(value: Column, networks: list[str]) -> Column:
-    hit = F.lit(False)
-    for text in networks:
-        net = ipaddress.ip_network(text)
-        hit = hit | value.between(int(net.network_address), int(net.broadcast_address))
-    return hit
+def _in_networks(value: Column, networks: list[str], but: list[str] = ()) -> Column:
+    """Is the address in any of the networks? The lambda makes Spark compute ``value`` once."""
+    def any_of(v, listed):
+        hit = F.lit(False)
+        for text in listed:
+            net = ipaddress.ip_network(text)
+            hit = hit | v.between(int(net.network_address), int(net.broadcast_address))
+        return hit
+    return F.exists(F.array(value), lambda v: any_of(v, networks) & ~any_of(v, but) if but else any_of(v, networks))
 
 
 def is_non_routable(ip) -> Column:
     """True for addresses the geo lookup skips; text that is no address counts as such."""
     ip = _col(ip)
-    value = ip_to_long(ip)
     v6 = ip.contains(":") & ~ip.rlike(NON_ROUTABLE_V6)
     return F.coalesce(
-        F.when(value.isNotNull(), _in_networks(value, NON_ROUTABLE_V4)).otherwise(~v6),
+        F.when(ip.rlike(IPV4_PATTERN), _in_networks(ip_to_long(ip), NON_ROUTABLE_V4)).otherwise(~v6),
         F.lit(True))
 
 
 def is_private(ip) -> Column:
     """True for addresses that are not globally reachable; false when it is no address."""
     ip = _col(ip)
-    value = ip_to_long(ip)
-    v4 = _in_networks(value, PRIVATE_V4) & ~_in_networks(value, PUBLIC_INSIDE_PRIVATE)
+    v4 = _in_networks(ip_to_long(ip), PRIVATE_V4, PUBLIC_INSIDE_PRIVATE)
     return F.coalesce(
-        F.when(value.isNotNull(), v4).otherwise(ip.contains(":") & ip.rlike(PRIVATE_V6)),
+        F.when(ip.rlike(IPV4_PATTERN), v4).otherwise(ip.contains(":") & ip.rlike(PRIVATE_V6)),
         F.lit(False))
 
 

@@ -104,16 +104,15 @@ class DistinctChunk:
         """Every place before this chunk that may hold the last firing; about n of them."""
         before = np.arange(self.open_start, self.first)
         able = before[self.candidate[before] & (self.previous[before] < self.span[before])]
-        self.at = {self._label(r): int(r) for r in able if self._next(self._start_after(r)) >= self.first}
-        return [NONE, *self.at]
+        return [NONE, *(self._label(r) for r in able if self._next(self._start_after(r)) >= self.first)]
 
     def fire(self, entry: str):
         """(row, items in the window by last sight) pairs, and the entry of the next chunk."""
         start = self.open_start
         if entry != NONE:
             when, item = entry.split("|", 1)
-            place = np.flatnonzero((self.ts[:self.first] == int(when)) & (self.items[:self.first] == item))
-            start = self._start_after(int(place[0]))
+            low, high = np.searchsorted(self.ts[:self.first], [int(when), int(when) + 1])
+            start = self._start_after(next(r for r in range(low, high) if self.items[r] == item))
         fired = []
         row = self._next(start, self.first)
         while row < len(self.ts):

@@ -9,6 +9,7 @@ that really happened.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -22,28 +23,58 @@ MIN_CHUNK_MS = 600_000
 STORED_ITEMS = 20  # Fixed value: items kept with a firing.
 
 
-def _chunk_of(pdf: pd.DataFrame, n: int, window_ms: int, length_ms: int, distinct: bool):
-    start = int(pdf["chunk"].iloc[0]) * length_ms
-    order = ["ts_ms", "item"] if distinct else ["ts_ms"]
-    pdf = pdf.sort_values(order, kind="stable")
-    ts, counts = pdf["ts_ms"].to_numpy(np.int64), pdf["cnt"].to_numpy(np.int64)
-    first = int((~pdf["own"]).sum())
+def _in_key_order(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Partition by ``keys`` and sort; the count is given so that AQE keeps the Python work spread."""
+    count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(count, *keys).sortWithinPartitions(*keys, *order)
+
+
+def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, int, dict]]:
+    """(key, chunk, columns as arrays) of each run of equal key and chunk in sorted batches."""
+    open_parts: list[dict] = []
+    for pdf in batches:
+        columns = {name: pdf[name].to_numpy() for name in pdf.columns}
+        key, chunk = columns["key"], columns["chunk"]
+        cuts = np.flatnonzero((key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1])) + 1
+        for low, high in zip([0, *cuts], [*cuts, len(key)]):
+            if low == high:
+                continue
+            part = {name: values[low:high] for name, values in columns.items()}
+            if open_parts and (open_parts[0]["key"][0], open_parts[0]["chunk"][0]) != (part["key"][0], part["chunk"][0]):
+                yield _joined(open_parts)
+                open_parts = []
+            open_parts.append(part)
+    if open_parts:
+        yield _joined(open_parts)
+
+
+def _joined(parts: list[dict]) -> tuple[str, int, dict]:
+    whole = parts[0] if len(parts) == 1 else {n: np.concatenate([p[n] for p in parts]) for n in parts[0]}
+    return whole["key"][0], int(whole["chunk"][0]), whole
+
+
+def _chunk_of(number: int, rows: dict, n: int, window_ms: int, length_ms: int, distinct: bool):
+    ts, counts = rows["ts_ms"].astype(np.int64), rows["cnt"].astype(np.int64)
+    first = int((~rows["own"].astype(bool)).sum())
     if distinct:
-        return DistinctChunk(ts, pdf["item"].to_numpy(object), counts, first, n, window_ms, start,
-                             start + length_ms)
-    return CountChunk(ts, counts, first, n, window_ms, start + length_ms)
+        return DistinctChunk(ts, rows["item"], counts, first, n, window_ms, number * length_ms,
+                             (number + 1) * length_ms)
+    return CountChunk(ts, counts, first, n, window_ms, (number + 1) * length_ms)
+
+
+def _firings(key, chunk, fired, distinct: bool) -> Iterator[tuple]:
+    for row, what in fired:
+        yield (key, int(chunk.ts[row]), chunk.items[row] if distinct else None, 1 if distinct else what,
+               what[:STORED_ITEMS] if distinct else [])
 
 
-def _firings(pdf_key, chunk, fired, distinct: bool) -> pd.DataFrame:
-    return pd.DataFrame({
-        "key": [pdf_key] * len(fired),
-        "ts_ms": [int(chunk.ts[row]) for row, _ in fired],
-        "item": [chunk.items[row] if distinct else None for row, _ in fired],
-        "times": [1 if distinct else what for _, what in fired],
-        "items": [what[:STORED_ITEMS] if distinct else [] for _, what in fired],
-    }, dtype=object)
+def _frames(rows: Iterator[tuple], names: list[str], size: int = 5000) -> Iterator[pd.DataFrame]:
+    """Rows as frames of a few thousand; one small frame per chunk would cost more than the work."""
+    while batch := list(islice(rows, size)):
+        yield pd.DataFrame(batch, columns=names, dtype=object)
 
 
+FIRING_COLUMNS = ["key", "ts_ms", "item", "times", "items"]
 FIRING = "key string, ts_ms long, item string, times long, items array<string>"
 
 
@@ -53,7 +84,7 @@ def _ticks(rows: DataFrame, distinct: bool) -> DataFrame:
 
 
 def _able(chunks: DataFrame, n: int) -> DataFrame:
-    """Drop chunks with fewer events than a firing needs; same partitioning as the grouping after it."""
+    """Drop chunks with fewer events than a firing needs."""
     total = F.sum("cnt").over(Window.partitionBy("key", "chunk"))
     return chunks.withColumn("_total", total).filter(F.col("_total") >= n).drop("_total")
 
@@ -72,35 +103,38 @@ def reset_fold(rows: DataFrame, n: int, window_seconds: int, distinct: bool) ->
     lookback = (2 if distinct else 1) * window_ms
     length = max(2 * window_ms, MIN_CHUNK_MS)
     chunks = _able(time_chunks(_ticks(rows, distinct), length, lookback), n)
-
-    def ways(pdf: pd.DataFrame) -> pd.DataFrame:
-        chunk = _chunk_of(pdf, n, window_ms, length, distinct)
-        if not chunk.can_fire():
-            return pd.DataFrame({"key": [], "chunk": [], "entries": [], "exits": []}, dtype=object)
-        entries = chunk.entries()
-        return pd.DataFrame({"key": [pdf["key"].iloc[0]], "chunk": [int(pdf["chunk"].iloc[0])],
-                             "entries": [entries], "exits": [[chunk.fire(e)[1] for e in entries]]})
-
-    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, state, before = [], NONE, None
-        for number, entries, exits in pdf.sort_values("chunk")[["chunk", "entries", "exits"]].itertuples(index=False):
-            entry = state if before is not None and number == before + 1 else NONE
-            out.append(entry)
-            state, before = dict(zip(entries, exits))[entry], number
-        return pd.DataFrame({"key": pdf["key"], "chunk": sorted(pdf["chunk"]), "entry": out})
-
-    def report(pdf: pd.DataFrame, taken: pd.DataFrame) -> pd.DataFrame:
-        if pdf.empty or taken.empty:
-            return _firings(None, None, [], distinct)
-        chunk = _chunk_of(pdf, n, window_ms, length, distinct)
-        if distinct:
-            chunk.entries()
-        return _firings(pdf["key"].iloc[0], chunk, chunk.fire(taken["entry"].iloc[0])[0], distinct)
-
-    table = chunks.groupBy("key", "chunk").applyInPandas(
+    place, order = ["key", "chunk"], ["ts_ms", "item"] if distinct else ["ts_ms"]
+
+    def ways(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def rows():
+            for key, number, part in _runs(batches):
+                chunk = _chunk_of(number, part, n, window_ms, length, distinct)
+                if chunk.can_fire():
+                    entries = chunk.entries()
+                    yield key, number, entries, [chunk.fire(e)[1] for e in entries]
+        return _frames(rows(), ["key", "chunk", "entries", "exits"])
+
+    def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        before, state = None, NONE
+        for pdf in batches:
+            taken = []
+            for key, number, entries, exits in pdf.itertuples(index=False):
+                entry = state if before == (key, number - 1) else NONE
+                taken.append(entry)
+                state, before = dict(zip(entries, exits))[entry], (key, number)
+            yield pd.DataFrame({"key": pdf["key"], "chunk": pdf["chunk"], "entry": taken})
+
+    def report(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def rows():
+            for key, number, part in _runs(batches):
+                chunk = _chunk_of(number, part, n, window_ms, length, distinct)
+                yield from _firings(key, chunk, chunk.fire(part["entry"][0])[0], distinct)
+        return _frames(rows(), FIRING_COLUMNS)
+
+    table = _in_key_order(chunks, place, order).mapInPandas(
         ways, "key string, chunk long, entries array<string>, exits array<string>")
-    taken = table.groupBy("key").applyInPandas(follow, "key string, chunk long, entry string")
-    return chunks.groupBy("key", "chunk").cogroup(taken.groupBy("key", "chunk")).applyInPandas(report, FIRING)
+    taken = _in_key_order(table, ["key"], ["chunk"]).mapInPandas(follow, "key string, chunk long, entry string")
+    return _in_key_order(chunks.join(taken, place), place, order).mapInPandas(report, FIRING)
 
 
 def bucket_fold(rows: DataFrame, n: int, bucket_seconds: int) -> DataFrame:
@@ -111,62 +145,63 @@ def bucket_fold(rows: DataFrame, n: int, bucket_seconds: int) -> DataFrame:
     chunks = _able(_ticks(rows, True).withColumns({
         "chunk": F.floor(F.col("ts_ms") / F.lit(length)), "own": F.lit(True)}), n)
 
-    def report(pdf: pd.DataFrame) -> pd.DataFrame:
-        chunk = _chunk_of(pdf, n, 0, length, True)
-        return _firings(pdf["key"].iloc[0], chunk, chunk.fire(NONE)[0], True)
+    def report(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def rows():
+            for key, number, part in _runs(batches):
+                chunk = _chunk_of(number, part, n, 0, length, True)
+                yield from _firings(key, chunk, chunk.fire(NONE)[0], True)
+        return _frames(rows(), FIRING_COLUMNS)
 
-    return chunks.groupBy("key", "chunk").applyInPandas(report, FIRING)
+    return _in_key_order(chunks, ["key", "chunk"], ["ts_ms", "item"]).mapInPandas(report, FIRING)
 
 
-def suppress(candidates: DataFrame, dedup_ttl: int, throttle: int) -> DataFrame:
-    """Disposition of candidate alerts (group_key, dedup_key, ts_ms, id) of one rule.
+def suppress(candidates: DataFrame) -> DataFrame:
+    """Disposition of candidate alerts: (rule_no, id, disposition) of the emitted and throttled ones.
 
-    In time order per group: a live dedup key drops the candidate; otherwise
-    the key is set, and a live throttle drops it with the key left set;
-    otherwise it is emitted. Markers set at t end at t + ttl. Returns the
-    emitted and throttled ones; everything else is ``deduplicated``.
+    Candidates have rule_no, group_key, dedup_key, ts_ms, id, dedup_ms and
+    throttle_ms. In time order per rule and group: a live dedup key drops the
+    candidate; otherwise the key is set, and a live throttle drops it with the
+    key left set; otherwise it is emitted. Markers set at t end at t + ttl.
+    Everything not returned is deduplicated.
 
     Only the first candidate of a dedup key in a millisecond can get past the
     dedup check, so the rest leave before the shuffle. Groups are cut wherever
     they pause for longer than both markers live. A stretch is then read in
     time order, a batch at a time, with nothing kept but live markers.
     """
-    dedup_ms, throttle_ms = dedup_ttl * 1000, throttle * 1000
-    if dedup_ms <= 0 and throttle_ms <= 0:
-        return candidates.select("id", F.lit("emitted").alias("disposition"))
-    if dedup_ms > 0:
-        firsts = candidates.groupBy("group_key", "dedup_key", "ts_ms").agg(F.min("id").alias("id"))
-    else:
-        firsts = candidates.select("group_key", "dedup_key", "ts_ms", "id")
-    pause = max(dedup_ms, throttle_ms)
-    firsts = firsts.withColumn("hour", F.floor(F.col("ts_ms") / F.lit(pause)))
-    spans = firsts.groupBy("group_key", "hour").agg(F.min("ts_ms").alias("lo"), F.max("ts_ms").alias("hi"))
-    in_order = Window.partitionBy("group_key").orderBy("hour")
-    breaks = F.coalesce((F.col("lo") - F.lag("hi").over(in_order) >= pause).cast("int"), F.lit(1))
+    group = ["rule_no", "group_key"]
+    lone = F.when(F.col("dedup_ms") <= 0, F.col("id"))  # without a dedup time every candidate counts
+    firsts = candidates.groupBy(*group, "dedup_key", "ts_ms", "dedup_ms", "throttle_ms", lone.alias("_lone")) \
+        .agg(F.min("id").alias("id")).withColumn("pause", F.greatest("dedup_ms", "throttle_ms", F.lit(1))) \
+        .withColumn("span", F.floor(F.col("ts_ms") / F.col("pause")))
+    spans = firsts.groupBy(*group, "span").agg(
+        F.min("ts_ms").alias("lo"), F.max("ts_ms").alias("hi"), F.max("pause").alias("pause"))
+    in_order = Window.partitionBy(*group).orderBy("span")
+    breaks = F.coalesce((F.col("lo") - F.lag("hi").over(in_order) >= F.col("pause")).cast("int"), F.lit(1))
     stretches = spans.withColumn("_b", breaks).withColumn("stretch", F.sum("_b").over(in_order)) \
-        .select("group_key", "hour", "stretch")
-    ordered = (firsts.join(stretches, ["group_key", "hour"]).select("group_key", "stretch", "dedup_key", "ts_ms", "id")
-               .repartition("group_key", "stretch").sortWithinPartitions("group_key", "stretch", "ts_ms", "id"))
+        .select(*group, "span", "stretch")
+    keys = [*group, "stretch"]
+    ordered = (firsts.join(stretches, [*group, "span"])
+               .select(*keys, "dedup_key", "ts_ms", "id", "dedup_ms", "throttle_ms"))
+    ordered = _in_key_order(ordered, keys, ["ts_ms", "id"])
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, live, free_at = None, {}, 0
+        current, live, free_at = None, {}, -1
         for pdf in batches:
-            ids, kinds = [], []
-            for g, s, key, t, i in pdf.itertuples(index=False):
-                if (g, s) != group:
-                    group, live, free_at = (g, s), {}, -1
+            rules, ids, kinds = [], [], []
+            for rule, g, s, key, t, i, dedup_ms, throttle_ms in pdf.itertuples(index=False):
+                if (rule, g, s) != current:
+                    current, live, free_at = (rule, g, s), {}, -1
                 if live.get(key, t) > t:
                     continue
-                if dedup_ms > 0:
-                    if len(live) > 10_000:
-                        live = {k: end for k, end in live.items() if end > t}
-                    live[key] = t + dedup_ms
+                if len(live) > 10_000:
+                    live = {k: end for k, end in live.items() if end > t}
+                live[key] = t + dedup_ms
+                rules.append(rule)
                 ids.append(i)
-                if free_at > t:
-                    kinds.append("throttled")
-                else:
-                    kinds.append("emitted")
+                kinds.append("throttled" if free_at > t else "emitted")
+                if free_at <= t:
                     free_at = t + throttle_ms
-            yield pd.DataFrame({"id": ids, "disposition": kinds})
+            yield pd.DataFrame({"rule_no": rules, "id": ids, "disposition": kinds}, dtype=object)
 
-    return ordered.mapInPandas(walk, "id string, disposition string")
+    return ordered.mapInPandas(walk, "rule_no int, id string, disposition string")

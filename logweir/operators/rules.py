@@ -2,8 +2,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field as dc_field
+from math import lcm
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.predicates import OPERATORS, dataset_in, field, field_text, matches
@@ -11,7 +12,7 @@ from ..functions.text import render
 from ..functions.time import iso_ms
 from ..schema import ALERT_COLUMNS
 from .folds import suppress
-from .windows import sliding_count
+from .windows import tick_counts
 
 SEVERITIES = ("critical", "high", "medium", "low", "info")  # Fixed values.
 # Event fields copied into an alert's metadata.
@@ -124,28 +125,27 @@ def rule_by_id(rule_id: str) -> Rule:
     return next(r for r in SHIPPED_RULES if r.id == rule_id)
 
 
-def matching_events(events: DataFrame, rule: Rule, compat: bool = True) -> DataFrame:
-    """Events the rule looks at. Both tests come before any shuffle."""
+def _condition(events: DataFrame, rule: Rule, compat: bool) -> Column:
     names = list(rule.dataset_filter)
     if compat:
         names += [DATASET_ALIASES[n] for n in rule.dataset_filter if n in DATASET_ALIASES]
-    out = events.filter(dataset_in(events, names))
+    hit = dataset_in(events, names)
     condition = rule.condition
     if condition.value is not None:
-        out = out.filter(matches(events, condition.field, condition.operator, condition.value))
-    return out
+        hit = hit & matches(events, condition.field, condition.operator, condition.value)
+    return hit
 
 
-def threshold_candidates(events: DataFrame, rule: Rule, compat: bool = True) -> DataFrame:
-    """Matching events at or past the threshold: ``group_key``, ``ts_ms``, ``id``, ``event_count``.
+def matching_events(events: DataFrame, rule: Rule, compat: bool = True) -> DataFrame:
+    """Events the rule looks at."""
+    return events.filter(_condition(events, rule, compat))
+
+
+def _of_rule(values: list) -> Column:
+    return F.get(F.array(*[F.lit(v) for v in values]), F.col("rule_no"))
 
-    There is no reset: each event past the threshold is a candidate.
-    """
-    matched = matching_events(events, rule, compat)
-    group = F.coalesce(field_text(events, rule.condition.group_by), F.lit("unknown"))
-    counted = sliding_count(matched, group, F.col("ts"), F.col("event.id"), rule.condition.window_seconds,
-                            rule.condition.threshold)
-    return counted.select(F.col("key").alias("group_key"), "ts_ms", "id", F.col("count").alias("event_count"))
+
+_COUNT_MARK = "\x01count\x01"
 
 
 def _context(rule: Rule) -> dict[str, Column]:
@@ -155,6 +155,52 @@ def _context(rule: Rule) -> dict[str, Column]:
             "rule.id": F.lit(rule.id), "window_start": iso_ms(start), "window_end": iso_ms(end)}
 
 
+def _rule_rows(events: DataFrame, rules: list[Rule], compat: bool) -> DataFrame:
+    """One row per event and rule it satisfies, from a single scan however many rules there are."""
+    found = []
+    for number, rule in enumerate(rules):
+        group = F.coalesce(field_text(events, rule.condition.group_by), F.lit("unknown"))
+        context = {**_context(rule), "event_count": F.lit(_COUNT_MARK), "group_key": group}
+        found.append(F.when(_condition(events, rule, compat), F.struct(
+            F.lit(number).alias("rule_no"), group.alias("group_key"),
+            render(events, rule.dedup_key, context).alias("dedup_key"))))
+    hits = F.filter(F.array(*found), lambda r: r.isNotNull())
+    keep = [c for c in events.columns if c != "raw_message"]
+    return events.select(*keep, F.explode(hits).alias("_r")).select(
+        *keep, "_r.*", F.unix_millis("ts").alias("ts_ms"), F.col("event.id").alias("id"))
+
+
+def _candidates(events: DataFrame, rules: list[Rule], compat: bool) -> DataFrame:
+    """Rows at or past their rule's threshold, with ``event_count``.
+
+    All rules share one window: times are scaled by rule so that every rule's
+    window has the same length.
+    """
+    rows = _rule_rows(events, rules, compat)
+    windows = [r.condition.window_seconds for r in rules]
+    common = lcm(*windows) * 1000
+    ticks = rows.groupBy("rule_no", "group_key", "ts_ms").agg(F.count("*").alias("n"))
+    scaled = ticks.withColumn("key", F.struct("rule_no", "group_key")) \
+        .withColumn("ts_ms", F.col("ts_ms") * _of_rule([common // (w * 1000) for w in windows]))
+    through = tick_counts(scaled.select("key", "ts_ms", "n"), common).select(
+        "key.*", (F.col("ts_ms")).alias("_scaled"), "n", "through")
+    through = through.filter(F.col("through") >= _of_rule([r.condition.threshold for r in rules])) \
+        .withColumn("ts_ms", F.try_divide("_scaled", _of_rule([common // (w * 1000) for w in windows])).cast("long")).drop("_scaled")
+    position = F.row_number().over(Window.partitionBy("rule_no", "group_key", "ts_ms").orderBy("id"))
+    counted = rows.join(through, ["rule_no", "group_key", "ts_ms"]) \
+        .withColumn("event_count", F.col("through") - F.col("n") + position).drop("through", "n")
+    return counted.filter(F.col("event_count") >= _of_rule([r.condition.threshold for r in rules])) \
+        .withColumn("dedup_key", F.replace("dedup_key", F.lit(_COUNT_MARK), F.col("event_count").cast("string")))
+
+
+def threshold_candidates(events: DataFrame, rule: Rule, compat: bool = True) -> DataFrame:
+    """Matching events at or past the threshold: ``group_key``, ``ts_ms``, ``id``, ``event_count``.
+
+    There is no reset: each event past the threshold is a candidate.
+    """
+    return _candidates(events, [rule], compat).select("group_key", "ts_ms", "id", "event_count")
+
+
 def alert_metadata(events: DataFrame) -> Column:
     """Common event fields as a map, nulls left out; the event's own metadata wins."""
     pairs = []
@@ -169,49 +215,48 @@ def alert_metadata(events: DataFrame) -> Column:
     return F.map_concat(F.map_filter(base, lambda k, v: ~F.map_contains_key(own, k)), own)
 
 
-def _with_dedup_key(events: DataFrame, candidates: DataFrame, rule: Rule, compat: bool) -> DataFrame:
-    """Candidates joined to their events. Few events are candidates, so this side decides the size."""
-    matched = matching_events(events, rule, compat)
-    joined = matched.join(candidates, matched["event.id"] == candidates["id"])
-    return joined.withColumn("dedup_key", render(joined, rule.dedup_key, _context(rule)))
-
-
-def candidate_dispositions(events: DataFrame, rule: Rule, compat: bool = True) -> DataFrame:
+def candidate_dispositions(events: DataFrame, rules: list[Rule] | None = None, compat: bool = True) -> DataFrame:
     """Every candidate with its disposition: emitted, throttled or deduplicated."""
-    rows = _with_dedup_key(events, threshold_candidates(events, rule, compat), rule, compat)
-    narrow = rows.select("group_key", "dedup_key", "ts_ms", "id")
-    decided = suppress(narrow, rule.dedup_ttl_seconds, rule.throttle_seconds)
-    return rows.join(decided, "id", "left").withColumn(
+    rules = SHIPPED_RULES if rules is None else rules
+    rows = _candidates(events, rules, compat)
+    narrow = rows.select(
+        "rule_no", "group_key", "dedup_key", "ts_ms", "id",
+        _of_rule([r.dedup_ttl_seconds * 1000 for r in rules]).cast("long").alias("dedup_ms"),
+        _of_rule([r.throttle_seconds * 1000 for r in rules]).cast("long").alias("throttle_ms"))
+    return rows.join(suppress(narrow), ["rule_no", "id"], "left").withColumn(
         "disposition", F.coalesce("disposition", F.lit("deduplicated")))
 
 
-def evaluate_rule(events: DataFrame, rule: Rule, compat: bool = True) -> DataFrame:
-    """Alerts of one rule."""
-    fired = candidate_dispositions(events, rule, compat).filter(F.col("disposition") == "emitted")
-    context = _context(rule)
+def evaluate_rules(events: DataFrame, rules: list[Rule] | None = None, compat: bool = True) -> DataFrame:
+    """Alerts of the rules, all of them in one plan."""
+    rules = SHIPPED_RULES if rules is None else rules
+    fired = candidate_dispositions(events, rules, compat).filter(F.col("disposition") == "emitted")
+
+    def rendered(template: str) -> Column:
+        out = F.lit(None).cast("string")
+        for number, rule in enumerate(rules):
+            out = F.when(F.col("rule_no") == number, render(fired, getattr(rule, template), _context(rule))) \
+                .otherwise(out)
+        return out
+
+    rule_id = _of_rule([r.id for r in rules])
     return fired.select(
-        F.sha2(F.concat_ws("|", F.lit(rule.id), "group_key", "id"), 256).alias("id"),
-        F.lit(rule.id).alias("rule_id"), F.lit(rule.name).alias("rule_name"),
-        F.lit(rule.severity).alias("severity"), render(fired, rule.title_template, context).alias("title"),
-        render(fired, rule.body_template, context).alias("description"), F.col("ts").alias("created_at"),
-        F.col("event_count").cast("int").alias("event_count"), alert_metadata(events).alias("metadata")
-    ).select(*ALERT_COLUMNS)
+        F.sha2(F.concat_ws("|", rule_id, "group_key", "id"), 256).alias("id"), rule_id.alias("rule_id"),
+        _of_rule([r.name for r in rules]).alias("rule_name"), _of_rule([r.severity for r in rules]).alias("severity"),
+        rendered("title_template").alias("title"), rendered("body_template").alias("description"),
+        F.col("ts").alias("created_at"), F.col("event_count").cast("int").alias("event_count"),
+        alert_metadata(events).alias("metadata")).select(*ALERT_COLUMNS)
 
 
-def evaluate_rules(events: DataFrame, rules: list[Rule] | None = None, compat: bool = True) -> DataFrame:
-    """Alerts of all rules. Rules are independent branches of one plan."""
-    out = None
-    for rule in SHIPPED_RULES if rules is None else rules:
-        alerts = evaluate_rule(events, rule, compat)
-        out = alerts if out is None else out.unionByName(alerts)
-    return out
+def evaluate_rule(events: DataFrame, rule: Rule, compat: bool = True) -> DataFrame:
+    """Alerts of one rule."""
+    return evaluate_rules(events, [rule], compat)
 
 
 def alerts_by_rule(events: DataFrame, rules: list[Rule] | None = None, compat: bool = True) -> DataFrame:
     """Candidates per rule, severity and disposition."""
-    out = None
-    for rule in SHIPPED_RULES if rules is None else rules:
-        rows = candidate_dispositions(events, rule, compat).select(
-            F.lit(rule.id).alias("rule_id"), F.lit(rule.severity).alias("severity"), "disposition")
-        out = rows if out is None else out.unionByName(rows)
-    return out.groupBy("rule_id", "severity", "disposition").agg(F.count("*").alias("n"))
+    rules = SHIPPED_RULES if rules is None else rules
+    rows = candidate_dispositions(events, rules, compat)
+    return rows.groupBy(_of_rule([r.id for r in rules]).alias("rule_id"),
+                        _of_rule([r.severity for r in rules]).alias("severity"), "disposition") \
+        .agg(F.count("*").alias("n"))

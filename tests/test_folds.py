@@ -92,14 +92,16 @@ def test_bucket_fold(spark, seed, n, bucket, items):
     assert fired
 
 
-@pytest.mark.parametrize("seed,dedup,throttle,keys", [(1, 10, 4, 1), (2, 4, 10, 1), (3, 6, 9, 3), (4, 20, 20, 2)])
+@pytest.mark.parametrize("seed,dedup,throttle,keys", [(1, 10, 4, 1), (2, 4, 10, 1), (3, 6, 9, 3), (4, 20, 20, 2), (5, 0, 7, 1)])
 def test_suppress(spark, seed, dedup, throttle, keys):
     rng = random.Random(seed)
     rows = [(rng.choice("aab"), f"k{rng.randrange(keys)}", t, f"{i:05d}")
             for i, t in enumerate(random_times(rng, 800, False))]
-    got = folds.suppress(spark.createDataFrame(rows, "group_key string, dedup_key string, ts_ms long, id string"),
-                         dedup, throttle)
-    assert {r.id: r.disposition for r in got.collect()} == simulate_suppress(rows, dedup * 1000, throttle * 1000)
+    df = spark.createDataFrame(rows, "group_key string, dedup_key string, ts_ms long, id string").withColumns({
+        "rule_no": F.lit(0), "dedup_ms": F.lit(dedup * 1000).cast("long"),
+        "throttle_ms": F.lit(throttle * 1000).cast("long")})
+    got = {r.id: r.disposition for r in folds.suppress(df).collect()}
+    assert got == simulate_suppress(rows, dedup * 1000, throttle * 1000)
 
 
 def test_sliding_count_with_ties(spark):
