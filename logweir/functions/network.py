@@ -27,12 +27,18 @@ def _col(value) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _number(ip: Column) -> Column:
+    return F.aggregate(F.split(ip, r"\."), F.lit(0).cast("long"), lambda acc, part: acc * 256 + part.try_cast("long"))
+
+
 def ip_to_long(ip) -> Column:
     """Numeric value of a dotted IPv4 address, null when it is not one."""
-    ip = _col(ip)
-    octet = [F.substring_index(F.substring_index(ip, ".", i + 1), ".", -1).try_cast("long") for i in range(4)]
-    value = octet[0] * 16777216 + octet[1] * 65536 + octet[2] * 256 + octet[3]
-    return F.when(ip.rlike(IPV4_PATTERN), value)
+    return _once(_col(ip), lambda s: F.when(s.rlike(IPV4_PATTERN), _number(s)))
 
 
 def long_to_ip(value) -> Column:
@@ -42,7 +48,7 @@ def long_to_ip(value) -> Column:
 
 
 def _in_networks(value: Column, networks: list[str], but: list[str] = ()) -> Column:
-    """Is the address in any of the networks? The lambda makes Spark compute ``value`` once."""
+    """Is the address in any of the networks?"""
     def any_of(v, listed):
         hit = F.lit(False)
         for text in listed:
@@ -54,20 +60,18 @@ def _in_networks(value: Column, networks: list[str], but: list[str] = ()) -> Col
 
 def is_non_routable(ip) -> Column:
     """True for addresses the geo lookup skips; text that is no address counts as such."""
-    ip = _col(ip)
-    v6 = ip.contains(":") & ~ip.rlike(NON_ROUTABLE_V6)
-    return F.coalesce(
-        F.when(ip.rlike(IPV4_PATTERN), _in_networks(ip_to_long(ip), NON_ROUTABLE_V4)).otherwise(~v6),
-        F.lit(True))
+    def test(s):
+        v6 = s.contains(":") & ~s.rlike(NON_ROUTABLE_V6)
+        return F.when(s.rlike(IPV4_PATTERN), _in_networks(_number(s), NON_ROUTABLE_V4)).otherwise(~v6)
+    return F.coalesce(_once(_col(ip), test), F.lit(True))
 
 
 def is_private(ip) -> Column:
     """True for addresses that are not globally reachable; false when it is no address."""
-    ip = _col(ip)
-    v4 = _in_networks(ip_to_long(ip), PRIVATE_V4, PUBLIC_INSIDE_PRIVATE)
-    return F.coalesce(
-        F.when(ip.rlike(IPV4_PATTERN), v4).otherwise(ip.contains(":") & ip.rlike(PRIVATE_V6)),
-        F.lit(False))
+    def test(s):
+        v4 = _in_networks(_number(s), PRIVATE_V4, PUBLIC_INSIDE_PRIVATE)
+        return F.when(s.rlike(IPV4_PATTERN), v4).otherwise(s.contains(":") & s.rlike(PRIVATE_V6))
+    return F.coalesce(_once(_col(ip), test), F.lit(False))
 
 
 def normalize_oui(mac) -> Column:

@@ -75,10 +75,20 @@ def classify_sql(parsers: tuple[Parser, ...] = DEFAULT_PARSERS) -> str:
     return "CASE " + " ".join(f"WHEN {p.claims()} THEN '{p.name}'" for p in parsers) + " END"
 
 
+def _held(df: DataFrame, name: str, expression: str) -> DataFrame:
+    """Add a column that is worked out once per row.
+
+    As the single item of an exploded array it stays a column of its own; as a
+    plain column the optimizer would copy this very long expression into every
+    filter and field that uses it.
+    """
+    return df.select("*", F.explode_outer(F.array(F.expr(expression))).alias(name))
+
+
 def classify(envelopes: DataFrame, parsers: tuple[Parser, ...] = DEFAULT_PARSERS) -> DataFrame:
     """Add ``program`` and ``parser``."""
     program, _ = program_host(F.col("raw"))
-    return envelopes.withColumn("program", program).withColumn("parser", F.expr(classify_sql(parsers)))
+    return _held(envelopes.withColumn("program", program), "parser", classify_sql(parsers))
 
 
 def _read_sql(parser: Parser, index: int) -> str:
@@ -116,7 +126,7 @@ def parse_logs(envelopes: DataFrame, parsers: tuple[Parser, ...] = DEFAULT_PARSE
             f"WHEN '{p.name}' THEN {_read_sql(p, i)}" for i, p in enumerate(parsers)) + " END"
     # Groups that took no part read as ''. Running the long CASE under a lambda
     # also keeps it out of one generated method too large for the JIT.
-    staged = staged.withColumn("found", F.expr(f"transform({found}, v -> coalesce(v, ''))"))
+    staged = _held(staged, "found", f"transform({found}, v -> coalesce(v, ''))")
     staged = staged.withColumn("pattern_no", F.expr("coalesce(cast(found[0] AS int), -1)"))
     staged = staged.withColumns({
         "texts": F.expr("transform(" + _by_pattern(parsers, lambda p, q: q.event_texts(p)) + ", v -> nullif(v, ''))"),

@@ -30,7 +30,7 @@ LAYERS = [
         "dataset": ("CASE WHEN kind_of = 'click' AND k % 7 = 0 THEN 'unifi.ids_ips' "
                     "WHEN kind_of = 'click' THEN 'unifi.firewall' WHEN kind_of = 'error' THEN 'unifi.auth' "
                     "WHEN kind_of = 'purchase' THEN 'unifi.traffic' WHEN kind_of = 'signup' THEN 'unifi.vpn' "
-                    "WHEN k % 4 = 0 THEN 'unifi.admin' ELSE 'unifi.wireless' END"),
+                    "WHEN k % 12 = 0 THEN 'unifi.device' WHEN k % 4 = 0 THEN 'unifi.admin' ELSE 'unifi.wireless' END"),
     },
     {
         "geo_no": "cast(oct3 AS int)",
@@ -55,16 +55,16 @@ LAYERS = [
                       "ELSE concat('10.0.', cast(uhi AS {str}), '.', cast(uid % 256 AS {str})) END"),
         "category": ("CASE dataset WHEN 'unifi.ids_ips' THEN 'intrusion_detection' "
                      "WHEN 'unifi.auth' THEN 'authentication' WHEN 'unifi.vpn' THEN 'session network' "
-                     "WHEN 'unifi.admin' THEN 'authentication configuration' WHEN 'unifi.wireless' THEN 'session' "
+                     "WHEN 'unifi.admin' THEN 'authentication configuration' WHEN 'unifi.device' THEN 'configuration' WHEN 'unifi.wireless' THEN 'session' "
                      "ELSE 'network' END"),
         "type": ("CASE WHEN outcome = 'failure' THEN 'denied' WHEN dataset = 'unifi.firewall' THEN 'allowed' "
-                 "WHEN dataset = 'unifi.admin' THEN 'info' WHEN k % 3 = 0 THEN 'start' "
+                 "WHEN dataset IN ('unifi.admin', 'unifi.device') THEN 'info' WHEN k % 3 = 0 THEN 'start' "
                  "WHEN k % 3 = 1 AND dataset = 'unifi.vpn' THEN 'start' WHEN k % 3 = 1 THEN 'info' ELSE 'end' END"),
         "kind": "CASE WHEN dataset = 'unifi.ids_ips' THEN 'alert' ELSE 'event' END",
         "severity": ("CASE WHEN dataset = 'unifi.ids_ips' THEN 9 - 2 * (k % 4) WHEN dataset = 'unifi.traffic' THEN 1 "
                      "WHEN dataset = 'unifi.wireless' THEN 2 WHEN outcome = 'failure' THEN 7 "
                      "WHEN dataset = 'unifi.firewall' THEN 3 ELSE 4 END"),
-        "bytes": "CASE WHEN dataset = 'unifi.traffic' THEN cast(floor(val * 1000) AS bigint) ELSE cast(60 + k AS bigint) END",
+        "bytes": "CASE WHEN dataset = 'unifi.traffic' THEN cast(floor(val * 50000000) AS bigint) ELSE cast(60 + k AS bigint) END",
         "user_name": ("CASE WHEN dataset IN ('unifi.auth', 'unifi.vpn', 'unifi.admin') "
                       "THEN concat('user', cast(uid AS {str})) END"),
         "ssid": "CASE WHEN dataset = 'unifi.wireless' THEN concat('ssid-', cast(uid % 7 AS {str})) END",
@@ -72,6 +72,9 @@ LAYERS = [
         "country_name": "CASE WHEN k % 2 = 1 THEN concat('NATION_', cast(geo_no AS {str})) END",
         "lat": "CASE WHEN k % 2 = 1 THEN cast(geo_no * 3 - 36 AS double) END",
         "lon": "CASE WHEN k % 2 = 1 THEN cast(geo_no * 7 - 84 AS double) END",
+        "action": ("CASE WHEN dataset = 'unifi.wireless' AND k % 10 = 3 THEN 'rogue_ap_detected' "
+                   "WHEN dataset = 'unifi.device' THEN 'device.disconnected' WHEN outcome = 'failure' THEN 'denied' "
+                   "WHEN dataset = 'unifi.firewall' THEN 'allowed' END"),
         "matched": "k % 2 = 1 AND oct4 = 2 AND geo_no < 10",
     },
 ]
@@ -112,9 +115,7 @@ def events_as_ecs(events: DataFrame) -> DataFrame:
     return events_flat(events).select(
         F.col("event_ts").alias("ts"),
         F.struct("id", "kind", F.split("category", " ").alias("category"), types.alias("type"), "dataset",
-                 "severity", "outcome",
-                 F.when(F.col("type") == "denied", "denied").when(F.col("type") == "allowed", "allowed")
-                 .alias("action")).alias("event"),
+                 "severity", "outcome", "action").alias("event"),
         F.struct(F.col("source_ip").alias("ip"), F.col("source_port").alias("port"), "mac", geo.alias("geo"),
                  threat.alias("threat_intel")).alias("source"),
         F.struct(F.col("dest_ip").alias("ip"), F.col("dest_port").alias("port")).alias("destination"),
