@@ -40,20 +40,21 @@ def _alert(rule_id: str, identity: list, title: Column, description: Column, at:
 
 
 def auth_failures(events: DataFrame) -> DataFrame:
-    """Failed authentications with a source: (key, ts_ms)."""
+    """Failed authentications with a source: (key, ts_ms, ts)."""
     return events.filter(is_auth_failure() & (F.col("source.ip") != "")).select(
-        F.col("source.ip").alias("key"), F.unix_millis("ts").alias("ts_ms"))
+        F.col("source.ip").alias("key"), F.unix_millis("ts").alias("ts_ms"), "ts")
 
 
 def port_contacts(events: DataFrame) -> DataFrame:
     return events.filter((F.col("source.ip") != "") & F.col("destination.port").isNotNull()).select(
-        F.col("source.ip").alias("key"), F.unix_millis("ts").alias("ts_ms"),
+        F.col("source.ip").alias("key"), F.unix_millis("ts").alias("ts_ms"), "ts",
         F.col("destination.port").cast("string").alias("item"))
 
 
 def internal_contacts(events: DataFrame) -> DataFrame:
     return events.filter(is_private("source.ip") & (F.col("destination.ip") != "")).select(
-        F.col("source.ip").alias("key"), F.unix_millis("ts").alias("ts_ms"), F.col("destination.ip").alias("item"))
+        F.col("source.ip").alias("key"), F.unix_millis("ts").alias("ts_ms"), "ts",
+        F.col("destination.ip").alias("item"))
 
 
 def brute_force(events: DataFrame, window: int = BRUTE_FORCE_WINDOW, n: int = BRUTE_FORCE_COUNT) -> DataFrame:
