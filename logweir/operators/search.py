@@ -1,7 +1,7 @@
 """Log search, alert lists and acknowledgement."""
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +34,7 @@ def prune_days(events: DataFrame, from_ts: datetime | None, to_ts: datetime | No
     """Limit a day-partitioned table to the days the bounds touch, both ends included."""
     if "event_date" not in events.columns or (from_ts is None and to_ts is None):
         return events
-    now = now or datetime.utcnow()
+    now = now or datetime.now(timezone.utc)
     first, last = utc(from_ts or now - timedelta(days=1)), utc(to_ts or now)
     return events.filter(F.col("event_date").between(F.lit(first.date()), F.lit(last.date())))
 
