@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.time import event_date
 from ..operators.dashboard import DELETE_DAYS
+from ..session import broadcast_if_bounded
 
 
 def write_events(events: DataFrame, path: str, mode: str = "append", batch_id: int | None = None) -> None:
@@ -37,7 +38,7 @@ def write_alerts(alerts: DataFrame, path: str) -> None:
     fresh = alerts.dropDuplicates(["id"]).withColumn("alert_date", event_date("created_at"))
     if _exists(spark, path):
         days = fresh.select("alert_date").distinct()
-        stored = spark.read.parquet(path).join(F.broadcast(days), "alert_date", "left_semi").select("id")
+        stored = spark.read.parquet(path).join(broadcast_if_bounded(days, 10_000), "alert_date", "left_semi").select("id")
         fresh = fresh.join(stored, "id", "left_anti")
     fresh.write.mode("append").partitionBy("alert_date").parquet(path)
 
