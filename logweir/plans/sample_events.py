@@ -80,7 +80,7 @@ LAYERS = [
 ]
 
 # Columns most others build on; as items of an exploded array they are worked out once per row.
-HELD = {"k", "dataset"}
+HELD = {"k", "dataset", "outcome", "source_ip"}
 
 
 def duckdb_flat() -> str:

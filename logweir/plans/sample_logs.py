@@ -369,7 +369,8 @@ def events_as_syslog(events: DataFrame) -> DataFrame:
                     F.lpad(F.dayofmonth("event_ts").cast("string"), 2, " "), F.lit(" "),
                     F.date_format("event_ts", "HH:mm:ss"), F.lit(" "), F.col("hostname"), F.lit(" "))
     flat = events_flat(events).withColumn("sample", F.expr(f"cast(event_id % {len(SAMPLES)} AS int)"))
-    return flat.select("id", F.concat(head, line).alias("raw"),
+    # Held like the parser's own long expressions, or each pattern would write the line anew.
+    return flat.select("id", F.explode_outer(F.array(F.concat(head, line))).alias("raw"),
                        (F.col("event_ts") + F.expr("interval 1 second")).alias("received_at"),
                        F.lit("10.255.0.1").alias("source_ip"))
 
