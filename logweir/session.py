@@ -1,8 +1,6 @@
 """Session settings shared by jobs, tests and the bench."""
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,19 +28,6 @@ def build_session(app: str = "logweir", master: str | None = None,
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the checkpoint folder the cluster names; make one only where none is set."""
-    context = spark.sparkContext
-    current = context.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="logweir-checkpoint-")
-    context.setCheckpointDir(configured)
-    return configured
-
-
 def within_rows(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> bool:
     """True when ``df`` has at most ``limit`` rows; reads no further than that."""
     return df.limit(limit + 1).count() <= limit
