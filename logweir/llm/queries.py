@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logweir.llm import embedding_dups, mixing, substring_dedup
+from logweir.llm import embedding_dups, mixing, ngram_join, substring_dedup
 
 
 def _over(table: str, query: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -14,12 +14,14 @@ def _over(table: str, query: Callable[[DataFrame], DataFrame]) -> Callable[[Spar
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pareto_mix": _over("documents", mixing.mixed_words),
+    "op5_ngram_join": _over("documents", ngram_join.joined_documents),
     "op9_embedding_dups": _over("embeddings", embedding_dups.near_vectors),
     "op10_substring_dedup": _over("documents", substring_dedup.kept_words),
 }
 
 CHECKS: dict[str, str] = {
     "op3_pareto_mix": mixing.MIXED_WORDS_SQL,
+    "op5_ngram_join": ngram_join.JOINED_DOCUMENTS_SQL,
     "op9_embedding_dups": embedding_dups.NEAR_VECTORS_SQL,
     "op10_substring_dedup": substring_dedup.KEPT_WORDS_SQL,
 }
