@@ -15,7 +15,7 @@ from logweir.llm.words import mix, seeds, shingles, signed, text_buffers, texts_
 
 WINDOW = 50
 MINIMISER = 5
-# Minimisers with more super-k-mers than this send windows one by one, which are counted by partial aggregates.
+# Buckets with more super-k-mers than this are counted by partial aggregates instead of one sort.
 HOT_BUCKET = 512
 
 _RUN = "doc_id long, text_key long, n_words long, digest_a long, digest_b long, minimiser long, start int, windows int"
@@ -141,15 +141,53 @@ def _buckets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Recor
         yield _bucket_ranges(pa.Table.from_batches(held), width)
 
 
-def _single_windows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+def _distinct_windows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """One row per different window of each different packed string."""
     for batch in batches:
-        windows, count = _packed_windows(batch.column(5), width)
-        row = np.repeat(np.arange(len(count)), count)
-        offset = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-        columns = [batch.column(k).to_numpy(zero_copy_only=False)[row] for k in (0, 2, 3, 4)]
+        windows, count = _packed_windows(batch.column(3), width)
+        each = [np.unique(w) for w in np.split(windows, np.cumsum(count)[:-1])] if len(count) else []
+        row = np.repeat(np.arange(len(each)), [len(w) for w in each])
+        columns = [batch.column(k).to_numpy(zero_copy_only=False)[row] for k in range(3)]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(columns[0]), pa.array(signed(windows)), pa.array(columns[1]), pa.array(columns[2]),
-             pa.array((columns[3] + offset).astype(np.int32))], names=["minimiser", "window", "doc_id", "text_key", "start"])
+            [pa.array(columns[0]), pa.array(columns[1]), pa.array(signed(np.concatenate([np.zeros(0, np.uint64), *each]))),
+             pa.array(columns[2])], names=["minimiser", "string_key", "window", "doc_id"])
+
+
+def _known_ranges(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Ranges of each packed string whose windows a smaller doc_id has, by the smallest doc_id of each window."""
+    for batch in batches:
+        windows, count = _packed_windows(batch.column(3), width)
+        docs = batch.column(0).to_numpy()
+        rows, starts, lengths = [], [], []
+        for k, own in enumerate(np.split(signed(windows), np.cumsum(count)[:-1]) if len(count) else []):
+            lows = batch.column(4)[k].values
+            known, low = lows.field(0).to_numpy(), lows.field(1).to_numpy()
+            order = np.argsort(known)
+            at = order[np.minimum(np.searchsorted(known, own, sorter=order), len(known) - 1)]
+            hit = np.concatenate([[False], (known[at] == own) & (low[at] < docs[k]), [False]])
+            edge = np.flatnonzero(hit[1:] != hit[:-1])
+            starts.extend(edge[::2]), lengths.extend(edge[1::2] - edge[::2]), rows.extend([k] * (len(edge) // 2))
+        take = pa.array(rows, pa.int64())
+        first = batch.column(2).take(take).to_numpy() + np.array(starts, np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(first.astype(np.int32)),
+                                          pa.array(lengths, pa.int32())], names=["doc_id", "text_key", "start", "windows"])
+
+
+def _hot_ranges(segments: DataFrame, width: int) -> DataFrame:
+    """The ranges of buckets with many super-k-mers, which no task may hold.
+
+    Equal strings are reduced to their smallest doc_id, then the windows of different strings to
+    theirs, both by partial aggregates; each string gets back the windows it shares.
+    """
+    strings = segments.withColumn("string_key", F.xxhash64("packed"))
+    different = strings.groupBy("minimiser", "string_key").agg(F.min("doc_id").alias("doc_id"), F.first("packed").alias("packed"))
+    windows = written(different.mapInArrow(partial(_distinct_windows, width=width),
+                      "minimiser long, string_key long, window long, doc_id long"), "windows")
+    smallest = windows.groupBy("minimiser", "window").agg(F.min("doc_id").alias("low"))
+    lows = (windows.join(smallest, ["minimiser", "window"]).groupBy("minimiser", "string_key")
+            .agg(F.collect_list(F.struct("window", "low")).alias("lows")))
+    return (strings.join(lows, ["minimiser", "string_key"]).select("doc_id", "text_key", "start", "packed", "lows")
+            .mapInArrow(partial(_known_ranges, width=width), _RANGE))
 
 
 def repeated_ranges(docs: DataFrame, width: int = WINDOW, size: int = MINIMISER, hot_bucket: int = HOT_BUCKET) -> DataFrame:
@@ -176,12 +214,7 @@ def repeated_ranges(docs: DataFrame, width: int = WINDOW, size: int = MINIMISER,
         partial(_segments, width=width), _SEGMENT), "segments")
     cold = segments.where("NOT hot").select("minimiser", "doc_id", "text_key", "start", "packed")
     cold = cold.repartition("minimiser").sortWithinPartitions("minimiser").mapInArrow(partial(_buckets, width=width), _RANGE)
-    single = written(segments.where("hot").mapInArrow(partial(_single_windows, width=width),
-                     "minimiser long, window long, doc_id long, text_key long, start int"), "windows")
-    smallest = (single.groupBy("minimiser", "window").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-                .where("low < high").select("minimiser", "window", "low"))
-    hot = (single.join(smallest, ["minimiser", "window"]).where("doc_id > low")
-           .select("doc_id", "text_key", "start", F.lit(1).alias("windows")))
+    hot = _hot_ranges(segments.where("hot"), width)
     whole = copies.select("doc_id", "text_key", F.lit(0).alias("start"), (F.col("n_words") - (width - 1)).cast("int").alias("windows"))
     return cold.unionByName(hot).unionByName(whole)
 
