@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logweir.llm.components import components
+from logweir.llm.postings import shared_postings
 from logweir.llm.scratch import written
 from logweir.llm.words import mix, seeds, shingles, signed, texts_as_words
 
@@ -88,25 +89,6 @@ def _prefixes(batches: Iterator[pa.RecordBatch], size: int, percent: int,
                 names=["shingle", "class"])
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of postings in order of their shingle, those whose shingle several classes have; some may repeat."""
-    last, last_class, is_open = None, None, False
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        key, own = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if last is not None and not is_open and key[0] == last:
-            key, own = np.concatenate([[last], key]), np.concatenate([[last_class], own])
-        new = np.concatenate([[True], key[1:] != key[:-1]])
-        at = np.flatnonzero(new)
-        several = np.minimum.reduceat(own, at) != np.maximum.reduceat(own, at)
-        if is_open and key[0] == last:
-            several[0] = True
-        last, last_class, is_open = int(key[-1]), int(own[-1]), bool(several[-1])
-        keep = several[np.cumsum(new) - 1]
-        yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(own[keep])], names=["shingle", "class"])
-
-
 def _class_sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     told: set[int] = set()
     for batch in batches:
@@ -192,7 +174,7 @@ class _Join:
                   .groupBy("shingle").count().where(F.col("count") >= FREQUENT))
         frequent = self._frequent(written(counts, "frequent"))
         rows = texts.mapInArrow(partial(_prefixes, size=self.size, percent=self.percent, frequent=frequent), _POSTING)
-        return rows.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(_shared, _POSTING)
+        return shared_postings(rows)
 
     def _frequent(self, counts: DataFrame) -> Broadcast:
         """The most frequent shingles as a bit set of fixed size, ``FREQUENT_MOST`` at most.

@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logweir.llm import embedding_dups, mixing, ngram_join, substring_dedup
+from logweir.llm import embedding_dups, line_dedup, mixing, ngram_join, substring_dedup
 
 
 def _over(table: str, query: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -15,6 +15,7 @@ def _over(table: str, query: Callable[[DataFrame], DataFrame]) -> Callable[[Spar
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pareto_mix": _over("documents", mixing.mixed_words),
     "op5_ngram_join": _over("documents", ngram_join.joined_documents),
+    "op6_line_dedup": _over("documents", line_dedup.kept_lines),
     "op9_embedding_dups": _over("embeddings", embedding_dups.near_vectors),
     "op10_substring_dedup": _over("documents", substring_dedup.kept_words),
 }
