@@ -7,7 +7,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweir.llm.components import components
@@ -27,7 +27,7 @@ FREQUENT_MOST = 2_000_000
 _SLACK = 1e-9
 
 _SKETCH = "doc_id long, class long, n long, keys array<long>"
-_POSTING = "shingle long, class long"
+_POSTING = "shingle long, class long, at int"
 _SET = "class long, members array<long>"
 _MEASURED = "a long, b long, distance double, linked boolean"
 
@@ -71,7 +71,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], size: int, percent: int,
     bits = frequent.value if frequent is not None else None
     told: set[int] = set()
     for batch in batches:
-        shingle_parts, class_parts = [], []
+        shingle_parts, class_parts, at_parts = [], [], []
         for members in _sets(batch.column(0), size):
             if len(members) == 0 or (own := _class(members)) in told:
                 continue
@@ -83,10 +83,11 @@ def _prefixes(batches: Iterator[pa.RecordBatch], size: int, percent: int,
             n = len(members)
             head = members[: n - -(-n * percent // 100) + 1]
             shingle_parts.append(head), class_parts.append(np.full(len(head), own))
+            at_parts.append(np.arange(len(head), dtype=np.int32))
         if shingle_parts:
             yield pa.RecordBatch.from_arrays(
-                [pa.array(signed(np.concatenate(shingle_parts))), pa.array(np.concatenate(class_parts))],
-                names=["shingle", "class"])
+                [pa.array(signed(np.concatenate(shingle_parts))), pa.array(np.concatenate(class_parts)),
+                 pa.array(np.concatenate(at_parts))], names=["shingle", "class", "at"])
 
 
 def _class_sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -114,6 +115,11 @@ def _distances(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.R
                                           pa.array(linked, pa.bool_())], names=["a", "b", "distance", "linked"])
 
 
+def _met_often(met: DataFrame, *keep: str) -> DataFrame:
+    """Pairs (a, b) with the number of shingles they meet in, and the last place of these in each."""
+    return met.groupBy("a", "b", *keep).agg(F.count("*").alias("common"), F.max("a_at").alias("a_last"), F.max("b_at").alias("b_last"))
+
+
 class _Join:
     """The documents of one join, their classes, and how pairs of classes are measured."""
 
@@ -168,7 +174,7 @@ class _Join:
             F.coalesce("home.distance", F.lit(0.0)).alias("radius")), "regions")
 
     def postings(self) -> DataFrame:
-        """(shingle, class) of prefix shingles that several classes have."""
+        """(shingle, class, at) of prefix shingles that several classes have; at is the place in the class's order."""
         texts = self.docs.select("text")
         counts = (texts.mapInArrow(partial(_prefixes, size=self.size, percent=self.percent, frequent=None), _POSTING)
                   .groupBy("shingle").count().where(F.col("count") >= FREQUENT))
@@ -196,13 +202,21 @@ class _Join:
         bits[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
         return counts.sparkSession.sparkContext.broadcast(bits)
 
+    def _room(self, a_n: str, b_n: str) -> Column:
+        """Whether two sets can be linked, by the prefix shingles they share and what follows the last of them in each.
+
+        Both prefixes follow one order, so what comes before the last shared shingle is known to be all that is shared there.
+        """
+        after = F.least(F.col(a_n) - F.col("a_last"), F.col(b_n) - F.col("b_last")) - 1
+        return (F.col("common") + after) * (100 + self.percent) >= (F.col(a_n) + F.col(b_n)) * self.percent
+
     def links(self) -> DataFrame:
         """(a, b): links that join all classes which are connected.
 
         1. Classes are dealt to the Voronoi regions of their pivots; a class within reach of a pivot
            is linked with it, so a region is connected.
-        2. Regions that share a prefix shingle are measured by their pivots. They are linked, or out of
-           reach of each other by the triangle inequality, or open.
+        2. Regions that share prefix shingles (of single documents: enough of them) are measured by their
+           pivots. They are linked, or out of reach of each other by the triangle inequality, or open.
         3. Open pairs of regions are taken apart: only members in the boundary window of the
            other region, and of them only pairs whose distances to their pivots leave room for a
            link, are measured.
@@ -213,13 +227,14 @@ class _Join:
         shared = written(self.postings().join(regions, "class"), "postings")
         extent = regions.groupBy("region").agg(F.max("radius").alias("radius"), F.min("n").alias("low"), F.max("n").alias("high"))
         extent = written(extent, "extent")
-        heads = shared.select("shingle", "region").distinct()
-        pairs = (heads.select("shingle", F.col("region").alias("a")).join(heads.select("shingle", F.col("region").alias("b")), "shingle")
-                 .where("a < b").select("a", "b").distinct())
+        heads = shared.groupBy("shingle", "region").agg(F.max("at").alias("at"))
+        met = (heads.select("shingle", F.col("region").alias("a"), F.col("at").alias("a_at"))
+               .join(heads.select("shingle", F.col("region").alias("b"), F.col("at").alias("b_at")), "shingle").where("a < b"))
         one, two = (extent.select(F.col("region").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("radius", "low", "high")])
                     for x in "ab")
-        pairs = pairs.join(one, "a").join(two, "b").where(
+        pairs = _met_often(met).join(one, "a").join(two, "b").where(
             f"a_low * {self.percent} <= b_high * 100 AND b_low * {self.percent} <= a_high * 100")
+        pairs = pairs.where((F.col("a_radius") + F.col("b_radius") > 0) | self._room("a_low", "b_low"))
         between = self.measure(pairs)
         found = found.unionByName(between.where("linked").select("a", "b"))
         open_pairs = written(between.where("NOT linked").join(one, "a").join(two, "b").where(
@@ -230,15 +245,17 @@ class _Join:
         joined = components(found).withColumnRenamed("node", "class")
         members = written(shared.join(joined, "class", "left").withColumn("component", F.coalesce("component", "class")), "members")
         room = F.col("distance") - self.reach - _SLACK
-        side = (members.select("shingle", F.col("class").alias("x"), F.col("region").alias("a"), F.col("radius").alias("x_radius"),
+        side = (members.select("shingle", F.col("class").alias("x"), F.col("at").alias("a_at"), F.col("region").alias("a"), F.col("radius").alias("x_radius"),
                                F.col("n").alias("x_n"), F.col("component").alias("x_component"))
                 .join(open_pairs, "a").where(F.col("x_radius") + F.col("b_radius") >= room))
-        other = members.select("shingle", F.col("class").alias("y"), F.col("region").alias("b"), F.col("radius").alias("y_radius"),
+        other = members.select("shingle", F.col("class").alias("y"), F.col("at").alias("b_at"), F.col("region").alias("b"), F.col("radius").alias("y_radius"),
                                F.col("n").alias("y_n"), F.col("component").alias("y_component"))
         near = F.least("x_n", "y_n") * 100 >= F.greatest("x_n", "y_n") * self.percent
         inner = (side.join(other, ["shingle", "b"])
                  .where((F.col("x_radius") + F.col("y_radius") >= room) & (F.col("x_component") != F.col("y_component")) & near)
-                 .select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+                 .select("shingle", F.col("x").alias("a"), F.col("y").alias("b"), "a_at", "b_at", F.col("x_n").alias("a_n"),
+                         F.col("y_n").alias("b_n")).distinct())
+        inner = _met_often(inner, "a_n", "b_n").where(self._room("a_n", "b_n"))
         return found.unionByName(self.measure(inner).where("linked").select("a", "b"))
 
 

@@ -9,26 +9,25 @@ from pyspark.sql import DataFrame
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of postings in order of their key, those whose key several items have; some may repeat."""
-    last, last_class, is_open = None, None, False
+    """Of postings in order of their key, those whose key several items have."""
+    held, last, is_open = None, None, False
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        key, own = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if last is not None and not is_open and key[0] == last:
-            key, own = np.concatenate([[last], key]), np.concatenate([[last_class], own])
+        if held is not None and not is_open and batch.column(0)[0].as_py() == last:
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        key, item = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         new = np.concatenate([[True], key[1:] != key[:-1]])
         at = np.flatnonzero(new)
-        several = np.minimum.reduceat(own, at) != np.maximum.reduceat(own, at)
+        several = np.minimum.reduceat(item, at) != np.maximum.reduceat(item, at)
         if is_open and key[0] == last:
             several[0] = True
-        last, last_class, is_open = int(key[-1]), int(own[-1]), bool(several[-1])
-        keep = several[np.cumsum(new) - 1]
-        yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(own[keep])], names=batch.schema.names)
+        held, last, is_open = batch.slice(batch.num_rows - 1), int(key[-1]), bool(several[-1])
+        yield batch.filter(pa.array(several[np.cumsum(new) - 1]))
 
 
 def shared_postings(postings: DataFrame) -> DataFrame:
-    """Rows of ``postings`` (two long columns, key and item) whose key has at least two different items.
+    """Rows of ``postings`` (key and item, longs, and others) whose key has at least two different items.
 
     Keys are dealt and sorted once and then streamed; a key with any number of items is never held.
     """
