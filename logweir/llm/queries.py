@@ -5,7 +5,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logweir.llm import embedding_dups, line_dedup, mixing, ngram_join, substring_dedup
+from logweir.llm import decontaminate, embedding_dups, line_dedup, mixing, ngram_join, substring_dedup
+
+
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"),
+                                       spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.drop("text_key")
 
 
 def _over(table: str, query: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -16,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pareto_mix": _over("documents", mixing.mixed_words),
     "op5_ngram_join": _over("documents", ngram_join.joined_documents),
     "op6_line_dedup": _over("documents", line_dedup.kept_lines),
+    "op8_benchmark_leaks": _leaks,
     "op9_embedding_dups": _over("embeddings", embedding_dups.near_vectors),
     "op10_substring_dedup": _over("documents", substring_dedup.kept_words),
 }
