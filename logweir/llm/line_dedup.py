@@ -7,21 +7,23 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logweir.llm.components import components
+from logweir.llm.idset import id_set, in_set
 from logweir.llm.postings import shared_postings
 from logweir.llm.scratch import written
-from logweir.llm.words import mix, seeds, signed
+from logweir.llm.words import mix, rolling, seeds, signed, small_batches
 
-SHINGLE = 6
+SHINGLE = 8
 PERCENT = 80
-# A pair of lines at the threshold shares at least one of the bands with a chance of 0.998, one at 90 % with 0.999999.
-BANDS, BAND_ROWS = 16, 5
+# A pair of lines at the threshold shares at least one of the bands with a chance of 0.997, one at 90 % with 0.99997.
+BANDS, BAND_ROWS = 8, 3
 _BINS = BANDS * BAND_ROWS
 _EMPTY = np.uint64((1 << 64) - 1)
-_BLOCK = 1 << 18
+_BLOCK = 1 << 16
 
 _LINE = "doc_id long, text_key long, no int, line long, bands array<long>"
 
@@ -38,10 +40,9 @@ def _line_id(line: str) -> int:
 def _windows(line: np.ndarray, size: int) -> np.ndarray:
     """Hashes of all runs of ``size`` code points; one hash of the whole when there are fewer."""
     width = min(size, len(line))
-    total = np.zeros(len(line) - width + 1, np.uint64)
-    for k, factor in enumerate(seeds(width, 500)):
-        total += line[k: len(line) - width + 1 + k] * factor
-    return mix(total + np.uint64(width))
+    if len(line) <= _BLOCK:
+        return rolling(line, width)
+    return np.concatenate([rolling(line[k: k + _BLOCK + width - 1], width) for k in range(0, len(line) - width + 1, _BLOCK)])
 
 
 def _codes(text: str) -> np.ndarray:
@@ -49,27 +50,32 @@ def _codes(text: str) -> np.ndarray:
 
 
 def _signatures(lines: list[str], size: int) -> np.ndarray:
-    """Band keys of lines: one hash per shingle, least per bin, empty bins filled from the next one."""
-    least = np.full((len(lines), _BINS), _EMPTY)
-    flat = least.reshape(-1)
+    """Band keys of lines, a block of text at a time."""
+    out = np.empty((len(lines), BANDS), np.uint64)
     k = 0
     while k < len(lines):
         j, total = k, 0
         while j < len(lines) and (j == k or total + len(lines[j]) <= _BLOCK):
             total += len(lines[j])
             j += 1
-        codes = _codes("".join(lines[k:j]))
-        length = np.array([len(x) for x in lines[k:j]])
-        end = np.repeat(np.cumsum(length), length)
-        row = np.repeat(np.arange(k, j), length)
-        full = np.arange(len(codes)) + size <= end
-        if full.any():
-            hashes = _windows(codes, size)
-            full = full[: len(hashes)]
-            _lower(flat, row[: len(hashes)][full], hashes[full])
-        for short in np.flatnonzero(length < size):
-            _lower(flat, np.array([k + short]), _windows(_codes(lines[k + short]), size))
+        out[k:j] = _block_signatures(lines[k:j], size)
         k = j
+    return out
+
+
+def _block_signatures(lines: list[str], size: int) -> np.ndarray:
+    """One hash per shingle, the least of each bin, empty bins filled from the next one, bins hashed by band."""
+    least = np.full((len(lines), _BINS), _EMPTY)
+    flat = least.reshape(-1)
+    codes = _codes("".join(lines))
+    length = np.array([len(x) for x in lines])
+    if len(codes) >= size:
+        hashes = _windows(codes, size)
+        row = np.repeat(np.arange(len(lines)), length)
+        full = row[: len(hashes)] == row[size - 1:]
+        _lower(flat, row[: len(hashes)][full], hashes[full])
+    for short in np.flatnonzero(length < size):
+        _lower(flat, np.array([short]), _windows(_codes(lines[short]), size))
     place = np.where(least != _EMPTY, np.arange(_BINS), 4 * _BINS)
     twice = np.concatenate([place, place + _BINS], axis=1)
     following = np.minimum.accumulate(twice[:, ::-1], axis=1)[:, ::-1][:, :_BINS]
@@ -87,7 +93,7 @@ def _lower(flat: np.ndarray, row: np.ndarray, hashes: np.ndarray) -> None:
 def _lines(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """One row per line that is not blank; its bands once per task."""
     told: set[int] = set()
-    for batch in batches:
+    for batch in small_batches(batches):
         ids, keys, numbers, lines, new, new_at = [], [], [], [], [], []
         for doc_id, key, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
             for no, line in enumerate((text or "").split("\n")):
@@ -107,20 +113,22 @@ def _lines(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBa
             names=["doc_id", "text_key", "no", "line", "bands"])
 
 
-def _line_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _line_texts(batches: Iterator[pa.RecordBatch], wanted: Broadcast) -> Iterator[pa.RecordBatch]:
     told: set[int] = set()
-    for batch in batches:
+    for batch in small_batches(batches):
         lines, texts = [], []
         for text in batch.column(0).to_pylist():
             for line in (text or "").split("\n"):
                 if (line := _norm(line)) and (own := _line_id(line)) not in told:
                     told.add(own)
                     lines.append(own), texts.append(line)
-        yield pa.RecordBatch.from_arrays([pa.array(lines, pa.int64()), pa.array(texts, pa.string())], names=["line", "text"])
+        keep = np.flatnonzero(in_set(wanted.value, np.array(lines, np.int64)))
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(lines, np.int64)[keep]), pa.array([texts[k] for k in keep], pa.string())],
+                                         names=["line", "text"])
 
 
 def _linked(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small_batches(batches):
         made: dict[int, np.ndarray] = {}
         keep = []
         for a, b, x, y in zip(*(batch.column(k).to_pylist() for k in range(4))):
@@ -143,8 +151,8 @@ def line_components(texts: DataFrame, lines: DataFrame, size: int, percent: int)
     """
     bands = lines.where("bands IS NOT NULL").select(F.explode("bands").alias("band"), "line")
     shared = written(shared_postings(bands).distinct(), "shared")
-    wanted = shared.select("line").distinct()
-    known = written(texts.mapInArrow(_line_texts, "line long, text string").join(wanted, "line", "left_semi")
+    wanted = written(shared.select("line").distinct(), "wanted")
+    known = written(texts.mapInArrow(partial(_line_texts, wanted=id_set(wanted)), "line long, text string").join(wanted, "line", "left_semi")
                     .groupBy("line").agg(F.min("text").alias("text")), "line-texts")
 
     def linked(pairs: DataFrame) -> DataFrame:
@@ -170,7 +178,7 @@ def line_components(texts: DataFrame, lines: DataFrame, size: int, percent: int)
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small_batches(batches):
         texts, counts, gone = [], [], []
         for text, removed in zip(batch.column("text").to_pylist(), batch.column("removed").to_pylist()):
             lines = [] if text is None else text.split("\n")

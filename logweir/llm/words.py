@@ -133,3 +133,20 @@ def texts_as_words(column: pa.Array, lower: bool) -> Iterator[np.ndarray]:
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
+
+
+def rolling(values: np.ndarray, width: int) -> np.ndarray:
+    """Hash of every run of ``width`` of up to a block of numbers, from differences of one running sum."""
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * _POWER[: len(values)], out=total[1:])
+    out = total[width:] - total[:-width]
+    out *= _INVERSE[: len(out)]
+    return mix(out + np.uint64(width))
+
+
+def small_batches(batches: Iterator[pa.RecordBatch], size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``size`` bytes, so that what a task makes of one stays small."""
+    for batch in batches:
+        each = max(1, batch.num_rows * size // max(batch.nbytes, 1))
+        for k in range(0, batch.num_rows, each):
+            yield batch.slice(k, each)
