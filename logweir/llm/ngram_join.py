@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweir.llm.components import components
+from logweir.llm.idset import id_set, in_set
 from logweir.llm.postings import shared_postings
 from logweir.llm.scratch import written
 from logweir.llm.words import mix, seeds, shingles, signed, texts_as_words
@@ -21,8 +22,7 @@ PERCENT = 75
 KEYS = 16
 # A shingle in the prefixes of this many documents, or more, is ordered last.
 FREQUENT = 32
-# Bits of the broadcast set of frequent shingles, and how many shingles it takes.
-FREQUENT_BITS = 1 << 25
+# How many shingles are ordered last at most; the most frequent ones are.
 FREQUENT_MOST = 2_000_000
 _SLACK = 1e-9
 
@@ -77,8 +77,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], size: int, percent: int,
                 continue
             told.add(own)
             if bits is not None:
-                at = members & np.uint64(FREQUENT_BITS - 1)
-                often = (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+                often = in_set(bits, members)
                 members = np.concatenate([members[~often], members[often]])
             n = len(members)
             head = members[: n - -(-n * percent // 100) + 1]
@@ -90,11 +89,14 @@ def _prefixes(batches: Iterator[pa.RecordBatch], size: int, percent: int,
                  pa.array(np.concatenate(at_parts))], names=["shingle", "class", "at"])
 
 
-def _class_sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+def _class_sets(batches: Iterator[pa.RecordBatch], size: int, wanted: Broadcast) -> Iterator[pa.RecordBatch]:
+    """Classes and sets of documents with wanted ids (and of all without an id); a class once per task."""
     told: set[int] = set()
     for batch in batches:
+        ids = batch.column(0)
+        keep = in_set(wanted.value, ids.fill_null(0).to_numpy()) | ids.is_null().to_numpy(zero_copy_only=False)
         classes, sets = [], []
-        for members in _sets(batch.column(0), size):
+        for members in _sets(batch.column(1).filter(pa.array(keep)), size):
             if len(members) and (own := _class(members)) not in told:
                 told.add(own)
                 classes.append(own), sets.append(signed(members))
@@ -135,9 +137,8 @@ class _Join:
         pairs = written(pairs.select("a", "b"), "pairs")
         needed = written(pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
                          .join(self.classes.select("class", "first_id"), "class"), "needed")
-        chosen = self.docs.join(needed, self.docs["doc_id"].eqNullSafe(needed["first_id"]), "left_semi")
-        sets = written(chosen.select("text").mapInArrow(partial(_class_sets, size=self.size), _SET)
-                       .join(needed.select("class"), "class", "left_semi"), "sets")
+        found = self.docs.mapInArrow(partial(_class_sets, size=self.size, wanted=id_set(needed.select("first_id"))), _SET)
+        sets = written(found.join(needed.select("class"), "class", "left_semi"), "sets")
         one = sets.select(F.col("class").alias("a"), F.col("members").alias("a_members"))
         two = sets.select(F.col("class").alias("b"), F.col("members").alias("b_members"))
         both = pairs.join(one, "a").join(two, "b").select("a", "b", "a_members", "b_members")
@@ -194,13 +195,7 @@ class _Join:
             if total + n > FREQUENT_MOST:
                 break
             least, total = step, total + n
-        place = F.col("shingle").bitwiseAND(F.lit(FREQUENT_BITS - 1))
-        bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
-        rows = (counts.where(F.col("count") >= F.lit(float(1 << least)))
-                .groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toPandas())
-        bits = np.zeros(FREQUENT_BITS // 64, np.uint64)
-        bits[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
-        return counts.sparkSession.sparkContext.broadcast(bits)
+        return id_set(written(counts.where(F.col("count") >= F.lit(float(1 << least))).select("shingle"), "frequent-ids"))
 
     def _room(self, a_n: str, b_n: str) -> Column:
         """Whether two sets can be linked, by the prefix shingles they share and what follows the last of them in each.
