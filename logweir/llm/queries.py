@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logweir.llm import decontaminate, embedding_dups, line_dedup, mixing, ngram_join, substring_dedup
+from logweir.llm import decontaminate, embedding_dups, language_id, line_dedup, mixing, ngram_join, substring_dedup
 
 
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,7 @@ def _over(table: str, query: Callable[[DataFrame], DataFrame]) -> Callable[[Spar
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_crf_language": _over("documents", language_id.predicted_languages),
     "op3_pareto_mix": _over("documents", mixing.mixed_words),
     "op5_ngram_join": _over("documents", ngram_join.joined_documents),
     "op6_line_dedup": _over("documents", line_dedup.kept_lines),
