@@ -14,7 +14,7 @@ from logweir.llm.components import components
 from logweir.llm.idset import id_set, in_set
 from logweir.llm.postings import shared_postings
 from logweir.llm.scratch import written
-from logweir.llm.words import mix, seeds, shingles, signed, texts_as_words
+from logweir.llm.words import mix, seeds, shingles, signed, small_batches, texts_as_words
 
 SHINGLE = 5
 PERCENT = 75
@@ -45,7 +45,7 @@ def _class(members: np.ndarray) -> int:
 
 def _sketches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     turn = seeds(KEYS, 300)
-    for batch in batches:
+    for batch in small_batches(batches):
         classes, counts, keys = [], [], []
         for members in _sets(batch.column(1), size):
             counts.append(len(members))
@@ -70,7 +70,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], size: int, percent: int,
     """
     bits = frequent.value if frequent is not None else None
     told: set[int] = set()
-    for batch in batches:
+    for batch in small_batches(batches):
         shingle_parts, class_parts, at_parts = [], [], []
         for members in _sets(batch.column(0), size):
             if len(members) == 0 or (own := _class(members)) in told:
@@ -92,7 +92,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], size: int, percent: int,
 def _class_sets(batches: Iterator[pa.RecordBatch], size: int, wanted: Broadcast) -> Iterator[pa.RecordBatch]:
     """Classes and sets of documents with wanted ids (and of all without an id); a class once per task."""
     told: set[int] = set()
-    for batch in batches:
+    for batch in small_batches(batches):
         ids = batch.column(0)
         keep = in_set(wanted.value, ids.fill_null(0).to_numpy()) | ids.is_null().to_numpy(zero_copy_only=False)
         classes, sets = [], []

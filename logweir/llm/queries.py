@@ -5,7 +5,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logweir.llm import decontaminate, embedding_dups, language_id, line_dedup, mixing, ngram_join, substring_dedup
+from logweir.llm import decontaminate, embedding_dups, language_id, line_dedup, mixing, ngram_join, secret_scan, substring_dedup
+from logweir.llm import token_files
+from logweir.llm.scratch import small_arrow_batches
 
 
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,12 +17,14 @@ def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _over(table: str, query: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: query(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+    return lambda spark, sf_dir: query(small_arrow_batches(spark).read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_crf_language": _over("documents", language_id.predicted_languages),
+    "op2_secret_scan": _over("documents", secret_scan.found_secrets),
     "op3_pareto_mix": _over("documents", mixing.mixed_words),
+    "op4_token_counts": _over("documents", token_files.token_counts),
     "op5_ngram_join": _over("documents", ngram_join.joined_documents),
     "op6_line_dedup": _over("documents", line_dedup.kept_lines),
     "op8_benchmark_leaks": _leaks,

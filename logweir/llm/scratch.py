@@ -7,6 +7,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+_BATCH_BYTES = 8 << 20
+
+
+def small_arrow_batches(spark: SparkSession) -> SparkSession:
+    """Lets Spark send Python at most about 8 MB at a time, so that long texts and sets do not add up in memory."""
+    spark.conf.set(_BATCH_SETTING, str(_BATCH_BYTES))
+    return spark
 
 
 def shared_folder(spark: SparkSession) -> str:
