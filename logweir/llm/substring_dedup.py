@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logweir.llm.scratch import written
-from logweir.llm.words import mix, seeds, shingles, signed, text_buffers, texts_as_words, word_hashes, word_starts
+from logweir.llm.words import mix, seeds, shingles, signed, small_batches, text_buffers, texts_as_words, word_hashes, word_starts
 
 WINDOW = 50
 MINIMISER = 5
@@ -50,7 +50,7 @@ def _super_kmers(words: np.ndarray, width: int, size: int) -> tuple[np.ndarray,
 
 
 def _runs(batches: Iterator[pa.RecordBatch], width: int, size: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small_batches(batches):
         parts = []
         ids, keys = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
         for k, words in enumerate(texts_as_words(batch.column(2), lower=False)):
@@ -71,7 +71,7 @@ def _runs(batches: Iterator[pa.RecordBatch], width: int, size: int) -> Iterator[
 
 def _segments(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """Cuts each super-k-mer out of its text as one string of its words."""
-    for batch in batches:
+    for batch in small_batches(batches):
         data, offsets = text_buffers(batch.column(2))
         begin, at = word_starts(data, offsets)
         raw = data.tobytes()
@@ -220,7 +220,7 @@ def repeated_ranges(docs: DataFrame, width: int = WINDOW, size: int = MINIMISER,
 
 
 def _kept(batches: Iterator[pa.RecordBatch], width: int, with_text: bool) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small_batches(batches):
         data, offsets = text_buffers(batch.column(1))
         begin, at = word_starts(data, offsets)
         raw = data.tobytes()
