@@ -80,7 +80,7 @@ def _emissions(field: np.ndarray, data: np.ndarray, begin: np.ndarray) -> np.nda
     return scores
 
 
-def _marginals(scores: np.ndarray, chain: np.ndarray, steps: np.ndarray, transitions: np.ndarray):
+def chain_marginals(scores: np.ndarray, chain: np.ndarray, steps: np.ndarray, transitions: np.ndarray):
     """Forward-backward over padded chains: probabilities of each word's languages, and the summed pair probabilities.
 
     ``chain`` and ``steps`` are each word's chain and place in it.
@@ -114,7 +114,7 @@ def _marginals(scores: np.ndarray, chain: np.ndarray, steps: np.ndarray, transit
 
 
 def _word_marginals(scores: np.ndarray, chain: np.ndarray, steps: np.ndarray, transitions: np.ndarray) -> np.ndarray:
-    """As ``_marginals`` without pairs, for labelling."""
+    """As ``chain_marginals`` without pairs, for labelling."""
     width, count, kinds = int(steps.max()) + 1, int(chain.max()) + 1, scores.shape[1]
     local = np.ones((width, count, kinds), np.float32)
     there = np.zeros((width, count, 1), bool)
@@ -177,7 +177,7 @@ def train(texts: list[str], languages: list[str]) -> Field | None:
             chain = np.repeat(np.arange(len(own)), length)
             steps = np.arange(len(chain)) - np.repeat(np.cumsum(length) - length, length)
             truth = np.concatenate([marks[k] for k in own])
-            found, pairs = _marginals(_emissions(weights, data, begin), chain, steps, transitions)
+            found, pairs = chain_marginals(_emissions(weights, data, begin), chain, steps, transitions)
             slope = -found / len(own)
             slope[np.arange(len(truth)), truth] += 1 / len(own)
             seen = np.zeros((kinds, kinds))

@@ -5,8 +5,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logweir.llm import decontaminate, embedding_dups, language_id, line_dedup, mixing, ngram_join, secret_scan, substring_dedup
-from logweir.llm import token_files
+from logweir.llm import decontaminate, embedding_dups, language_id, line_dedup, mixing, ngram_join
+from logweir.llm import personal_data, secret_scan, substring_dedup, token_files
 from logweir.llm.scratch import small_arrow_batches
 
 
@@ -27,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": _over("documents", token_files.token_counts),
     "op5_ngram_join": _over("documents", ngram_join.joined_documents),
     "op6_line_dedup": _over("documents", line_dedup.kept_lines),
+    "op7_personal_data": _over("documents", personal_data.found_personal_data),
     "op8_benchmark_leaks": _leaks,
     "op9_embedding_dups": _over("embeddings", embedding_dups.near_vectors),
     "op10_substring_dedup": _over("documents", substring_dedup.kept_words),
