@@ -4,26 +4,68 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from logweir.llm import mixing
-from logweir.llm.scratch import new_path
+from logweir.llm import decontaminate, language_id, line_dedup, mixing, ngram_join
+from logweir.llm.scratch import new_path, small_arrow_batches
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+# A text is rejected when no language has at least half of its words.
+LEAST_LANGUAGE_SCORE = 0.5
+
+
+def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language: texts that are null, have no letter, or are of no language for the most part go."""
+    small_arrow_batches(spark)
+    field = language_id.fit(docs, ~language_id.held_out(F.col("doc_id")))
+    found = language_id.with_languages(docs, field, with_runs=False)
+    known = F.lit(field is None) | ((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE))
+    return found.where(known).select(*docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that nearly repeat an earlier one; a document that loses all it has goes."""
+    small_arrow_batches(spark)
+    found = line_dedup.without_near_lines(docs)
+    emptied = (F.col("n_removed") > 0) & F.col("kept_text").rlike(r"^\s*$")
+    changed = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast(docs.schema["n_chars"].dataType)}
+    return found.where(~F.coalesce(emptied, F.lit(False))).select(*[changed.get(c, F.col(c)).alias(c) for c in docs.columns])
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one with the smallest doc_id. Rows of one doc_id are one document."""
+    small_arrow_batches(spark)
+    found = ngram_join.ngram_components(docs)
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == F.col("gone"), "left_anti")
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no benchmark item."""
+    return decontaminate.without_benchmark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with their number of copies."""
+    """The documents that the mix takes, with their size in words and number of copies."""
     mixed = mixing.mix_sources(docs)
-    return mixed.where("mix_copies > 0").select(*docs.columns, mixed["mix_size"].alias("size"), mixed["mix_copies"].alias("copies"))
+    return mixed.where("mix_copies > 0").select(*docs.columns, F.col("mix_size").alias("size"), F.col("mix_copies").alias("copies"))
 
 
-STAGES: list[tuple[str, Stage]] = [("mixing", mix)]
+STAGES: list[tuple[str, Stage]] = [
+    ("language ID", languages),
+    ("line dedup", lines),
+    ("near copies", near_copies),
+    ("benchmark decontamination", benchmark_leaks),
+    ("mixing", mix),
+]
 
 # A trained model decides the first stage; SQL cannot express it.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in order, each written as Parquet and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = new_path(spark, f"stage-{name.replace(' ', '-')}")

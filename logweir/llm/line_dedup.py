@@ -192,29 +192,34 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def without_near_lines(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, text_key, text, kept_text, n_lines, n_removed) for every row of ``docs`` (doc_id, text).
+    """All columns of ``docs`` (doc_id, text and others), and kept_text, n_lines and n_removed, for every row.
 
     Lines end at a newline. Two lines are similar when their sets of ``size``-character shingles
     (of the line in lower case without white space at its ends; a shorter line is one
     shingle) share at least ``percent`` of their union. Of the lines that similarity joins, the first by
     doc_id and line number stays, whatever the number of repeats. Blank lines stay. Null texts
     stay null and have no lines. Null doc_ids come last. Rows that repeat doc_id and text are
-    one document. ``text_key`` is xxhash64 of the text. No rows give no rows; other columns do not matter.
+    one document. No rows give no rows. Columns of ``docs`` that are named like a new one raise.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
-    lines = written(rows.select("doc_id", "text_key", "text").mapInArrow(partial(_lines, size=size), _LINE), "lines")
+    if clash := [c for c in docs.columns if c in ("kept_text", "n_lines", "n_removed", "removed") or c.startswith("line_dedup_")]:
+        raise ValueError(f"reserved column names: {clash}")
+    key = F.xxhash64("text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("text_key"), "text")
+    lines = written(rows.mapInArrow(partial(_lines, size=size), _LINE), "lines")
     joined = line_components(rows.select("text"), lines, size, percent)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "no", "text_key")
     placed = lines.join(joined, "line", "left").select(
         F.coalesce("component", "line").alias("component"), "doc_id", "text_key", "no", place.alias("place"))
     first = placed.groupBy("component").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first <> last")
-    gone = (placed.join(first, "component").where("place <> first").groupBy("doc_id", "text_key")
+    gone = (placed.join(first, "component").where("place <> first")
+            .groupBy(F.col("doc_id").alias("line_dedup_id"), F.col("text_key").alias("line_dedup_key"))
             .agg(F.collect_set("no").alias("removed")))
-    found = rows.join(gone, rows["doc_id"].eqNullSafe(gone["doc_id"]) & (rows["text_key"] == gone["text_key"]), "left").select(
-        rows["doc_id"], rows["text_key"], "text", "removed")
-    return found.mapInArrow(_kept, "doc_id long, text_key long, text string, kept_text string, n_lines long, n_removed long")
+    found = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("line_dedup_id")) & (key == F.col("line_dedup_key")), "left").select(
+        *[F.col(f"`{c}`") for c in docs.columns], "removed")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return found.mapInArrow(_kept, f"{fields}, kept_text string, n_lines long, n_removed long")
 
 
 def kept_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, n_lines, n_removed, kept_sha256) with the default parameters; null texts count as empty."""
-    return without_near_lines(docs).select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
+    return without_near_lines(docs.select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
