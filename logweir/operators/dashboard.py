@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 
 from ..functions.predicates import field
 from ..functions.time import between, utc
+from .search import prune_days
 
 HOT_DAYS, DELETE_DAYS = 7, 90  # Fixed values: age in days at which data turns warm, and is dropped.
 TOP_IPS, TOP_COUNTRIES, TOP_SSIDS, TOP_TYPES = 10, 200, 20, 5  # Fixed values: report sizes.
 
 
 def _in_range(events: DataFrame, from_ts, to_ts) -> DataFrame:
-    return events.filter(between("ts", from_ts, to_ts))
+    return prune_days(events, from_ts, to_ts).filter(between("ts", from_ts, to_ts))
 
 
 def _newest() -> Column:
@@ -37,7 +38,7 @@ def dashboard_stats(events: DataFrame, alerts: DataFrame, from_ts: datetime, to_
     from_events = _in_range(events, from_ts, to_ts).agg(
         F.count("*").alias("total_events"), *[F.count_if(c).alias(n) for n, c in conditions.items()],
         zero.alias("total_alerts"))
-    from_alerts = alerts.filter(between("created_at", from_ts, None)).agg(
+    from_alerts = prune_days(alerts, from_ts, None, "alert_date").filter(between("created_at", from_ts, None)).agg(
         zero.alias("total_events"), *[zero.alias(n) for n in conditions], F.count("*").alias("total_alerts"))
     names = ["total_events", "total_alerts", *conditions]
     return from_events.unionByName(from_alerts).agg(*[F.sum(n).alias(n) for n in names])

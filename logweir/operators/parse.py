@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..schema import EVENT, GEO, THREAT
 from .parsers import DEFAULT_PARSERS, Parser
-from .parsers.base import TEXT_FIELDS, UNIX_LINES
+from .parsers.base import MOST_PATTERNS, TEXT_FIELDS, UNIX_LINES
 
 # Header forms, month names and observer identity.
 PRI = r"^<\d+>"
@@ -22,7 +22,7 @@ PROGRAM_HOST = r"^(?:<\d+>)?(?:\S+ +\S+ +\S+ +)?(\S+)\s+([a-zA-Z0-9_\-]+)(?:\[\d
 MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
 OBSERVER_NAME, OBSERVER_VENDOR = "unifi", "Ubiquiti"
 
-_PER_PARSER = 100
+_PER_PARSER = MOST_PATTERNS + 1
 SENDER = "@sender"
 
 

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 
 from .access import ADMIN, AUTH, VPN
-from .base import Parser, Pattern
+from .base import MOST_PATTERNS, Parser, Pattern
 from .device import DEVICE, SYSTEM
 from .network import DHCP, DNS, PORT, TRAFFIC, WAN, WIRELESS
 from .security import FIREWALL, IDS, THREAT
@@ -17,6 +17,8 @@ def register_parser(parsers: tuple[Parser, ...], parser: Parser, position: int)
     """Log types with ``parser`` placed at ``position``, which decides its precedence."""
     if any(p.name == parser.name for p in parsers):
         raise ValueError(f"log type {parser.name!r} already present")
+    if len(parser.patterns) > MOST_PATTERNS:
+        raise ValueError(f"log type {parser.name!r} has more than {MOST_PATTERNS} patterns")
     return parsers[:position] + (parser,) + parsers[position:]
 
 

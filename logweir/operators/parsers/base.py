@@ -38,6 +38,10 @@ def like(regex: str, subject: str = "raw") -> str:
     return f"({subject} RLIKE {text(UNIX_LINES + regex)})"
 
 
+# Patterns a log type may have; they are numbered within a range of this size.
+MOST_PATTERNS = 9_999
+
+
 @dataclass(frozen=True)
 class Pattern:
     regex: str

@@ -2,7 +2,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field as dc_field
-from math import lcm
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,7 +11,7 @@ from ..functions.text import render
 from ..functions.time import iso_ms
 from ..schema import ALERT_COLUMNS
 from .folds import suppress
-from .windows import tick_counts
+from .windows import mixed_tick_counts
 
 SEVERITIES = ("critical", "high", "medium", "low", "info")  # Fixed values.
 # Event fields copied into an alert's metadata.
@@ -173,19 +172,14 @@ def _rule_rows(events: DataFrame, rules: list[Rule], compat: bool) -> DataFrame:
 def _candidates(events: DataFrame, rules: list[Rule], compat: bool) -> DataFrame:
     """Rows at or past their rule's threshold, with ``event_count``.
 
-    All rules share one window: times are scaled by rule so that every rule's
-    window has the same length.
+    All rules share one window, in which each row's time is measured by its rule's own length.
     """
     rows = _rule_rows(events, rules, compat)
-    windows = [r.condition.window_seconds for r in rules]
-    common = lcm(*windows) * 1000
     ticks = rows.groupBy("rule_no", "group_key", "ts_ms").agg(F.count("*").alias("n"))
-    scaled = ticks.withColumn("key", F.struct("rule_no", "group_key")) \
-        .withColumn("ts_ms", F.col("ts_ms") * _of_rule([common // (w * 1000) for w in windows]))
-    through = tick_counts(scaled.select("key", "ts_ms", "n"), common).select(
-        "key.*", (F.col("ts_ms")).alias("_scaled"), "n", "through")
-    through = through.filter(F.col("through") >= _of_rule([r.condition.threshold for r in rules])) \
-        .withColumn("ts_ms", F.try_divide("_scaled", _of_rule([common // (w * 1000) for w in windows])).cast("long")).drop("_scaled")
+    ticks = ticks.select(F.struct("rule_no", "group_key").alias("key"), "ts_ms", "n",
+                         _of_rule([r.condition.window_seconds * 1000 for r in rules]).cast("long").alias("window_ms"))
+    through = mixed_tick_counts(ticks).select("key.*", "ts_ms", "n", "through")
+    through = through.filter(F.col("through") >= _of_rule([r.condition.threshold for r in rules]))
     position = F.row_number().over(Window.partitionBy("rule_no", "group_key", "ts_ms").orderBy("id"))
     counted = rows.join(through, ["rule_no", "group_key", "ts_ms"]) \
         .withColumn("event_count", F.col("through") - F.col("n") + position).drop("through", "n")

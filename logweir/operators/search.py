@@ -1,7 +1,7 @@
 """Log search, alert lists and acknowledgement."""
 from __future__ import annotations
 
-from datetime import datetime, timedelta, timezone
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,14 +29,15 @@ def message_search(query: str) -> Column:
     return full_text(query, ["message", "raw_message"]) | exact
 
 
-def prune_days(events: DataFrame, from_ts: datetime | None, to_ts: datetime | None,
-               now: datetime | None = None) -> DataFrame:
-    """Limit a day-partitioned table to the days the bounds touch, both ends included."""
-    if "event_date" not in events.columns or (from_ts is None and to_ts is None):
-        return events
-    now = now or datetime.now(timezone.utc)
-    first, last = utc(from_ts or now - timedelta(days=1)), utc(to_ts or now)
-    return events.filter(F.col("event_date").between(F.lit(first.date()), F.lit(last.date())))
+def prune_days(rows: DataFrame, from_ts: datetime | None, to_ts: datetime | None, day: str = "event_date") -> DataFrame:
+    """Limit a table partitioned by ``day`` to the days the bounds touch, both ends included; an absent bound is open."""
+    if day not in rows.columns:
+        return rows
+    if from_ts is not None:
+        rows = rows.filter(F.col(day) >= F.lit(utc(from_ts).astimezone(timezone.utc).date()))
+    if to_ts is not None:
+        rows = rows.filter(F.col(day) <= F.lit(utc(to_ts).astimezone(timezone.utc).date()))
+    return rows
 
 
 def matching_logs(events: DataFrame, q: str | None = None, dataset: str | None = None,
@@ -72,19 +73,21 @@ def recent_events(events: DataFrame, condition: Column, n: int) -> DataFrame:
     return events.filter(condition).orderBy(F.desc("ts"), F.col("event.id")).limit(n)
 
 
-def recent_vpn(events: DataFrame, from_ts=None, to_ts=None) -> DataFrame:
-    return recent_events(events, (F.col("event.dataset") == "unifi.vpn") & between("ts", from_ts, to_ts), VPN_LIST)
+def recent_vpn(events: DataFrame, from_ts=None, to_ts=None, n: int = VPN_LIST) -> DataFrame:
+    return recent_events(prune_days(events, from_ts, to_ts),
+                         (F.col("event.dataset") == "unifi.vpn") & between("ts", from_ts, to_ts), n)
 
 
 def recent_threats(events: DataFrame, from_ts=None, to_ts=None, n: int = THREAT_LIST) -> DataFrame:
     if not 1 <= n <= PAGE_LIMIT:
         raise ValueError("n is between 1 and 200")
-    return recent_events(events, F.col("source.threat_intel.matched") & between("ts", from_ts, to_ts), n)
+    return recent_events(prune_days(events, from_ts, to_ts),
+                         F.col("source.threat_intel.matched") & between("ts", from_ts, to_ts), n)
 
 
 def matching_alerts(alerts: DataFrame, severity: str | None = None, acknowledged: bool | None = None,
                     from_ts: datetime | None = None, to_ts: datetime | None = None) -> DataFrame:
-    out = alerts.filter(between("created_at", from_ts, to_ts))
+    out = prune_days(alerts, from_ts, to_ts, "alert_date").filter(between("created_at", from_ts, to_ts))
     if severity is not None:
         out = out.filter(F.col("severity") == severity)
     if acknowledged is not None:

@@ -4,6 +4,8 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 from datetime import datetime
+from tempfile import mkdtemp
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,10 +20,12 @@ from ..operators.parsers import DEFAULT_PARSERS
 from ..operators.windows import sliding_count
 from ..sources import feeds
 from ..sources.raw_logs import decode_events, encode_events
+from ..sources.store import read_events, write_events
 from . import sample_events, sample_logs, samples
-from .samples import DAY, TUNED_RULES
+from .samples import DAY, MIXED_RULES, TUNED_RULES
 
 FROM, TO, TODAY = datetime(2024, 1, 1), datetime(2024, 1, 31), datetime(2024, 2, 5)
+MIDDLE = datetime(2024, 1, 15, 12)
 SEARCH_WORDS = "error license password"
 # Id of the alert about the first user's device.
 KNOWN_ALERT = hashlib.sha256(b"rogue_device|b8:27:eb:00:00:00").hexdigest()
@@ -48,6 +52,15 @@ def _on_alerts(build: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf: build(samples.alerts(events(spark, sf)))
 
 
+def _stored(build: Callable[[DataFrame], DataFrame]) -> Query:
+    """A query over the events written by day and read again."""
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        path = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file://' + mkdtemp(prefix='logweir-')}/events-{uuid4().hex}"
+        write_events(events(spark, sf), path)
+        return build(read_events(spark, path))
+    return query
+
+
 def _bucket(df: DataFrame) -> DataFrame:
     return df.withColumn("bucket", iso_ms("bucket"))
 
@@ -287,6 +300,11 @@ QUERIES: dict[str, Query] = {
     "search_logs": _on_events(lambda e: _flat_event(search.search_logs(
         e, number=2, size=50, q="click 33", severity_min=3, from_ts=FROM, to_ts=TO))),
     "full_text_search": full_text_search,
+    "store_round_trip": _stored(_flat_event),
+    "pruned_search": _stored(lambda e: _flat_event(search.matching_logs(e, from_ts=FROM, to_ts=TO))),
+    "pruned_search_to": _stored(lambda e: _flat_event(search.matching_logs(e, to_ts=TO))),
+    "pruned_search_from": _stored(lambda e: _flat_event(search.matching_logs(e, from_ts=MIDDLE))),
+    "pruned_dashboard": _stored(lambda e: dashboard.top_source_ips(e, FROM, TO)),
     "get_event": _on_events(lambda e: _flat_event(search.get_event(e, "000000000123"))),
     "recent_vpn": _on_events(lambda e: _flat_event(search.recent_vpn(e, FROM, TO))),
     "recent_threat_matches": _on_events(lambda e: _flat_event(search.recent_threats(e, FROM, TO))),
@@ -306,6 +324,7 @@ QUERIES: dict[str, Query] = {
     "threshold_candidates": _on_events(candidates),
     "suppress_alerts": _on_events(dispositions),
     "alerts_by_rule": _on_events(lambda e: rules.alerts_by_rule(e, TUNED_RULES)),
+    "rules_mixed_windows": _on_events(lambda e: rules.alerts_by_rule(e, MIXED_RULES)),
     **{f"rule_{r.id}": _rule(r) for r in TUNED_RULES},
     "brute_force": _on_events(lambda e: _scan(detect.brute_force(e, DAY, 3))),
     "port_scan": _on_events(lambda e: _scan(detect.port_scan(e, DAY, 3))),

@@ -8,7 +8,7 @@ from __future__ import annotations
 from .catalog import KNOWN_ALERT, SEARCH_WORDS
 from .sample_events import duckdb_flat, duckdb_requests
 from .sample_logs import FIELDS, CONSTANTS, duckdb_expected
-from .samples import DAY, FEED_LINE, FEED_NAME, TUNED_RULES
+from .samples import DAY, FEED_LINE, FEED_NAME, MIXED_RULES, TUNED_RULES
 
 ECS = f"ecs AS ({duckdb_flat()})"
 RANGE = "event_ts BETWEEN TIMESTAMP '2024-01-01' AND TIMESTAMP '2024-01-31'"
@@ -215,6 +215,8 @@ WORDS = ", ".join(f"'{w}'" for w in SEARCH_WORDS.split())
 CHECKS: dict[str, str] = {
     "top_source_ips": _over_ecs(f"""SELECT source_ip, count(*) AS event_count, coalesce(max(country_name), 'Unknown') AS country
         FROM ecs WHERE {RANGE} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10"""),
+    "pruned_dashboard": _over_ecs(f"""SELECT source_ip, count(*) AS event_count, coalesce(max(country_name), 'Unknown') AS country
+        FROM ecs WHERE {RANGE} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10"""),
     "dashboard_stats": _over_alerts(f"""SELECT count(*) AS total_events,
         (SELECT count(*) FROM alerts WHERE created_at >= TIMESTAMP '2024-01-01') AS total_alerts,
         count(*) FILTER (WHERE dataset = 'unifi.firewall' AND outcome = 'failure') AS blocked_connections,
@@ -245,6 +247,10 @@ CHECKS: dict[str, str] = {
         AND list_has_any(string_split_regex(lower(message), '[^\\w]+'), ['click', '33']) ORDER BY event_ts DESC, id LIMIT 50 OFFSET 50"""),
     "full_text_search": f"""SELECT doc_id, lang, source FROM documents
         WHERE list_has_any(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}_]+'), [{WORDS}])""",
+    "store_round_trip": _over_ecs(f"SELECT {EVENT} FROM ecs"),
+    "pruned_search": _over_ecs(f"SELECT {EVENT} FROM ecs WHERE {RANGE}"),
+    "pruned_search_to": _over_ecs(f"SELECT {EVENT} FROM ecs WHERE event_ts <= TIMESTAMP '2024-01-31'"),
+    "pruned_search_from": _over_ecs(f"SELECT {EVENT} FROM ecs WHERE event_ts >= TIMESTAMP '2024-01-15 12:00:00'"),
     "get_event": _over_ecs(f"SELECT {EVENT} FROM ecs WHERE id = '000000000123'"),
     "recent_vpn": _over_ecs(f"SELECT {EVENT} FROM ecs WHERE {RANGE} AND dataset = 'unifi.vpn' ORDER BY event_ts DESC, id LIMIT 100"),
     "recent_threat_matches": _over_ecs(f"SELECT {EVENT} FROM ecs WHERE {RANGE} AND matched ORDER BY event_ts DESC, id LIMIT 50"),
@@ -267,6 +273,8 @@ CHECKS: dict[str, str] = {
     "suppress_alerts": _walked(ALL_RULES, "SELECT rule_no, id, group_key, disposition FROM walk JOIN ordered USING (g, rn)"),
     "alerts_by_rule": _walked(ALL_RULES, """SELECT rule_id, rule_severity AS severity, disposition, count(*) AS n
         FROM walk JOIN ordered USING (g, rn) GROUP BY 1, 2, 3"""),
+    "rules_mixed_windows": _walked(list(enumerate(MIXED_RULES)), """SELECT rule_id, rule_severity AS severity, disposition, count(*) AS n
+        FROM walk JOIN ordered USING (g, rn) GROUP BY 1, 2, 3"""),
     **{f"rule_{r.id}": _rule_check(i, r) for i, r in ALL_RULES},
     "brute_force": _brute(DAY, 3),
     "port_scan": _scan(DAY, 3),

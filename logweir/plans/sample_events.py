@@ -97,9 +97,8 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give a table read as fewer parts than there are cores one part per core; larger tables stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    """Deal out a table that is read as a single part; all others stay as they are read."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if df.rdd.getNumPartitions() == 1 else df
 
 
 def events_flat(events: DataFrame) -> DataFrame:

@@ -24,6 +24,11 @@ def tuned(rule: rules.Rule) -> rules.Rule:
 TUNED_RULES = [tuned(r) for r in rules.SHIPPED_RULES]
 
 
+# Windows without common factors.
+MIXED_RULES = [replace(r, condition=replace(r.condition, window_seconds=288 * w))
+               for r, w in zip(TUNED_RULES, (61, 67, 71, 73, 79, 83, 300))]
+
+
 def geo_ranges(nation: DataFrame) -> DataFrame:
     """One /24 per nation."""
     key = F.col("n_nationkey")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logweir.functions.network import cidr_bounds, ip_to_long, is_non_routable, is_private, normalize_mac
-from logweir.operators import enrich, notify, requests as req, search
+from logweir.operators import dashboard, enrich, notify, requests as req, search
 from logweir.plans import samples
 from logweir.plans.sample_events import events_as_ecs, read
 from logweir.sources import feeds, raw_logs, store
@@ -112,6 +112,11 @@ def test_event_table_days_and_expiry(spark, sf_dir, tmp_path):
     day = search.prune_days(stored, dt.datetime(2024, 1, 5, 23), dt.datetime(2024, 1, 6, 1))
     assert {str(r.event_date) for r in day.select("event_date").distinct().collect()} == {"2024-01-05", "2024-01-06"}
     assert "PartitionFilters: [isnotnull(event_date" in day._jdf.queryExecution().toString()
+    for bounds in ({"to_ts": dt.datetime(2024, 1, 31)}, {"from_ts": dt.datetime(2024, 1, 15)}, {}):
+        pruned, plain = (search.matching_logs(e, **bounds).count() for e in (stored, stored.drop("event_date")))
+        assert pruned == plain == search.matching_logs(events, **bounds).count()
+    top = dashboard.top_source_ips(stored, dt.datetime(2024, 1, 5), dt.datetime(2024, 1, 6))
+    assert "PartitionFilters: [isnotnull(event_date" in top._jdf.queryExecution().toString()
     dropped = store.drop_expired(spark, path, dt.date(2024, 4, 3))
     assert dropped == ["event_date=2024-01-01", "event_date=2024-01-02", "event_date=2024-01-03", "event_date=2024-01-04"]
 
