@@ -21,7 +21,7 @@ PERCENT = 75
 # Minima by which a document looks for pivots.
 KEYS = 16
 # A shingle in the prefixes of this many documents, or more, is ordered last.
-FREQUENT = 32
+FREQUENT = 8
 # How many shingles are ordered last at most; the most frequent ones are.
 FREQUENT_MOST = 2_000_000
 _SLACK = 1e-9
@@ -122,6 +122,13 @@ def _met_often(met: DataFrame, *keep: str) -> DataFrame:
     return met.groupBy("a", "b", *keep).agg(F.count("*").alias("common"), F.max("a_at").alias("a_last"), F.max("b_at").alias("b_last"))
 
 
+def _parted(postings: DataFrame) -> DataFrame:
+    """Postings of shingles that classes of different components have; what is connected already needs no more links."""
+    several = (postings.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+               .where("low <> high").select("shingle"))
+    return postings.join(several, "shingle")
+
+
 class _Join:
     """The documents of one join, their classes, and how pairs of classes are measured."""
 
@@ -150,16 +157,24 @@ class _Join:
         The candidate of a minimum is the class whose minima are shared most: it lies in the middle
         of the others. Candidates follow one order, so no two are each other's.
         """
-        keyed = self.classes.select("class", "n", F.explode("keys").alias("key"))
-        often = keyed.groupBy("key").agg(F.count("*").alias("often")).where("often > 1")
-        keyed = written(keyed.join(often, "key"), "keyed")
+        keyed = self._keyed()
         score = keyed.groupBy("class").agg(F.sum("often").alias("score"))
         best = (keyed.join(score, "class").groupBy("key")
-                .agg(F.max(F.struct("score", "class", "n")).alias("best"))
-                .select("key", F.col("best.class").alias("b"), F.col("best.n").alias("b_n")))
+                .agg(F.max(F.struct("score", "class", "n")).alias("best")))
+        return self.measure(self._pairs(keyed, best))
+
+    def _keyed(self) -> DataFrame:
+        """(key, class, n, often): the minima that several classes have."""
+        keyed = self.classes.select("class", "n", F.explode("keys").alias("key"))
+        often = keyed.groupBy("key").agg(F.count("*").alias("often")).where("often > 1")
+        return written(keyed.join(often, "key"), "keyed")
+
+    def _pairs(self, keyed: DataFrame, best: DataFrame) -> DataFrame:
+        """(a, b): each class with the one chosen for each of its keys, where their sizes allow a link."""
+        best = best.select("key", F.col("best.class").alias("b"), F.col("best.n").alias("b_n"))
         near = (F.least("n", "b_n") * 100 >= F.greatest("n", "b_n") * self.percent)
-        return self.measure(keyed.join(best, "key").where((F.col("class") != F.col("b")) & near)
-                            .select(F.col("class").alias("a"), "b").distinct())
+        return (keyed.join(best, "key").where((F.col("class") != F.col("b")) & near)
+                .select(F.col("class").alias("a"), "b").distinct())
 
     def regions(self, measured: DataFrame) -> DataFrame:
         """(class, n, region, radius): the nearest pivot within reach, else the class itself.
@@ -197,6 +212,11 @@ class _Join:
             least, total = step, total + n
         return id_set(written(counts.where(F.col("count") >= F.lit(float(1 << least))).select("shingle"), "frequent-ids"))
 
+    def _joined(self, rows: DataFrame, found: DataFrame) -> DataFrame:
+        """``rows`` with the component of their class, by the links found so far."""
+        joined = components(found).withColumnRenamed("node", "class")
+        return rows.join(joined, "class", "left").withColumn("component", F.coalesce("component", "class"))
+
     def _room(self, a_n: str, b_n: str) -> Column:
         """Whether two sets can be linked, by the prefix shingles they share and what follows the last of them in each.
 
@@ -212,6 +232,7 @@ class _Join:
            is linked with it, so a region is connected.
         2. Regions that share prefix shingles (of single documents: enough of them) are measured by their
            pivots. They are linked, or out of reach of each other by the triangle inequality, or open.
+           Regions that links join already are not compared; only what they connect matters.
         3. Open pairs of regions are taken apart: only members in the boundary window of the
            other region, and of them only pairs whose distances to their pivots leave room for a
            link, are measured.
@@ -219,12 +240,14 @@ class _Join:
         measured = self.pivot_distances()
         regions = self.regions(measured)
         found = measured.where("linked").select("a", "b")
-        shared = written(self.postings().join(regions, "class"), "postings")
+        regions = self._joined(regions, found)
+        shared = written(_parted(self.postings().join(regions, "class")), "postings")
         extent = regions.groupBy("region").agg(F.max("radius").alias("radius"), F.min("n").alias("low"), F.max("n").alias("high"))
         extent = written(extent, "extent")
-        heads = shared.groupBy("shingle", "region").agg(F.max("at").alias("at"))
-        met = (heads.select("shingle", F.col("region").alias("a"), F.col("at").alias("a_at"))
-               .join(heads.select("shingle", F.col("region").alias("b"), F.col("at").alias("b_at")), "shingle").where("a < b"))
+        heads = shared.groupBy("shingle", "region", "component").agg(F.max("at").alias("at"))
+        met = (heads.select("shingle", F.col("region").alias("a"), F.col("at").alias("a_at"), F.col("component").alias("a_component"))
+               .join(heads.select("shingle", F.col("region").alias("b"), F.col("at").alias("b_at"), F.col("component").alias("b_component")),
+                     "shingle").where("a < b AND a_component <> b_component"))
         one, two = (extent.select(F.col("region").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("radius", "low", "high")])
                     for x in "ab")
         pairs = _met_often(met).join(one, "a").join(two, "b").where(
@@ -237,8 +260,7 @@ class _Join:
             .where("a_radius + b_radius > 0").select("a", "b", "distance", "a_radius", "b_radius"), "open")
         if open_pairs.limit(1).count() == 0:
             return found
-        joined = components(found).withColumnRenamed("node", "class")
-        members = written(shared.join(joined, "class", "left").withColumn("component", F.coalesce("component", "class")), "members")
+        members = written(_parted(self._joined(shared.drop("component"), found)), "members")
         room = F.col("distance") - self.reach - _SLACK
         side = (members.select("shingle", F.col("class").alias("x"), F.col("at").alias("a_at"), F.col("region").alias("a"), F.col("radius").alias("x_radius"),
                                F.col("n").alias("x_n"), F.col("component").alias("x_component"))
