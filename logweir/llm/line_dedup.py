@@ -19,8 +19,8 @@ from logweir.llm.words import mix, rolling, seeds, signed, small_batches
 
 SHINGLE = 8
 PERCENT = 80
-# A pair of lines at the threshold shares at least one of the bands with a chance of 0.997, one at 90 % with 0.99997.
-BANDS, BAND_ROWS = 8, 3
+# A pair of lines at the threshold shares at least one of the bands with a chance of 0.995, one at 90 % with 0.99998.
+BANDS, BAND_ROWS = 10, 4
 _BINS = BANDS * BAND_ROWS
 _EMPTY = np.uint64((1 << 64) - 1)
 _BLOCK = 1 << 16
