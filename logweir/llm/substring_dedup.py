@@ -16,7 +16,7 @@ from logweir.llm.words import mix, seeds, shingles, signed, small_batches, text_
 WINDOW = 50
 MINIMISER = 5
 # Buckets with more super-k-mers than this are counted by partial aggregates instead of one sort.
-HOT_BUCKET = 512
+HOT_BUCKET = 4096
 
 _RUN = "doc_id long, text_key long, n_words long, digest_a long, digest_b long, minimiser long, start int, windows int"
 _SEGMENT = "minimiser long, hot boolean, doc_id long, text_key long, start int, packed string"

@@ -31,7 +31,7 @@ def found(docs, **options):
                   for r in substring_dedup.without_repeats(docs, **options).collect())
 
 
-@pytest.mark.parametrize("hot", [512, 1])
+@pytest.mark.parametrize("hot", [4096, 1])
 def test_equals_brute_force(documents, hot):
     passage, loop = words(5, 70), words(6, 9) * 30
     rows = [(k, " ".join(words(200 + k, 60) + (passage if k % 2 else passage[:55]) + words(300 + k, 20) + (loop if k % 3 else loop[4:])))
