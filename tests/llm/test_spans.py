@@ -50,11 +50,15 @@ def test_queries(spark, documents, odd_rows):
         assert len(odd) == len(odd_rows) and query(documents([])).count() == 0
 
 
-def test_tagger_finds_other_spellings(spark):
+def test_tagger_on_held_out_texts(spark):
+    """The tagger alone finds most base spans of texts it has not seen, and nothing where nothing is."""
     texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("text rlike '[0-9@]'").orderBy("doc_id").collect()]
     hit = [t for t in texts if personal_data.base_spans(t)]
     tagger = personal_data.train(hit[:200] + [t for t in texts if not personal_data.base_spans(t)][:200])
-    said = "hello (555) 123-4567 or bob and 4111-1111-1111-1112 ok Version 2.0 from 2024"
-    found = {(k, said[a:b]) for a, b, k in personal_data.model_spans(tagger, [said])[0]}
-    assert ("phone", "(555) 123-4567") in found and len(found) <= 2
+    known = found = 0
+    for text, own in zip(hit[200:400], personal_data.model_spans(tagger, hit[200:400])):
+        for start, end, kind in personal_data.base_spans(text):
+            known += 1
+            found += any(a < end and start < b and k == kind for a, b, k in own)
+    assert known > 50 and found >= 0.5 * known
     assert personal_data.model_spans(tagger, ["no digits at all in here", "Licensed under version 2.0."]) == [[], []]
