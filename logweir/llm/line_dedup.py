@@ -17,10 +17,10 @@ from logweir.llm.postings import shared_postings
 from logweir.llm.scratch import written
 from logweir.llm.words import mix, rolling, seeds, signed, small_batches
 
-SHINGLE = 8
+SHINGLE = 6
 PERCENT = 80
-# A pair of lines at the threshold shares at least one of the bands with a chance of 0.995, one at 90 % with 0.99998.
-BANDS, BAND_ROWS = 10, 4
+# A pair of lines at the threshold shares at least one of the bands with a chance of 0.998, one at 90 % with 0.999997.
+BANDS, BAND_ROWS = 12, 4
 _BINS = BANDS * BAND_ROWS
 _EMPTY = np.uint64((1 << 64) - 1)
 _BLOCK = 1 << 16

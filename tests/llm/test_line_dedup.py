@@ -62,3 +62,16 @@ def test_signatures_do_not_depend_on_neighbours():
     lines = [" ".join(words(k, 5 + 900 * (k % 3))) for k in range(9)] + ["ab"]
     together = line_dedup._signatures(lines, 8)
     assert all((line_dedup._signatures([x], 8)[0] == together[k]).all() for k, x in enumerate(lines))
+
+
+def test_a_changed_character_in_sixty_is_a_near_repeat(documents):
+    line = "the quick brown fox jumps over the lazy dog while birds sing"
+    other = line[:30] + "#" + line[31:]
+    rows = [(1, line), (2, other)]
+    shapes = [{x[k:k + 6] for k in range(55)} for x in (line, other)]
+    assert len(line) == 60 and 0.8 <= len(shapes[0] & shapes[1]) / len(shapes[0] | shapes[1]) < 0.81
+    assert found(documents(rows)) == [(1, line, line), (2, other, "")]
+
+
+def test_bands_at_the_threshold():
+    assert 1 - (1 - 0.8 ** line_dedup.BAND_ROWS) ** line_dedup.BANDS >= 0.998
