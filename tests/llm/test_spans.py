@@ -1,6 +1,7 @@
 """Secrets and personal data: base spans against plain patterns, and what the networks add."""
 import re
 
+import numpy as np
 from logweir.llm import personal_data, secret_scan
 
 from conftest import SF_DIR
@@ -62,3 +63,16 @@ def test_tagger_on_held_out_texts(spark):
             found += any(a < end and start < b and k == kind for a, b, k in own)
     assert known > 50 and found >= 0.5 * known
     assert personal_data.model_spans(tagger, ["no digits at all in here", "Licensed under version 2.0."]) == [[], []]
+
+
+def test_threshold_keeps_the_recall_of_a_weak_network():
+    """Half of the findings look like the other tokens, so the quantile is far below 0.9."""
+    rng = np.random.default_rng(5)
+    codes = rng.integers(1, secret_scan._CODES, (400, secret_scan._WIDTH))
+    labels = (np.arange(400) % 2).astype(float)
+    net = secret_scan._fit_network(codes[:200], labels[:200], epochs=1)
+    secret_scan._calibrate(net, codes[200:], labels[200:], 0.98)
+    kept = net.scores(codes[200:][labels[200:] == 1]) >= net.threshold
+    assert net.threshold < 0.9 and net.recall == kept.mean() >= 0.98
+    secret_scan._calibrate(net, codes[200:], labels[200:], 0.98, least_score=0.9)
+    assert net.threshold >= 0.9 and net.recall < 0.98
