@@ -70,11 +70,13 @@ def _doc_shingles(size: int) -> Column:
 
 
 def _candidates(docs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
-    """(doc_id, text_key, item_id, length, size, start): windows that line a document up with an item.
+    """(doc_id, text_key, length, size, start): windows of documents that may be at the threshold.
 
     A window at the threshold has ``percent`` of the item's shingles, so documents that have fewer of
-    them anywhere have no such window. Of the others, every place where a shingle of both
-    lines them up gives a window.
+    them anywhere have no such window. Of the others, the windows are those at each place where a
+    shingle of both lines them up, and, as passages with words changed or put in may be most similar
+    elsewhere, those at every start between two such places at most two item lengths apart. No other window is
+    more similar than all of these: on moving it towards the places it only loses shingles that are not shared.
     """
     places = items.select("item_id", "length", "size", F.size("members").alias("weight"), F.posexplode("shingles").alias("at", "shingle"))
     places = written(places, "places")
@@ -91,7 +93,15 @@ def _candidates(docs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
              .groupBy("doc_id", "text_key", "item_id", "length", "size", "weight")
              .agg(F.size(F.collect_set("at")).alias("found"), F.collect_set("start").alias("starts"))
              .where(F.col("found") * 100 >= F.col("weight") * percent))
-    return seeds.select("doc_id", "text_key", "length", "size", F.explode("starts").alias("start")).distinct()
+    return seeds.select("doc_id", "text_key", "length", "size", F.explode(_between(F.col("starts"), F.col("length"))).alias("start")).distinct()
+
+
+def _between(starts: Column, length: Column) -> Column:
+    """The starts, and all numbers between two that follow each other at most twice ``length`` apart."""
+    def filled(s: Column) -> Column:
+        return F.flatten(F.transform(s, lambda x, i: _held(
+            F.coalesce(F.get(s, i + 1), x), lambda after: F.when((after > x) & (after - x <= 2 * length), F.sequence(x, after - 1)).otherwise(F.array(x)))))
+    return _held(F.array_sort(starts), filled)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = SHINGLE, percent: int = PERCENT, radius: int = RADIUS,
@@ -102,7 +112,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = SHINGLE, per
     document, where that is shorter) shares at least ``percent`` of the weight of the united
     shingles: runs of ``size`` words in lower case, weighed by their counts; items with fewer
     words are one shingle. Windows are those that a shared shingle
-    lines up with the item. One row per document and item: the most similar window, and of these the first. ``text_key`` is xxhash64 of the text; rows that repeat doc_id and text
+    lines up with the item, and all between two of these that are at most two item lengths apart. One row per document and item: the most similar window, and of these the first. ``text_key`` is xxhash64 of the text; rows that repeat doc_id and text
     give one row. Windows are fingerprinted by SimHash; different fingerprints, not windows, are
     matched with the items of their length by Hamming blocks that miss none within
     ``radius``; matches are verified exactly. Null and blank documents and items contain

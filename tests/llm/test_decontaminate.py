@@ -55,3 +55,19 @@ def test_blocks_miss_nothing_within_the_radius():
         for bit in rng.sample(range(64), 20):
             b ^= 1 << bit
         assert any((a >> lo) & ((1 << (hi - lo)) - 1) == (b >> lo) & ((1 << (hi - lo)) - 1) for lo, hi in zip(edges, edges[1:]))
+
+
+def test_best_window_between_two_alignments(spark, documents):
+    """Words changed at both ends and some put in: the windows that shared shingles line up are all below the threshold."""
+    def other(n, seed):
+        return [f"other{seed}x{k}" for k in range(n)]
+    one, two = ([f"{name}{k}" for k in range(1, n + 1)] for name, n in (("a", 59), ("b", 80)))
+    items = [(1, " ".join(one)), (2, " ".join(two))]
+    rows = [(1, " ".join(other(30, 1) + one[2:30] + other(3, 2) + one[30:58] + other(30, 3))),
+            (2, " ".join(other(30, 4) + two[3:40] + other(6, 5) + two[40:77] + other(30, 6))),
+            (3, " ".join(other(90, 7) + two[42:] + other(3, 8) + two[:40] + other(90, 9)))]
+    expected = brute(rows, items)
+    assert {(1, 1), (2, 2), (3, 2)} <= expected
+    found = decontaminate.contaminated(documents(rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == expected
+    assert round(next(r.similarity for r in found if r.doc_id == 1), 3) == 0.774
