@@ -76,3 +76,23 @@ def test_threshold_keeps_the_recall_of_a_weak_network():
     assert net.threshold < 0.9 and net.recall == kept.mean() >= 0.98
     secret_scan._calibrate(net, codes[200:], labels[200:], 0.98, least_score=0.9)
     assert net.threshold >= 0.9 and net.recall < 0.98
+
+
+def test_values_of_any_form_are_candidates():
+    text = "pwd = hunter; Passphrase is 'correct horse battery' pin 4711 x=\"p@ss!\" don't `abc"
+    assert {"hunter", "correct horse battery", "4711", "p@ss!", "abc"} <= {text[a:b] for a, b in secret_scan.candidates(text)}
+    for long_text in ("'" * 300_000, "a:" * 150_000, "x=" + " " * 300_000, "'a b" * 80_000, "key " * 80_000):
+        secret_scan.candidates(long_text)
+
+
+def test_the_middle_of_a_long_candidate_is_read():
+    """The highest of overlapping views is taken, and every character is in one of them."""
+    class Middle:
+        def scores(self, codes):
+            return (codes[:, secret_scan.BEFORE:secret_scan.BEFORE + 36] == ord("!") - 31).any(axis=1).astype(float)
+
+    for n in (37, 54, 55, 100, 5000):
+        assert {k for a, b in secret_scan._pieces(0, n)[1:] for k in range(a, b)} == set(range(n))
+    plain = "a" * 60
+    asked = [(plain + "!" + plain, (0, 121)), (plain + plain, (0, 120))]
+    assert secret_scan.span_scores(Middle(), asked).tolist() == [1.0, 0.0]
