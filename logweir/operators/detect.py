@@ -10,7 +10,7 @@ from ..functions.network import is_private, normalize_mac
 from ..functions.time import iso_ms
 from ..schema import ALERT_COLUMNS
 from .dashboard import is_auth_failure
-from .folds import bucket_fold, reset_fold
+from .folds import STORED_ITEMS, bucket_fold, reset_fold
 
 # Window seconds and thresholds.
 BRUTE_FORCE_WINDOW, BRUTE_FORCE_COUNT = 300, 10
@@ -86,8 +86,10 @@ def port_scan_totals(events: DataFrame, bucket: int = PORT_SCAN_BUCKET, n: int =
             .filter(F.col("ports") >= n).select(F.col("key").alias("source_ip"), "bucket", "ports"))
 
 
-def lateral_movement(events: DataFrame, window: int = LATERAL_WINDOW, n: int = LATERAL_HOSTS) -> DataFrame:
-    fired = reset_fold(internal_contacts(events), n, window, distinct=True)
+def lateral_movement(events: DataFrame, window: int = LATERAL_WINDOW, n: int = LATERAL_HOSTS,
+                     stored: int | None = STORED_ITEMS) -> DataFrame:
+    """Alerts name the first ``stored`` destinations; None for all."""
+    fired = reset_fold(internal_contacts(events), n, window, distinct=True, stored=stored)
     ip = F.col("key")
     return fired.select(*_alert(
         "lateral_movement", [ip, F.col("ts_ms"), F.col("item")], F.concat(F.lit("Lateral Movement: "), ip),

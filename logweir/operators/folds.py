@@ -20,7 +20,7 @@ from .fold_steps import NONE, CountChunk, DistinctChunk
 from .windows import time_chunks
 
 MIN_CHUNK_MS = 600_000
-STORED_ITEMS = 20  # Fixed value: items kept with a firing.
+STORED_ITEMS = 20  # Fixed value: items kept with a firing, unless asked otherwise.
 
 
 def _in_key_order(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -62,10 +62,10 @@ def _chunk_of(number: int, rows: dict, n: int, window_ms: int, length_ms: int, d
     return CountChunk(ts, counts, first, n, window_ms, (number + 1) * length_ms)
 
 
-def _firings(key, chunk, fired, distinct: bool) -> Iterator[tuple]:
+def _firings(key, chunk, fired, distinct: bool, stored: int | None = STORED_ITEMS) -> Iterator[tuple]:
     for row, what in fired:
         yield (key, int(chunk.ts[row]), chunk.items[row] if distinct else None, 1 if distinct else what,
-               what[:STORED_ITEMS] if distinct else [])
+               what[:stored] if distinct else [])
 
 
 def _frames(rows: Iterator[tuple], names: list[str], size: int = 5000) -> Iterator[pd.DataFrame]:
@@ -89,10 +89,10 @@ def _able(chunks: DataFrame, n: int) -> DataFrame:
     return chunks.withColumn("_total", total).filter(F.col("_total") >= n).drop("_total")
 
 
-def reset_fold(rows: DataFrame, n: int, window_seconds: int, distinct: bool) -> DataFrame:
+def reset_fold(rows: DataFrame, n: int, window_seconds: int, distinct: bool, stored: int | None = STORED_ITEMS) -> DataFrame:
     """Firings over ``rows`` (key, ts_ms[, item]): the n-th event, or n-th distinct item, within the window.
 
-    A firing clears the window. One row per key, time and item.
+    A firing clears the window. One row per key, time and item, with the first ``stored`` items; None for all.
     """
     if n < 2:
         one = _ticks(rows, distinct)
@@ -128,7 +128,7 @@ def reset_fold(rows: DataFrame, n: int, window_seconds: int, distinct: bool) ->
         def rows():
             for key, number, part in _runs(batches):
                 chunk = _chunk_of(number, part, n, window_ms, length, distinct)
-                yield from _firings(key, chunk, chunk.fire(part["entry"][0])[0], distinct)
+                yield from _firings(key, chunk, chunk.fire(part["entry"][0])[0], distinct, stored)
         return _frames(rows(), FIRING_COLUMNS)
 
     table = _in_key_order(chunks, place, order).mapInPandas(

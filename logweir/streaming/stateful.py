@@ -33,7 +33,7 @@ def count_step(n: int, window_ms: int) -> Step:
     return step
 
 
-def distinct_step(n: int, window_ms: int | None, bucket_ms: int | None = None) -> Step:
+def distinct_step(n: int, window_ms: int | None, bucket_ms: int | None = None, stored: int | None = STORED_ITEMS) -> Step:
     def step(memory, t, values):
         item = values[0]
         if bucket_ms:
@@ -43,7 +43,7 @@ def distinct_step(n: int, window_ms: int | None, bucket_ms: int | None = None) -
         seen = sorted([x for x in kept if x[1] != item] + [[t, item]])
         remember = {"b": t // bucket_ms} if bucket_ms else {}
         if len(seen) >= n:
-            return {**remember, "q": []}, [(t, n, json.dumps([x[1] for x in seen][:STORED_ITEMS]))]
+            return {**remember, "q": []}, [(t, n, json.dumps([x[1] for x in seen][:stored]))]
         return {**remember, "q": seen}, []
     return step
 
@@ -149,9 +149,9 @@ def port_scan_stream(events: DataFrame, delay: str = "1 minute", bucket: int = P
 
 
 def lateral_movement_stream(events: DataFrame, delay: str = "1 minute", window: int = LATERAL_WINDOW,
-                            n: int = LATERAL_HOSTS) -> DataFrame:
+                            n: int = LATERAL_HOSTS, stored: int | None = STORED_ITEMS) -> DataFrame:
     return in_time_order(_timed(internal_contacts(clocked(events, delay)), "item", "item"),
-                         distinct_step(n, window * 1000), window * 1000)
+                         distinct_step(n, window * 1000, stored=stored), window * 1000)
 
 
 def sliding_count_stream(rows: DataFrame, delay: str, window: int) -> DataFrame:

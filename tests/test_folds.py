@@ -1,4 +1,5 @@
 """Folds against plain sequential simulations on random events."""
+import json
 import random
 
 import pytest
@@ -117,3 +118,18 @@ def test_sliding_count_with_ties(spark):
     some = {r.id: r["count"] for r in
             sliding_count(df, F.col("key"), F.col("ts"), F.col("id"), 5, at_least=6).collect()}
     assert some == {i: c for i, c in want.items() if c >= 6}
+
+
+def test_all_items_of_a_firing(spark):
+    from logweir.streaming.stateful import distinct_step
+
+    items = [f"10.0.0.{k}" for k in range(100, 125)]
+    rows = spark.createDataFrame([("a", 1_700_000_000_000 + k, x) for k, x in enumerate(items)], "key string, ts_ms long, item string")
+    for stored, want in ((None, items), (20, items[:20])):
+        assert [r["items"] for r in folds.reset_fold(rows, 25, 60, distinct=True, stored=stored).collect()] == [want]
+        step, memory, out = distinct_step(25, 60_000, stored=stored), {}, []
+        for k, x in enumerate(items):
+            memory, fired = step(memory, k, [x])
+            out += fired
+        assert out[0][2] == json.dumps(want)
+    assert [r["items"] for r in folds.reset_fold(rows, 25, 60, distinct=True).collect()] == [items[:20]]
