@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from logweir.llm import decontaminate, embedding_dups, language_id, line_dedup, mixing, ngram_join
-from logweir.llm import personal_data, secret_scan, substring_dedup, token_files
+from logweir.llm import personal_data, secret_scan, substring_dedup, token_files, toxicity
 from logweir.llm.scratch import small_arrow_batches
 
 
@@ -16,6 +16,11 @@ def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("text_key")
 
 
+def _toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_arrow_batches(spark)
+    return toxicity.toxic_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def _over(table: str, query: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: query(small_arrow_batches(spark).read.parquet(f"{sf_dir}/{table}.parquet"))
 
@@ -31,6 +36,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_benchmark_leaks": _leaks,
     "op9_embedding_dups": _over("embeddings", embedding_dups.near_vectors),
     "op10_substring_dedup": _over("documents", substring_dedup.kept_words),
+    "op13_toxicity": _toxic,
 }
 
 CHECKS: dict[str, str] = {
