@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logweir.llm import conversations, decontaminate, embedding_dups, language_id, line_dedup, mixing, ngram_join
+from logweir.llm import conversations, decontaminate, divergence, embedding_dups, language_id, line_dedup, mixing, ngram_join
 from logweir.llm import personal_data, secret_scan, substring_dedup, token_files, toxicity
 from logweir.llm.scratch import small_arrow_batches
 
@@ -36,6 +36,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_benchmark_leaks": _leaks,
     "op9_embedding_dups": _over("embeddings", embedding_dups.near_vectors),
     "op10_substring_dedup": _over("documents", substring_dedup.kept_words),
+    "op11_source_divergence": _over("documents", divergence.source_divergence),
     "op12_conversation_repair": _over("conversations", conversations.repaired_conversations),
     "op13_toxicity": _toxic,
 }
@@ -45,5 +46,6 @@ CHECKS: dict[str, str] = {
     "op5_ngram_join": ngram_join.JOINED_DOCUMENTS_SQL,
     "op9_embedding_dups": embedding_dups.NEAR_VECTORS_SQL,
     "op10_substring_dedup": substring_dedup.KEPT_WORDS_SQL,
+    "op11_source_divergence": divergence.SOURCE_DIVERGENCE_SQL,
     "op12_conversation_repair": conversations.REPAIRED_CONVERSATIONS_SQL,
 }
