@@ -59,7 +59,11 @@ def internal_contacts(events: DataFrame) -> DataFrame:
 
 def brute_force(events: DataFrame, window: int = BRUTE_FORCE_WINDOW, n: int = BRUTE_FORCE_COUNT) -> DataFrame:
     fired = reset_fold(auth_failures(events), n, window, distinct=False)
-    fired = fired.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
+    return brute_force_alerts(fired.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "times"))), window, n)
+
+
+def brute_force_alerts(fired: DataFrame, window: int, n: int) -> DataFrame:
+    """Alerts of firings (key, ts_ms, nth)."""
     ip = F.col("key")
     return fired.select(*_alert(
         "brute_force", [ip, F.col("ts_ms"), F.col("nth")], F.concat(F.lit("Brute Force: "), ip),
@@ -69,7 +73,11 @@ def brute_force(events: DataFrame, window: int = BRUTE_FORCE_WINDOW, n: int = BR
 
 
 def port_scan(events: DataFrame, bucket: int = PORT_SCAN_BUCKET, n: int = PORT_SCAN_PORTS) -> DataFrame:
-    fired = bucket_fold(port_contacts(events), n, bucket)
+    return port_scan_alerts(bucket_fold(port_contacts(events), n, bucket), bucket, n)
+
+
+def port_scan_alerts(fired: DataFrame, bucket: int, n: int) -> DataFrame:
+    """Alerts of firings (key, ts_ms, item)."""
     ip = F.col("key")
     return fired.select(*_alert(
         "port_scan", [ip, F.col("ts_ms"), F.col("item")], F.concat(F.lit("Port Scan: "), ip),
@@ -89,7 +97,11 @@ def port_scan_totals(events: DataFrame, bucket: int = PORT_SCAN_BUCKET, n: int =
 def lateral_movement(events: DataFrame, window: int = LATERAL_WINDOW, n: int = LATERAL_HOSTS,
                      stored: int | None = STORED_ITEMS) -> DataFrame:
     """Alerts name the first ``stored`` destinations; None for all."""
-    fired = reset_fold(internal_contacts(events), n, window, distinct=True, stored=stored)
+    return lateral_movement_alerts(reset_fold(internal_contacts(events), n, window, distinct=True, stored=stored), window, n)
+
+
+def lateral_movement_alerts(fired: DataFrame, window: int, n: int) -> DataFrame:
+    """Alerts of firings (key, ts_ms, item, items)."""
     ip = F.col("key")
     return fired.select(*_alert(
         "lateral_movement", [ip, F.col("ts_ms"), F.col("item")], F.concat(F.lit("Lateral Movement: "), ip),
@@ -101,18 +113,27 @@ def lateral_movement(events: DataFrame, window: int = LATERAL_WINDOW, n: int = L
          "window_seconds": F.lit(window)}))
 
 
-def first_sightings(events: DataFrame) -> DataFrame:
-    """First event of every normalised MAC. A partial aggregate: a chatty device costs one row per task."""
-    seen = events.filter(F.col("source.mac") != "").select(
+def sightings(events: DataFrame) -> DataFrame:
+    """(mac, at, what) of every event with a MAC."""
+    return events.filter(F.col("source.mac") != "").select(
         normalize_mac("source.mac").alias("mac"), F.struct("ts", F.col("event.id").alias("id")).alias("at"),
         F.struct(F.col("source.ip").alias("ip"), F.col("event.dataset").alias("dataset")).alias("what"))
-    return seen.groupBy("mac").agg(F.min("at").alias("at"), F.min_by("what", "at").alias("what"))
+
+
+def first_sightings(events: DataFrame) -> DataFrame:
+    """First event of every normalised MAC. A partial aggregate: a chatty device costs one row per task."""
+    return sightings(events).groupBy("mac").agg(F.min("at").alias("at"), F.min_by("what", "at").alias("what"))
 
 
 def rogue_device(events: DataFrame, known_macs: DataFrame | None = None) -> DataFrame:
     firsts = first_sightings(events)
     if known_macs is not None:
         firsts = firsts.join(known_macs.select(normalize_mac("mac").alias("mac")).distinct(), "mac", "left_anti")
+    return rogue_device_alerts(firsts)
+
+
+def rogue_device_alerts(firsts: DataFrame) -> DataFrame:
+    """Alerts of first sightings (mac, at, what)."""
     mac = F.col("mac")
     shown = F.coalesce("what.ip", F.lit("unknown"))
     return firsts.select(*_alert(
@@ -122,25 +143,34 @@ def rogue_device(events: DataFrame, known_macs: DataFrame | None = None) -> Data
         F.col("at.ts"), F.lit(1), {"mac": mac, "source_ip": shown, "dataset": F.col("what.dataset")}))
 
 
-def vpn_geo_anomaly(events: DataFrame) -> DataFrame:
-    """A user's first VPN session from each country after the first one.
-
-    Sessions shrink to one row per (user, country) before any window, so a
-    user's window holds at most as many rows as there are countries.
-    """
+def vpn_sessions(events: DataFrame) -> DataFrame:
+    """(username, code, at, what) of every VPN session start with a user and a country."""
     start = F.exists("event.type", lambda t: t.isin(*VPN_START_TYPES))
     geo = F.col("source.geo")
-    sessions = events.filter(
+    return events.filter(
         F.contains(F.lower("event.dataset"), F.lit("vpn")) & start & (F.col("user.name") != "")
         & (geo["country_iso_code"] != "")).select(
         F.col("user.name").alias("username"), geo["country_iso_code"].alias("code"),
         F.struct("ts", F.col("event.id").alias("id")).alias("at"),
         F.struct(F.coalesce("source.ip", F.lit("unknown")).alias("ip"),
                  F.coalesce(geo["country_name"], geo["country_iso_code"]).alias("country")).alias("what"))
-    firsts = sessions.groupBy("username", "code").agg(F.min("at").alias("at"), F.min_by("what", "at").alias("what"))
+
+
+def vpn_geo_anomaly(events: DataFrame) -> DataFrame:
+    """A user's first VPN session from each country after the first one.
+
+    Sessions shrink to one row per (user, country) before any window, so a
+    user's window holds at most as many rows as there are countries.
+    """
+    firsts = vpn_sessions(events).groupBy("username", "code").agg(F.min("at").alias("at"), F.min_by("what", "at").alias("what"))
     earlier = Window.partitionBy("username").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     fired = firsts.withColumn("known", F.array_sort(F.collect_list("code").over(earlier))) \
         .filter(F.size("known") > 0)
+    return vpn_alerts(fired)
+
+
+def vpn_alerts(fired: DataFrame) -> DataFrame:
+    """Alerts of sessions from a new country (username, code, at, what, known)."""
     user, code, country = F.col("username"), F.col("code"), F.col("what.country")
     return fired.select(*_alert(
         "vpn_anomaly", [user, code, F.col("at.id")],

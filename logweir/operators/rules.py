@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.predicates import OPERATORS, dataset_in, field, field_text, matches
 from ..functions.text import render
 from ..functions.time import iso_ms
-from ..schema import ALERT_COLUMNS
+from ..schema import ALERT, ALERT_COLUMNS
 from .folds import suppress
 from .windows import mixed_tick_counts
 
@@ -147,10 +147,10 @@ def _of_rule(values: list) -> Column:
 _COUNT_MARK = "\x01count\x01"
 
 
-def _context(rule: Rule) -> dict[str, Column]:
+def _context(rule: Rule, count: Column | None = None) -> dict[str, Column]:
     end = F.col("ts")
     start = end - F.make_dt_interval(secs=F.lit(rule.condition.window_seconds))
-    return {"event_count": F.col("event_count"), "group_key": F.col("group_key"), "rule.name": F.lit(rule.name),
+    return {"event_count": F.col("event_count") if count is None else count, "group_key": F.col("group_key"), "rule.name": F.lit(rule.name),
             "rule.id": F.lit(rule.id), "window_start": iso_ms(start), "window_end": iso_ms(end)}
 
 
@@ -221,25 +221,43 @@ def candidate_dispositions(events: DataFrame, rules: list[Rule] | None = None, c
         "disposition", F.coalesce("disposition", F.lit("deduplicated")))
 
 
-def evaluate_rules(events: DataFrame, rules: list[Rule] | None = None, compat: bool = True) -> DataFrame:
-    """Alerts of the rules, all of them in one plan."""
-    rules = SHIPPED_RULES if rules is None else rules
-    fired = candidate_dispositions(events, rules, compat).filter(F.col("disposition") == "emitted")
-
+def _alert_columns(rows: DataFrame, rules: list[Rule], count: Column | None = None) -> list[Column]:
+    """Alert columns of rows of several rules; ``count`` stands for the number of events in their texts."""
     def rendered(template: str) -> Column:
         out = F.lit(None).cast("string")
         for number, rule in enumerate(rules):
-            out = F.when(F.col("rule_no") == number, render(fired, getattr(rule, template), _context(rule))) \
+            out = F.when(F.col("rule_no") == number, render(rows, getattr(rule, template), _context(rule, count))) \
                 .otherwise(out)
         return out
 
     rule_id = _of_rule([r.id for r in rules])
-    return fired.select(
-        F.sha2(F.concat_ws("|", rule_id, "group_key", "id"), 256).alias("id"), rule_id.alias("rule_id"),
-        _of_rule([r.name for r in rules]).alias("rule_name"), _of_rule([r.severity for r in rules]).alias("severity"),
-        rendered("title_template").alias("title"), rendered("body_template").alias("description"),
-        F.col("ts").alias("created_at"), F.col("event_count").cast("int").alias("event_count"),
-        alert_metadata(events).alias("metadata")).select(*ALERT_COLUMNS)
+    return [F.sha2(F.concat_ws("|", rule_id, "group_key", "id"), 256).alias("id"), rule_id.alias("rule_id"),
+            _of_rule([r.name for r in rules]).alias("rule_name"), _of_rule([r.severity for r in rules]).alias("severity"),
+            rendered("title_template").alias("title"), rendered("body_template").alias("description"),
+            F.col("ts").alias("created_at"), (F.lit(None) if count is not None else F.col("event_count")).cast("int").alias("event_count"),
+            alert_metadata(rows).alias("metadata")]
+
+
+def evaluate_rules(events: DataFrame, rules: list[Rule] | None = None, compat: bool = True) -> DataFrame:
+    """Alerts of the rules, all of them in one plan."""
+    rules = SHIPPED_RULES if rules is None else rules
+    fired = candidate_dispositions(events, rules, compat).filter(F.col("disposition") == "emitted")
+    return fired.select(*_alert_columns(fired, rules)).select(*ALERT_COLUMNS)
+
+
+def pending_alerts(events: DataFrame, rules: list[Rule], compat: bool, count_mark: str) -> DataFrame:
+    """One row per event and rule it satisfies, with the alert it would raise; ``count_mark`` holds the place of the count.
+
+    (rule_no, group_key, ts, id, dedup_key, threshold, dedup_ms, throttle_ms, alert): all that a fold over a group needs.
+    """
+    rows = _rule_rows(events, rules, compat)
+    dedup_key = F.replace("dedup_key", F.lit(_COUNT_MARK), F.lit(count_mark))
+    return rows.select(
+        "rule_no", "group_key", "ts", "id", dedup_key.alias("dedup_key"),
+        _of_rule([r.condition.threshold for r in rules]).alias("threshold"),
+        _of_rule([r.dedup_ttl_seconds * 1000 for r in rules]).cast("long").alias("dedup_ms"),
+        _of_rule([r.throttle_seconds * 1000 for r in rules]).cast("long").alias("throttle_ms"),
+        F.struct(*_alert_columns(rows, rules, F.lit(count_mark))).cast(ALERT).alias("alert"))
 
 
 def evaluate_rule(events: DataFrame, rule: Rule, compat: bool = True) -> DataFrame:

@@ -38,7 +38,8 @@ def write_alerts(alerts: DataFrame, path: str) -> None:
     fresh = alerts.dropDuplicates(["id"]).withColumn("alert_date", event_date("created_at"))
     if _exists(spark, path):
         days = fresh.select("alert_date").distinct()
-        stored = spark.read.parquet(path).join(broadcast_if_bounded(days, 10_000), "alert_date", "left_semi").select("id")
+        # The type is given, as a table may have no rows yet.
+        stored = spark.read.schema(fresh.schema).parquet(path).join(broadcast_if_bounded(days, 10_000), "alert_date", "left_semi").select("id")
         fresh = fresh.join(stored, "id", "left_anti")
     fresh.write.mode("append").partitionBy("alert_date").parquet(path)
 

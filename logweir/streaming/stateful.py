@@ -1,123 +1,37 @@
-"""Detectors over streams, in event-time order per key.
-
-Rows wait in state until the watermark passes them and are then taken in time
-order, so a replay gives what the batch operators give, whatever order rows
-arrived in within the allowed delay. State leaves once nothing in it can
-matter any more.
-"""
+"""Detectors and rules over streams: what their batch forms give, as soon as the watermark passes."""
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import types as T
 
-from ..operators.detect import (BRUTE_FORCE_COUNT, BRUTE_FORCE_WINDOW, LATERAL_HOSTS, LATERAL_WINDOW,
-                                PORT_SCAN_BUCKET, PORT_SCAN_PORTS, VPN_START_TYPES, auth_failures, internal_contacts,
-                                port_contacts)
 from ..functions.network import normalize_mac
+from ..operators import detect
+from ..operators.detect import (BRUTE_FORCE_COUNT, BRUTE_FORCE_WINDOW, LATERAL_HOSTS, LATERAL_WINDOW,
+                                PORT_SCAN_BUCKET, PORT_SCAN_PORTS, auth_failures, internal_contacts, port_contacts)
 from ..operators.folds import STORED_ITEMS
+from ..operators.rules import SHIPPED_RULES, Rule, pending_alerts
+from ..schema import ALERT_COLUMNS
+from .folds import (COUNT_MARK, CountFold, DistinctFold, FirstFold, Fold, InOrder, NewItemFold, RuleFold, SlidingFold,
+                    SuppressFold)
+
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass",
+               "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def in_time_order(rows: DataFrame, fold: Fold, keys: tuple[str, ...] = ("key",)) -> DataFrame:
+    """Run ``fold`` over streaming ``rows``: the keys, ts (with a watermark), tie, then any values.
 
-# A step takes what is remembered, the time (ms) and the row's other values, and
-# returns what to remember and the output rows.
-Step = Callable[[dict, int, list], tuple[dict, list[tuple]]]
-
-
-def count_step(n: int, window_ms: int) -> Step:
-    def step(memory, t, _values):
-        times = [x for x in memory.get("q", []) if x > t - window_ms] + [t]
-        return ({"q": []}, [(t, n, None)]) if len(times) >= n else ({"q": times}, [])
-    return step
-
-
-def distinct_step(n: int, window_ms: int | None, bucket_ms: int | None = None, stored: int | None = STORED_ITEMS) -> Step:
-    def step(memory, t, values):
-        item = values[0]
-        if bucket_ms:
-            kept = memory.get("q", []) if memory.get("b") == t // bucket_ms else []
-        else:
-            kept = [x for x in memory.get("q", []) if x[0] > t - window_ms]
-        seen = sorted([x for x in kept if x[1] != item] + [[t, item]])
-        remember = {"b": t // bucket_ms} if bucket_ms else {}
-        if len(seen) >= n:
-            return {**remember, "q": []}, [(t, n, json.dumps([x[1] for x in seen][:stored]))]
-        return {**remember, "q": seen}, []
-    return step
-
-
-def sliding_step(window_ms: int) -> Step:
-    def step(memory, t, values):
-        times = [x for x in memory.get("q", []) if x > t - window_ms] + [t]
-        return {"q": times}, [(t, len(times), values[0])]
-    return step
-
-
-def suppress_step() -> Step:
-    """Values: dedup_key, id, dedup_ms, throttle_ms."""
-    def step(memory, t, values):
-        key, row_id, dedup_ms, throttle_ms = values
-        live = {k: e for k, e in memory.get("live", {}).items() if e > t}
-        if key in live:
-            return {**memory, "live": live}, [(t, 1, json.dumps([row_id, "deduplicated"]))]
-        live[key] = t + dedup_ms
-        if memory.get("free", t) > t:
-            return {**memory, "live": live}, [(t, 1, json.dumps([row_id, "throttled"]))]
-        return {"live": live, "free": t + throttle_ms}, [(t, 1, json.dumps([row_id, "emitted"]))]
-    return step
-
-
-def country_step() -> Step:
-    """Values: country. Reports a country not seen before by a user who has a history."""
-    def step(memory, t, values):
-        known = memory.get("known", [])
-        if values[0] in known:
-            return memory, []
-        out = [(t, 1, json.dumps([values[0], sorted(known)]))] if known else []
-        return {"known": known + [values[0]]}, out
-    return step
-
-
-OUTPUT = "key string, ts_ms long, count long, detail string"
-
-
-def in_time_order(rows: DataFrame, step: Step, keep_ms: int | None) -> DataFrame:
-    """Run ``step`` over streaming ``rows``: key, ts (with a watermark), tie, then any values.
-
-    ``tie`` orders rows of one time. Set the watermark on the whole stream, so
-    that rows a detector ignores still move its clock. Memory is dropped ``keep_ms`` after a
-    key's last row, or kept for good when it is None.
+    ``tie`` orders rows of one time. Set the watermark on the whole stream, so that rows a detector
+    ignores still move its clock. The result is the keys and the fold's output. Map state needs the RocksDB state store, which is set here.
     """
-    values = [c for c in rows.columns if c not in ("key", "ts", "tie")]
-
-    def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = json.loads(state.get[0]) if state.exists else {"rows": [], "memory": {}, "last": None}
-        for pdf in frames:
-            times = (pdf["ts"].astype("datetime64[us]").astype("int64") // 1000).tolist()
-            held["rows"] += [list(r) for r in zip(times, pdf["tie"].tolist(), pdf[values].astype(object).values.tolist())]
-        mark = state.getCurrentWatermarkMs()
-        ready = sorted(r for r in held["rows"] if r[0] <= mark)
-        held["rows"] = [r for r in held["rows"] if r[0] > mark]
-        out = []
-        for t, _, row in ready:
-            held["memory"], fired = step(held["memory"], t, row)
-            out += [(key[0], *f) for f in fired]
-            held["last"] = t
-        idle = not held["rows"] and keep_ms is not None and (held["last"] is None or held["last"] + keep_ms <= mark)
-        if idle:
-            state.remove()
-        else:
-            state.update((json.dumps(held),))
-            wake = min(r[0] for r in held["rows"]) if held["rows"] else \
-                held["last"] + keep_ms if keep_ms is not None else None
-            if wake is not None:
-                state.setTimeoutTimestamp(max(int(wake), mark + 1))
-        yield pd.DataFrame(out, columns=["key", "ts_ms", "count", "detail"])
-
-    return rows.groupBy("key").applyInPandasWithState(
-        run, OUTPUT, "held string", "append", GroupStateTimeout.EventTimeTimeout)
+    rows.sparkSession.conf.set(*STATE_STORE)
+    # Times are numbers in state: a timestamp would depend on the time zones of the processes it passes through.
+    rows = rows.withColumns({"ts_ms": F.unix_millis("ts"), "ts_us": F.unix_micros("ts")}).filter("ts_ms IS NOT NULL")
+    waiting = T.StructType([f for f in rows.schema if f.name not in (*keys, "ts")])
+    key_types = [f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys]
+    output = T.StructType.fromDDL(", ".join([*key_types, fold.output]))
+    return rows.groupBy(*keys).transformWithState(InOrder(fold, waiting, output.fieldNames()), output, "append", "EventTime")
 
 
 def clocked(events: DataFrame, delay: str) -> DataFrame:
@@ -132,56 +46,84 @@ def clocked(events: DataFrame, delay: str) -> DataFrame:
                                  for c in events.columns if c != "ts"])
 
 
-def _timed(rows: DataFrame, tie: str, *values: str) -> DataFrame:
-    return rows.select("key", "ts", F.col(tie).alias("tie"), *values)
+def brute_force_firings(events: DataFrame, window: int = BRUTE_FORCE_WINDOW, n: int = BRUTE_FORCE_COUNT) -> DataFrame:
+    rows = auth_failures(events).select("key", "ts", F.lit("").alias("tie"))
+    return in_time_order(rows, CountFold(n, window * 1000))
 
 
-def brute_force_stream(events: DataFrame, delay: str = "1 minute", window: int = BRUTE_FORCE_WINDOW,
-                       n: int = BRUTE_FORCE_COUNT) -> DataFrame:
-    rows = auth_failures(clocked(events, delay)).withColumn("tie", F.lit(""))
-    return in_time_order(_timed(rows, "tie"), count_step(n, window * 1000), window * 1000)
+def brute_force_stream(events: DataFrame, window: int = BRUTE_FORCE_WINDOW, n: int = BRUTE_FORCE_COUNT) -> DataFrame:
+    return detect.brute_force_alerts(brute_force_firings(events, window, n), window, n)
 
 
-def port_scan_stream(events: DataFrame, delay: str = "1 minute", bucket: int = PORT_SCAN_BUCKET,
-                     n: int = PORT_SCAN_PORTS) -> DataFrame:
-    return in_time_order(_timed(port_contacts(clocked(events, delay)), "item", "item"),
-                         distinct_step(n, None, bucket * 1000), bucket * 1000)
+def port_scan_stream(events: DataFrame, bucket: int = PORT_SCAN_BUCKET, n: int = PORT_SCAN_PORTS) -> DataFrame:
+    rows = port_contacts(events).select("key", "ts", F.col("item").alias("tie"))
+    return detect.port_scan_alerts(in_time_order(rows, DistinctFold(n, None, bucket * 1000)), bucket, n)
 
 
-def lateral_movement_stream(events: DataFrame, delay: str = "1 minute", window: int = LATERAL_WINDOW,
-                            n: int = LATERAL_HOSTS, stored: int | None = STORED_ITEMS) -> DataFrame:
-    return in_time_order(_timed(internal_contacts(clocked(events, delay)), "item", "item"),
-                         distinct_step(n, window * 1000, stored=stored), window * 1000)
+def lateral_movement_stream(events: DataFrame, window: int = LATERAL_WINDOW, n: int = LATERAL_HOSTS,
+                            stored: int | None = STORED_ITEMS) -> DataFrame:
+    rows = internal_contacts(events).select("key", "ts", F.col("item").alias("tie"))
+    return detect.lateral_movement_alerts(in_time_order(rows, DistinctFold(n, window * 1000, stored=stored)), window, n)
 
 
-def sliding_count_stream(rows: DataFrame, delay: str, window: int) -> DataFrame:
-    """``rows``: key, ts, id."""
-    keyed = rows.withWatermark("ts", delay).select("key", "ts", F.col("id").alias("tie"), F.col("id").alias("value"))
-    return in_time_order(keyed, sliding_step(window * 1000), window * 1000)
+def rogue_device_stream(events: DataFrame, known_macs: DataFrame | None = None) -> DataFrame:
+    """First sight of each MAC. State is one small row per device ever seen, kept for good."""
+    seen = detect.sightings(events)
+    if known_macs is not None:
+        seen = seen.join(known_macs.select(normalize_mac("mac").alias("mac")).distinct(), "mac", "left_anti")
+    rows = seen.select("mac", F.col("at.ts").alias("ts"), F.col("at.id").alias("tie"), "what")
+    firsts = in_time_order(rows, FirstFold(rows.schema["what"].dataType), ("mac",))
+    return detect.rogue_device_alerts(firsts.withColumn("at", F.struct(F.timestamp_micros("ts_us").alias("ts"), "id")))
 
 
-def suppress_stream(candidates: DataFrame, delay: str, longest_ttl: int) -> DataFrame:
-    """``candidates``: rule_no, group_key, dedup_key, ts, id, dedup_ms, throttle_ms."""
-    keyed = candidates.withWatermark("ts", delay).select(F.concat_ws("|", "rule_no", "group_key").alias("key"), "ts", F.col("id").alias("tie"),
-                              "dedup_key", "id", "dedup_ms", "throttle_ms")
-    return in_time_order(keyed, suppress_step(), longest_ttl * 1000)
+def vpn_anomaly_stream(events: DataFrame) -> DataFrame:
+    """State is one small row per user and country ever seen, kept for good."""
+    rows = detect.vpn_sessions(events).select("username", F.col("at.ts").alias("ts"), F.col("at.id").alias("tie"), F.col("code").alias("item"), "what")
+    found = in_time_order(rows, NewItemFold(rows.schema["what"].dataType), ("username",))
+    return detect.vpn_alerts(found.withColumnRenamed("item", "code")
+                             .withColumn("at", F.struct(F.timestamp_micros("ts_us").alias("ts"), "id")))
 
 
-def vpn_geo_stream(events: DataFrame, delay: str = "1 minute") -> DataFrame:
-    rows = clocked(events, delay).filter(F.contains(F.lower("event.dataset"), F.lit("vpn"))
-                         & F.exists("event.type", lambda t: t.isin(*VPN_START_TYPES))
-                         & (F.col("user.name") != "") & (F.col("source.geo.country_iso_code") != "")).select(
-        F.col("user.name").alias("key"), "ts", F.col("event.id").alias("tie"),
-        F.col("source.geo.country_iso_code").alias("country"))
-    return in_time_order(rows, country_step(), None)
+STREAM_DETECTORS = {
+    "brute_force": brute_force_stream, "port_scan": port_scan_stream, "rogue_device": rogue_device_stream,
+    "vpn_anomaly": vpn_anomaly_stream, "lateral_movement": lateral_movement_stream, "admin_abuse": detect.admin_off_hours}
 
 
-def rogue_device_stream(events: DataFrame, known_macs: DataFrame | None = None) -> DataFrame:
-    """First sight of each MAC. State is one small row per device ever seen, kept for good."""
-    rows = events.filter(F.col("source.mac") != "").withColumn("mac", normalize_mac("source.mac"))
-    if known_macs is not None:
-        rows = rows.join(known_macs.select(normalize_mac("mac").alias("mac")).distinct(), "mac", "left_anti")
-    return rows.dropDuplicates(["mac"]).select("mac", "ts", F.col("source.ip").alias("source_ip"))
+def correlate_stream(events: DataFrame, delay: str = "1 minute", detectors: dict[str, detect.Detector] | None = None,
+                     failures: dict[str, Exception] | None = None) -> DataFrame:
+    """Alert rows of all detectors over one stream of events, as ``correlate`` gives them over a table.
+
+    The detectors share one watermark, ``delay`` behind the latest event.
+    """
+    return detect.correlate(clocked(events, delay), detectors or STREAM_DETECTORS, failures)
+
+
+def evaluate_rules_stream(events: DataFrame, delay: str = "1 minute", rules: list[Rule] | None = None, compat: bool = True) -> DataFrame:
+    """Alerts of the rules over a stream, as ``evaluate_rules`` gives them over a table.
+
+    State per rule and group: one count per millisecond of the rule's window, and markers that are live.
+    """
+    rules = SHIPPED_RULES if rules is None else rules
+    rows = pending_alerts(clocked(events, delay), rules, compat, COUNT_MARK)
+    rows = rows.select("rule_no", "group_key", "ts", F.col("id").alias("tie"), "dedup_key", "threshold", "dedup_ms", "throttle_ms",
+                       F.col("alert").dropFields("created_at").withField(
+                           "metadata", F.to_json("alert.metadata", {"ignoreNullFields": "false"})).alias("alert"))
+    fold = RuleFold([r.condition.window_seconds * 1000 for r in rules], rows.schema["alert"].dataType)
+    fired = in_time_order(rows, fold, ("rule_no", "group_key"))
+    return fired.withColumns({"created_at": F.timestamp_micros("ts_us"),
+                              "metadata": F.from_json("metadata", "map<string,string>")}).select(*ALERT_COLUMNS)
+
+
+def sliding_count_stream(rows: DataFrame, delay: str, window: int) -> DataFrame:
+    """``rows``: key, ts, id. Each row's count of the key's rows in (ts - window, ts]."""
+    keyed = rows.withWatermark("ts", delay).select("key", "ts", F.col("id").alias("tie"))
+    return in_time_order(keyed, SlidingFold(window * 1000))
+
+
+def suppress_stream(candidates: DataFrame, delay: str) -> DataFrame:
+    """``candidates``: rule_no, group_key, dedup_key, ts, id, dedup_ms, throttle_ms. What becomes of each: id, disposition."""
+    keyed = candidates.withWatermark("ts", delay).select("rule_no", "group_key", "ts", F.col("id").alias("tie"), "dedup_key", "dedup_ms", "throttle_ms")
+    return in_time_order(keyed, SuppressFold(), ("rule_no", "group_key"))
 
 
 def notify_dedup_stream(alerts: DataFrame, ttl: str = "1 hour") -> DataFrame:

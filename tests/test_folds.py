@@ -1,8 +1,8 @@
 """Folds against plain sequential simulations on random events."""
-import json
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from logweir.operators import folds
@@ -121,15 +121,13 @@ def test_sliding_count_with_ties(spark):
 
 
 def test_all_items_of_a_firing(spark):
-    from logweir.streaming.stateful import distinct_step
+    from logweir.streaming.folds import DistinctFold
 
     items = [f"10.0.0.{k}" for k in range(100, 125)]
     rows = spark.createDataFrame([("a", 1_700_000_000_000 + k, x) for k, x in enumerate(items)], "key string, ts_ms long, item string")
     for stored, want in ((None, items), (20, items[:20])):
         assert [r["items"] for r in folds.reset_fold(rows, 25, 60, distinct=True, stored=stored).collect()] == [want]
-        step, memory, out = distinct_step(25, 60_000, stored=stored), {}, []
-        for k, x in enumerate(items):
-            memory, fired = step(memory, k, [x])
-            out += fired
-        assert out[0][2] == json.dumps(want)
+        fold, memory = DistinctFold(25, 60_000, stored=stored), {"items": {}}
+        out = [fired for k, x in enumerate(items) for fired in fold.take(memory, Row(ts_ms=k, tie=x))]
+        assert out[0][2] == want
     assert [r["items"] for r in folds.reset_fold(rows, 25, 60, distinct=True).collect()] == [items[:20]]

@@ -1,20 +1,22 @@
 """Replays through Structured Streaming against the batch operators."""
 import datetime as dt
-import json
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from logweir.operators import detect, folds
+from logweir.operators import detect, rules
 from logweir.operators.dashboard import events_per_minute
+from logweir.operators.windows import sliding_count
 from logweir.plans.sample_events import events_as_ecs, read
 from logweir.plans.sample_logs import events_as_syslog
-from logweir.plans.samples import feed_lines
-from logweir.schema import EVENT, RAW_LOG
+from logweir.plans.samples import TUNED_RULES, feed_lines
+from logweir.schema import ALERT, ALERT_COLUMNS, EVENT, RAW_LOG
 from logweir.sources import feeds
 from logweir.sources.raw_logs import read_raw_logs
-from logweir.sources.store import read_events
+from logweir.sources.store import read_events, write_alerts
+from logweir.streaming import folds as folds_of
 from logweir.streaming import jobs, stateful
 
 DAY = 86_400
@@ -45,54 +47,80 @@ def run(spark, replay, tmp_path, build, name):
         query.processAllAvailable()
     finally:
         query.stop()
-    return spark.table(name).filter("ts_ms < 1714521600000") if "ts_ms" in spark.table(name).columns else spark.table(name)
-
-
-def test_brute_force_replay(spark, events, replay, tmp_path):
-    got = run(spark, replay, tmp_path, lambda e: stateful.brute_force_stream(e, "2 days", DAY, 3), "s_brute")
-    want = folds.reset_fold(detect.auth_failures(events), 3, DAY, distinct=False)
-    assert sorted((r.key, r.ts_ms) for r in got.collect()) == \
-        sorted((r.key, r.ts_ms) for r in want.collect() for _ in range(r.times))
-    assert want.count()
-
-
-def test_lateral_and_scan_replay(spark, events, replay, tmp_path):
-    got = run(spark, replay, tmp_path, lambda e: stateful.lateral_movement_stream(e, "2 days", DAY, 2), "s_lateral")
-    want = folds.reset_fold(detect.internal_contacts(events), 2, DAY, distinct=True)
-    assert sorted((r.key, r.ts_ms, tuple(json.loads(r.detail))) for r in got.collect()) == \
-        sorted((r.key, r.ts_ms, tuple(r["items"])) for r in want.collect())
-    scan = run(spark, replay, tmp_path / "b", lambda e: stateful.port_scan_stream(e, "2 days", DAY, 2), "s_scan")
-    want = folds.bucket_fold(detect.port_contacts(events), 2, DAY)
-    assert sorted((r.key, r.ts_ms) for r in scan.collect()) == sorted((r.key, r.ts_ms) for r in want.collect())
-
-
-def test_vpn_rogue_and_rate_replay(spark, events, replay, tmp_path):
-    got = run(spark, replay, tmp_path, lambda e: stateful.vpn_geo_stream(e, "2 days"), "s_vpn")
-    want = detect.vpn_geo_anomaly(events).select(
-        F.col("metadata")["username"].alias("u"), F.col("metadata")["new_country"].alias("c"))
-    assert sorted((r.key, json.loads(r.detail)[0]) for r in got.collect()) == sorted(tuple(r) for r in want.collect())
-    rogue = run(spark, replay, tmp_path / "b", lambda e: stateful.rogue_device_stream(e), "s_rogue")
-    assert {r.mac for r in rogue.collect()} == {r.mac for r in detect.first_sightings(events).collect()}
+    return spark.table(name)
+
+
+def alerts_of(df):
+    """Alert rows without those of the event that only moves the clock."""
+    rows = df.filter("created_at < '2024-05-01'").select(*ALERT_COLUMNS).collect()
+    return sorted((tuple(sorted(v.items()) if isinstance(v, dict) else v for v in r) for r in rows), key=repr)
+
+
+def test_rules_replay(spark, events, replay, tmp_path):
+    """All seven rules, with dedup and throttle, give the alerts of the table."""
+    want = alerts_of(rules.evaluate_rules(events, TUNED_RULES))
+    got = alerts_of(run(spark, replay, tmp_path, lambda e: stateful.evaluate_rules_stream(e, "2 days", TUNED_RULES), "s_rules"))
+    assert got == want and len({r[1] for r in want}) >= 4
+
+
+def test_correlate_replay(spark, events, replay, tmp_path):
+    """Whole alert rows of all detectors, in both sinks, equal the batch ones."""
+    batch = {"brute_force": lambda e: detect.brute_force(e, DAY, 3), "port_scan": lambda e: detect.port_scan(e, DAY, 2),
+             "lateral_movement": lambda e: detect.lateral_movement(e, DAY, 2)}
+    stream = {"brute_force": lambda e: stateful.brute_force_stream(e, DAY, 3), "port_scan": lambda e: stateful.port_scan_stream(e, DAY, 2),
+              "lateral_movement": lambda e: stateful.lateral_movement_stream(e, DAY, 2)}
+    want = alerts_of(detect.correlate(events, {**detect.DEFAULT_DETECTORS, **batch}))
+    found = spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 1).json(f"{replay}/*")
+    alerts = stateful.correlate_stream(found, "2 days", {**stateful.STREAM_DETECTORS, **stream})
+    seen = {"live": [], "stored": []}
+    query = jobs.start_alerts(alerts, {"live": lambda a: seen["live"].extend(a.collect()), "stored": lambda a: write_alerts(a, str(tmp_path / "alerts"))},
+                              str(tmp_path / "ckpt"), trigger={"availableNow": True})
+    query.awaitTermination(300)
+    stored = spark.read.parquet(str(tmp_path / "alerts"))
+    assert alerts_of(stored) == want and {r[1] for r in want} == set(detect.DEFAULT_DETECTORS)
+    assert alerts_of(spark.createDataFrame(seen["live"], ALERT)) == want
+
+
+def test_sliding_and_rate_replay(spark, events, replay, tmp_path):
+    got = run(spark, replay, tmp_path, lambda e: stateful.sliding_count_stream(
+        e.select(F.col("source.ip").alias("key"), "ts", F.col("event.id").alias("id")), "2 days", DAY), "s_sliding")
+    want = sliding_count(events, F.col("source.ip"), F.col("ts"), F.col("event.id"), DAY)
+    columns = ["key", "ts_ms", "id", "count"]
+    assert {tuple(r) for r in got.filter("ts_ms < 1714521600000").select(columns).collect()} == {tuple(r) for r in want.select(columns).collect()}
     minutes = run(spark, replay, tmp_path / "c", lambda e: stateful.events_per_minute_stream(e, "2 days"), "s_rate")
     assert {tuple(r) for r in minutes.collect()} == {tuple(r) for r in events_per_minute(events).collect()}
 
 
-def test_suppress_and_sliding_steps():
-    """The streaming steps are the batch definitions, one row at a time."""
-    rng, t, memory, counts, times = random.Random(3), 0, {}, [], []
-    step = stateful.sliding_step(5000)
-    for i in range(200):
-        t += rng.choice([0, 1, 900, 3000])
-        times.append(t)
-        memory, out = step(memory, t, [str(i)])
-        counts.append(out[0][1])
-    assert counts == [sum(1 for u in times[:i + 1] if u > t - 5000) for i, t in enumerate(times)]
-    memory, seen = {}, []
-    step = stateful.suppress_step()
-    for t, key in [(0, "a"), (5, "a"), (6, "b"), (10, "a"), (12, "b"), (20, "a")]:
-        memory, out = step(memory, t, [key, str(t), 10, 12])
-        seen.append(json.loads(out[0][2])[1])
-    assert seen == ["emitted", "deduplicated", "throttled", "throttled", "deduplicated", "emitted"]
+def rows_through(fold, key, batches):
+    """Outputs of a fold over batches of (mark, rows), and the entries it is left with; the state is a plain dictionary."""
+    memory, out, ends = {name: {} for name, _, _ in fold.maps}, [], None
+    for mark, rows in batches:
+        fold.begin(memory, key)
+        for row in rows:
+            out += list(fold.take(memory, Row(**row)))
+        ends = fold.prune(memory, mark)
+    return out, sum(map(len, memory.values())), ends
+
+
+def test_folds_step_by_step():
+    """Windows, markers and what is forgotten, against the definitions."""
+    rng, t, times, batches = random.Random(3), 0, [], []
+    for i in range(60):
+        part = []
+        for _ in range(4):
+            t += rng.choice([0, 1, 900, 3000])
+            times.append(t)
+            part.append({"ts_ms": t, "tie": str(i)})
+        batches.append((t, part))
+    out, left, ends = rows_through(folds_of.SlidingFold(5000), ("k",), batches)
+    assert [c for _, _, c in out] == [sum(1 for u in times[:i + 1] if u > t - 5000) for i, t in enumerate(times)]
+    assert left <= 5001 and ends > times[-1]
+    rows = [(0, "a"), (5, "a"), (6, "b"), (10, "a"), (12, "b"), (20, "a")]
+    out, left, ends = rows_through(folds_of.SuppressFold(), ("k",), [
+        (t, [{"ts_ms": t, "tie": str(t), "dedup_key": key, "dedup_ms": 10, "throttle_ms": 12}]) for t, key in rows])
+    assert [d for _, d in out] == ["emitted", "deduplicated", "throttled", "throttled", "deduplicated", "emitted"]
+    assert rows_through(folds_of.SuppressFold(), ("k",), [(0, [{"ts_ms": 0, "tie": "", "dedup_key": "a", "dedup_ms": 10, "throttle_ms": 12}]),
+                                                          (12, [])])[1:] == (0, None)
 
 
 def test_ingest_stream(spark, sf_dir, tmp_path):
