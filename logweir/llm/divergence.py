@@ -1,13 +1,13 @@
 """How the sources of a language differ in their words: exact sparse count vectors, group sums, and pairs evaluated sparsely."""
 from __future__ import annotations
 
-import string
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
@@ -25,54 +25,82 @@ VOCABULARY_LIMIT, LANGUAGE_LIMIT = 4_000_000, 200
 _CELLS, _ENTRIES = 1 << 23, 200_000
 
 
-def terms_of(text: Column) -> Column:
-    """Runs of letters in order, A-Z in lower case; none in null texts."""
-    lower = F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
-    return F.array_remove(F.split(lower, r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"), "")
+# Bytes of UTF-8: letters beyond ASCII stay, A-Z become lower case, all else becomes a space.
+_CLEAN = bytes(k if k >= 128 or 97 <= k <= 122 else k + 32 if 65 <= k <= 90 else 32 for k in range(256))
 
 
-def _group_sums(batches: Iterator[pa.RecordBatch], vocabulary: Broadcast, cells: int) -> Iterator[pa.RecordBatch]:
-    """(source, term, count) sums of sparse vectors, as far as a task has them."""
-    words = vocabulary.value
+def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as lower-case terms parted by spaces; the bytes of a whole batch change at once."""
+    for batch in batches:
+        text = batch.column("text").fill_null("")
+        valid, offsets, data = text.buffers()
+        clean = pa.py_buffer((data or pa.py_buffer(b"")).to_pybytes().translate(_CLEAN))
+        text = pa.Array.from_buffers(text.type, len(text), [valid, offsets, clean], offset=text.offset)
+        yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("source"), text], names=["lang", "source", "text"])
+
+
+def _different(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, term): the different terms of each language in each batch of cleaned texts."""
+    for batch in batches:
+        langs = batch.column("lang")
+        for lang in langs.unique().to_pylist():
+            own = batch.column("text").filter(pc.equal(langs, lang))
+            words = set(" ".join(own.to_pylist()).split(" ")) - {""}
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), pa.array(list(words), pa.string())], names=["lang", "term"])
+
+
+def _terms() -> Column:
+    return F.array_remove(F.split("text", " "), "").alias("terms")
+
+
+def _group_sums(batches: Iterator[pa.RecordBatch], size: int, cells: int) -> Iterator[pa.RecordBatch]:
+    """(source, place, count) sums of sparse vectors with ``size`` places, as far as a task has them."""
     sums: dict[str, np.ndarray] = {}
 
     def flush() -> Iterator[pa.RecordBatch]:
         for source, total in sums.items():
             at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array([source] * len(at), pa.string()), words.take(pa.array(at)), pa.array(total[at])],
-                                             names=["source", "term", "count"])
+            yield pa.RecordBatch.from_arrays([pa.array([source] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(total[at])],
+                                             names=["source", "place", "count"])
         sums.clear()
     for batch in batches:
         vectors = batch.column("counts")
         indices, values = vectors.field("indices"), vectors.field("values")
-        at = indices.offsets.to_numpy()
+        at, starts = indices.offsets.to_numpy(), values.offsets.to_numpy()
         places, counts = indices.values.to_numpy(), values.values.to_numpy().astype(np.int64)
-        starts = values.offsets.to_numpy()
         for k, source in enumerate(batch.column("source").to_pylist()):
             if source not in sums:
-                if (len(sums) + 1) * len(words) > cells:
+                if (len(sums) + 1) * size > cells:
                     yield from flush()
-                sums[source] = np.zeros(len(words), np.int64)
-            # The indices of one vector differ, so that no count is lost.
+                sums[source] = np.zeros(size, np.int64)
+            # The places of one vector differ, so that no count is lost.
             sums[source][places[at[k]: at[k + 1]]] += counts[starts[k]: starts[k] + at[k + 1] - at[k]]
     yield from flush()
 
 
+def _named(batches: Iterator[pa.RecordBatch], vocabulary: Broadcast) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column("source"), vocabulary.value.take(batch.column("place")), batch.column("count")],
+                                         names=["source", "term", "count"])
+
+
 def _vector_counts(rows: DataFrame, lang: str, least: int) -> DataFrame:
     """(lang, source, term, count) of one language, by count vectors of its documents."""
-    own = rows.where(F.col("lang_key") == F.md5(F.lit(lang))).select("source", "terms")
+    own = rows.where(F.col("lang_key") == F.md5(F.lit(lang))).select("source", _terms())
     model = CountVectorizer(inputCol="terms", outputCol="counts", minDF=float(least), vocabSize=MOST_TERMS).fit(own)
     spark = rows.sparkSession
     vocabulary = spark.sparkContext.broadcast(pa.array(model.vocabulary, pa.string()))
     sums = (model.transform(own).select("source", "counts")
-            .mapInArrow(partial(_group_sums, vocabulary=vocabulary, cells=_CELLS), "source string, term string, count long"))
-    return sums.groupBy("source", "term").agg(F.sum("count").alias("count")).select(F.lit(lang).alias("lang"), "source", "term", "count")
+            .mapInArrow(partial(_group_sums, size=len(model.vocabulary), cells=_CELLS), "source string, place int, count long")
+            .groupBy("source", "place").agg(F.sum("count").alias("count")))
+    named = sums.mapInArrow(partial(_named, vocabulary=vocabulary), "source string, term string, count long")
+    return named.select(F.lit(lang).alias("lang"), "source", "term", "count")
 
 
 def _row_counts(rows: DataFrame, least: int) -> DataFrame:
     """(lang, source, term, count) of all languages with terms as rows, for vocabularies of any size."""
     marked = F.transform(F.col("sorted"), lambda x, i: F.struct(x.alias("term"), (~F.get(F.col("sorted"), i - 1).eqNullSafe(x)).cast("long").alias("first")))
-    each = rows.select("lang", "source", F.array_sort("terms").alias("sorted")).select("lang", "source", F.explode(marked).alias("t"))
+    each = rows.select("lang", "source", F.array_sort(_terms()).alias("sorted")).select("lang", "source", F.explode(marked).alias("t"))
     sums = each.groupBy("lang", "source", "t.term").agg(F.count("*").alias("count"), F.sum("t.first").alias("documents"))
     found = sums.withColumn("documents", F.sum("documents").over(Window.partitionBy("lang", "term")))
     return found.where(F.col("documents") >= least).select("lang", "source", "term", "count")
@@ -85,13 +113,13 @@ def source_term_counts(docs: DataFrame, least: int = LEAST_DOCUMENTS, vocabulary
     the driver holds; its vectors are summed by source exactly. Otherwise terms stay rows. Both give the same counts. lang and
     source must not be null.
     """
-    spark, path = docs.sparkSession, new_path(docs.sparkSession, "terms")
+    spark, path = docs.sparkSession, new_path(docs.sparkSession, "texts")
     # A folder for each language, so that its counting reads no other.
-    (docs.select("lang", "source", terms_of(F.col("text")).alias("terms"), F.md5("lang").alias("lang_key"))
+    kept = "lang string, source string, text string"
+    (docs.select("lang", "source", "text").mapInArrow(_cleaned, kept).withColumn("lang_key", F.md5("lang"))
      .write.partitionBy("lang_key").parquet(path))
-    kept = "lang string, source string, terms array<string>, lang_key string"
-    rows = spark.read.schema(kept).parquet(path)
-    sizes = (rows.select("lang", F.explode("terms").alias("term")).groupBy("lang")
+    rows = spark.read.schema(f"{kept}, lang_key string").parquet(path)
+    sizes = (rows.select("lang", "text").mapInArrow(_different, "lang string, term string").groupBy("lang")
              .agg(F.approx_count_distinct("term", 0.02).alias("terms")).limit(LANGUAGE_LIMIT + 1).collect())
     if len(sizes) > LANGUAGE_LIMIT or any(row["terms"] * 1.1 > vocabulary_limit for row in sizes):
         return written(_row_counts(rows, least), "counts")
@@ -113,17 +141,36 @@ def divergence(p, q):
     return F.call_function("div", square, p + q) if isinstance(square, Column) else square // (p + q)
 
 
-def _block_pairs(rows: pd.DataFrame) -> pd.DataFrame:
-    """For each two sources the sums over the terms of a block that both have."""
+def _shares(counts: np.ndarray, total: int, terms: int) -> np.ndarray:
+    """``_share`` of whole numbers; of any size, as Python's are."""
+    if len(counts) and int(counts.max()) + 2 > (1 << 62) // SCALE:
+        counts = counts.astype(object)
+    return (1 + SCALE * (counts + 2) // (total + 2 * terms)).astype(np.int64)
+
+
+def _block(rows: pd.DataFrame, top: int) -> pd.DataFrame:
+    """Of a block of terms with all their sources: for each two sources the sums over the terms that both have (pair), and
+    for each source its ``top`` terms beyond the language's share (term)."""
     place, names = pd.factorize(rows["source"], sort=True)
     order = np.argsort(place, kind="stable")
     place = place[order]
     term, terms = pd.factorize(rows["term"])
+    count = np.zeros(len(terms), np.int64)
+    np.add.at(count, term, rows["count"].to_numpy(np.int64))
+    q = _shares(count, int(rows["lang_total"].iloc[0]), int(rows["terms"].iloc[0]))
     term, p, none = term[order], rows["p"].to_numpy(np.int64)[order], rows["none"].to_numpy(np.int64)[order]
     cuts = np.searchsorted(place, np.arange(len(names) + 1))
     out = []
-    for a in range(len(names) - 1):
+    for a, name in enumerate(names):
         lo, hi = cuts[a], cuts[a + 1]
+        more_than = lo + np.flatnonzero(p[lo:hi] > q[term[lo:hi]])
+        value = divergence(p[more_than], q[term[more_than]])
+        if len(value) > top:
+            # All that tie with the last one stay, for the order of terms to decide.
+            least = np.partition(value, len(value) - top)[len(value) - top]
+            more_than, value = more_than[value >= least], value[value >= least]
+        found = sorted(zip((-value).tolist(), (terms[term[k]] for k in more_than)), key=lambda x: (x[0], x[1].encode()))[:top]
+        out.append(pd.DataFrame({"part": "term", "a": name, "b": [t for _, t in found], "value": [-v for v, _ in found], "common": 0}))
         mine = np.zeros(len(terms), np.int64)
         mine[term[lo:hi]] = p[lo:hi]
         ours = hi + np.flatnonzero(mine[term[hi:]])
@@ -131,10 +178,9 @@ def _block_pairs(rows: pd.DataFrame) -> pd.DataFrame:
             x, y = mine[term[ours]], p[ours]
             more = divergence(x, y) - divergence(x, none[ours]) - divergence(none[lo], y)
             first = np.flatnonzero(np.append(True, place[ours[1:]] != place[ours[:-1]]))
-            others = place[ours[first]]
-            out.append(pd.DataFrame({"a": names[a], "b": names[others], "more": np.add.reduceat(more, first),
+            out.append(pd.DataFrame({"part": "pair", "a": name, "b": names[place[ours[first]]], "value": np.add.reduceat(more, first),
                                      "common": np.diff(np.append(first, len(ours)))}))
-    found = pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "more": [], "common": []})
+    found = pd.concat(out)
     found.insert(0, "lang", rows["lang"].iloc[0])
     return found
 
@@ -161,23 +207,19 @@ def source_divergence(docs: DataFrame, least: int = LEAST_DOCUMENTS, top: int =
     # Without kept terms there is no share of a term that does not occur; 1 stands for it and is multiplied by no terms.
     none = F.when(F.col("terms") > 0, _share(F.lit(0), F.col("total"), F.col("terms"))).otherwise(F.lit(1).cast("long"))
     groups = written(groups.withColumn("none", none), "groups")
-    shares = counts.join(groups.select("lang", "source", "terms", "total", "none"), ["lang", "source"])
+    shares = counts.join(groups.select("lang", "source", "terms", "lang_total", "total", "none"), ["lang", "source"])
     shares = written(shares.withColumn("p", _share(F.col("count"), F.col("total"), F.col("terms"))), "shares")
 
-    q = _share(F.col("count"), F.col("lang_total"), F.col("terms"))
-    telling = (shares.select("lang", "source", "term", "p")
-               .join(langs.join(sizes, "lang").select("lang", "term", q.alias("q")), ["lang", "term"]).where("p > q")
-               .select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), divergence(F.col("p"), F.col("q")).alias("value")))
-    first = Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), "item")
-    telling = telling.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= top)
-
     blocks = groups.groupBy("lang").agg(F.sum("own_terms").alias("entries"), F.count("*").alias("sources"))
     blocks = blocks.select("lang", F.ceil(F.col("entries") / F.greatest(F.lit(_ENTRIES), F.col("sources") * F.col("sources"))).alias("blocks"))
     placed = shares.join(blocks, "lang").withColumn("block", F.pmod(F.xxhash64("term"), F.col("blocks")))
-    both = (placed.select("lang", "block", "source", "term", "p", "none").groupBy("lang", "block")
-            .applyInPandas(_block_pairs, "lang string, a string, b string, more long, common long")
-            .groupBy("lang", "a", "b").agg(F.sum("more").alias("more"), F.sum("common").alias("common")))
-    both = written(both, "both")
+    found = (placed.select("lang", "block", "source", "term", "count", "terms", "lang_total", "p", "none").groupBy("lang", "block")
+             .applyInPandas(lambda rows: _block(rows, top), "lang string, part string, a string, b string, value long, common long"))
+    found = written(found, "found")
+    first = Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), "item")
+    telling = found.where("part = 'term'").select("lang", F.col("a").alias("source"), "part", F.col("b").alias("item"), "value")
+    telling = telling.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= top)
+    both = found.where("part = 'pair'").groupBy("lang", "a", "b").agg(F.sum("value").alias("more"), F.sum("common").alias("common"))
     both = both.unionByName(both.select("lang", F.col("b").alias("a"), F.col("a").alias("b"), "more", "common"))
     alike = shares.groupBy("lang", "source", "p").agg(F.count("*").alias("n"))
     other = groups.select("lang", F.col("source").alias("b"), F.col("none").alias("b_none"), F.col("own_terms").alias("b_terms"))
