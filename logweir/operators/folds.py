@@ -24,9 +24,13 @@ STORED_ITEMS = 20  # Fixed value: items kept with a firing, unless asked otherwi
 
 
 def _in_key_order(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Partition by ``keys`` and sort; the count is given so that AQE keeps the Python work spread."""
+    """Partition by ``keys`` and sort; the count is given so that AQE keeps the Python work spread.
+
+    Rows are dealt by a hash of the keys, not by the keys: below a join on the same keys Spark would take the join's
+    partitioning for this one, and give it up when the join turns into a broadcast while running.
+    """
     count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(count, *keys).sortWithinPartitions(*keys, *order)
+    return df.repartition(count, F.xxhash64(*keys)).sortWithinPartitions(*keys, *order)
 
 
 def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, int, dict]]:
@@ -155,6 +159,76 @@ def bucket_fold(rows: DataFrame, n: int, bucket_seconds: int) -> DataFrame:
     return _in_key_order(chunks, ["key", "chunk"], ["ts_ms", "item"]).mapInPandas(report, FIRING)
 
 
+# Lifetimes that a chunk of a cover spans.
+COVER_CHUNK = 8
+
+
+class _Cover:
+    """One chunk of one key: distinct times in order, each of which, once kept, ends what follows within its life."""
+
+    def __init__(self, ts: np.ndarray, life: int):
+        self.ts, self.life = ts, life
+        # A chunk spans few lives, so that few jumps lead from any time to the last kept one.
+        self.following = np.searchsorted(ts, ts + life, side="left")
+
+    def exits(self) -> np.ndarray:
+        """For each time the moment at which the last kept one from there on has ended."""
+        last = np.arange(len(self.ts))
+        while (more := self.following[last] < len(self.ts)).any():
+            last[more] = self.following[last[more]]
+        return self.ts[last] + self.life
+
+    def kept(self, first: int) -> Iterator[int]:
+        at = int(np.searchsorted(self.ts, first, side="left"))
+        while at < len(self.ts):
+            yield int(self.ts[at])
+            at = int(self.following[at])
+
+
+def greedy_cover(rows: DataFrame) -> DataFrame:
+    """(key, ts_ms) of ``rows`` (key, ts_ms, life_ms) that are kept: a key's first time, and each next one that a kept one's life does not reach.
+
+    The life, 1 ms or more, depends on the key. Time is cut into chunks of ``COVER_CHUNK`` lives. All that a chunk needs to know of the past is
+    when the last kept time ends, and that is within its first life, so it tells for each of its times there what it would leave behind. One pass per
+    key over these short lists finds what really happened, and the chunks report. No key's history is one task.
+    """
+    chunk = F.floor(F.col("ts_ms") / (COVER_CHUNK * F.col("life_ms")))
+    chunks = rows.groupBy("key", "ts_ms").agg(F.min("life_ms").alias("life_ms")).withColumn("chunk", chunk)
+    place = ["key", "chunk"]
+
+    def ways(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def found():
+            for key, number, part in _runs(batches):
+                life, ts = int(part["life_ms"][0]), part["ts_ms"].astype(np.int64)
+                # The times of the chunk's first life, and the next one.
+                able = int(np.searchsorted(ts, (number * COVER_CHUNK + 1) * life, side="left")) + 1
+                yield key, number, ts[:able], _Cover(ts, life).exits()[:able]
+        return _frames(found(), ["key", "chunk", "times", "exits"], 20)
+
+    def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, free = None, None
+        for pdf in batches:
+            taken = []
+            for key, _, times, exits in pdf.itertuples(index=False):
+                if key != current:
+                    current, free = key, None
+                at = 0 if free is None else int(np.searchsorted(times, free, side="left"))
+                taken.append(int(times[at]) if at < len(times) else None)
+                free = int(exits[at]) if at < len(times) else free
+            yield pd.DataFrame({"key": pdf["key"], "chunk": pdf["chunk"], "first": pd.array(taken, "Int64")})
+
+    def report(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def found():
+            for key, _, part in _runs(batches):
+                for t in _Cover(part["ts_ms"].astype(np.int64), int(part["life_ms"][0])).kept(int(part["first"][0])):
+                    yield key, t
+        return _frames(found(), ["key", "ts_ms"])
+
+    table = _in_key_order(chunks, place, ["ts_ms"]).mapInPandas(ways, "key string, chunk long, times array<long>, exits array<long>")
+    taken = _in_key_order(table, ["key"], ["chunk"]).mapInPandas(follow, "key string, chunk long, first long")
+    return _in_key_order(chunks.join(taken.filter("first IS NOT NULL"), place), place, ["ts_ms"]).mapInPandas(report, "key string, ts_ms long")
+
+
 def suppress(candidates: DataFrame) -> DataFrame:
     """Disposition of candidate alerts: (rule_no, id, disposition) of the emitted and throttled ones.
 
@@ -164,44 +238,23 @@ def suppress(candidates: DataFrame) -> DataFrame:
     key left set; otherwise it is emitted. Markers set at t end at t + ttl.
     Everything not returned is deduplicated.
 
-    Only the first candidate of a dedup key in a millisecond can get past the
-    dedup check, so the rest leave before the shuffle. Groups are cut wherever
-    they pause for longer than both markers live. A stretch is then read in
-    time order, a batch at a time, with nothing kept but live markers.
+    As the key is set either way, dedup does not depend on the throttle: it is a cover of each dedup key's times,
+    and the throttle is a cover of the times of a group that are left. Of the candidates of a dedup key in a
+    millisecond only the first can get past, so the rest leave before the shuffle.
     """
     group = ["rule_no", "group_key"]
     lone = F.when(F.col("dedup_ms") <= 0, F.col("id"))  # without a dedup time every candidate counts
     firsts = candidates.groupBy(*group, "dedup_key", "ts_ms", "dedup_ms", "throttle_ms", lone.alias("_lone")) \
-        .agg(F.min("id").alias("id")).withColumn("pause", F.greatest("dedup_ms", "throttle_ms", F.lit(1))) \
-        .withColumn("span", F.floor(F.col("ts_ms") / F.col("pause")))
-    spans = firsts.groupBy(*group, "span").agg(
-        F.min("ts_ms").alias("lo"), F.max("ts_ms").alias("hi"), F.max("pause").alias("pause"))
-    in_order = Window.partitionBy(*group).orderBy("span")
-    breaks = F.coalesce((F.col("lo") - F.lag("hi").over(in_order) >= F.col("pause")).cast("int"), F.lit(1))
-    stretches = spans.withColumn("_b", breaks).withColumn("stretch", F.sum("_b").over(in_order)) \
-        .select(*group, "span", "stretch")
-    keys = [*group, "stretch"]
-    ordered = (firsts.join(stretches, [*group, "span"])
-               .select(*keys, "dedup_key", "ts_ms", "id", "dedup_ms", "throttle_ms"))
-    ordered = _in_key_order(ordered, keys, ["ts_ms", "id"])
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, live, free_at = None, {}, -1
-        for pdf in batches:
-            rules, ids, kinds = [], [], []
-            for rule, g, s, key, t, i, dedup_ms, throttle_ms in pdf.itertuples(index=False):
-                if (rule, g, s) != current:
-                    current, live, free_at = (rule, g, s), {}, -1
-                if live.get(key, t) > t:
-                    continue
-                if len(live) > 10_000:
-                    live = {k: end for k, end in live.items() if end > t}
-                live[key] = t + dedup_ms
-                rules.append(rule)
-                ids.append(i)
-                kinds.append("throttled" if free_at > t else "emitted")
-                if free_at <= t:
-                    free_at = t + throttle_ms
-            yield pd.DataFrame({"rule_no": rules, "id": ids, "disposition": kinds}, dtype=object)
-
-    return ordered.mapInPandas(walk, "rule_no int, id string, disposition string")
+        .agg(F.min("id").alias("id")).drop("_lone")
+
+    def covered(rows: DataFrame, keys: list[str], life: str) -> DataFrame:
+        """``rows`` with ``kept``; a life of 0 or less keeps everything."""
+        marked = rows.withColumn("key", F.to_json(F.struct(*keys)))
+        kept = greedy_cover(marked.filter(F.col(life) > 0).select("key", "ts_ms", F.col(life).alias("life_ms"))).withColumn("_hit", F.lit(True))
+        return marked.join(kept, ["key", "ts_ms"], "left").withColumn("kept", F.col("_hit").isNotNull() | (F.col(life) <= 0)).drop("key", "_hit")
+
+    fresh = covered(firsts, [*group, "dedup_key"], "dedup_ms").filter("kept").drop("kept")
+    through = covered(fresh, group, "throttle_ms")
+    in_turn = F.row_number().over(Window.partitionBy(*group, "ts_ms").orderBy("id"))
+    emitted = F.col("kept") & ((F.col("throttle_ms") <= 0) | (in_turn == 1))
+    return through.select("rule_no", "id", F.when(emitted, "emitted").otherwise("throttled").alias("disposition"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.time import iso_ms
 from ..schema import ALERT_COLUMNS
+from .folds import greedy_cover
 
 NOTIFY_TTL_SECONDS = 3600  # Fixed value.
 # Message template of each rule, and the one for all others.
@@ -31,15 +32,19 @@ def alert_payload(alerts: DataFrame) -> DataFrame:
     return alerts.select("id", F.to_json(_body()).alias("value"))
 
 
-def notify_dedup(alerts: DataFrame) -> DataFrame:
-    """One row per alert id within its hour of life; the earliest one stays.
+def notify_dedup(alerts: DataFrame, ttl_seconds: int = NOTIFY_TTL_SECONDS) -> DataFrame:
+    """One row per alert id and life: the earliest, and each next one at or after the end of the one before.
 
-    Ids are hashes of the alert's cause, so equal ids carry equal times and the
-    hour never parts two copies.
+    Rows of one id and time are one. Only ids with several times are put in order, by a cover that no id makes one task of.
     """
-    rest = [c for c in alerts.columns if c != "id"]
-    return alerts.groupBy("id").agg(F.min_by(F.struct(*rest), "created_at").alias("a")).select("id", "a.*") \
-        .select(*alerts.columns)
+    at = F.unix_millis("created_at")
+    rest = [c for c in alerts.columns if c not in ("id", "created_at")]
+    once = alerts.groupBy("id", at.alias("_ms")).agg(F.min("created_at").alias("created_at"), *[F.min_by(c, "created_at").alias(c) for c in rest])
+    times = once.groupBy("id").agg(F.min("_ms").alias("_first"), F.max("_ms").alias("_last"))
+    rows = once.join(times, "id")
+    several = rows.filter("_last > _first").select(F.col("id").alias("key"), F.col("_ms").alias("ts_ms"), F.lit(ttl_seconds * 1000).alias("life_ms"))
+    kept = greedy_cover(several).select(F.col("key").alias("id"), F.col("ts_ms").alias("_ms"), F.lit(True).alias("_kept"))
+    return rows.join(kept, ["id", "_ms"], "left").filter("_last = _first OR _kept").select(*alerts.columns)
 
 
 def notifications(alerts: DataFrame, product: str = "Security") -> DataFrame:

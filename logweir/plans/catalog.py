@@ -216,6 +216,12 @@ def notify_rows(a):
     return notify.notifications(a).select("id", "subject", "template", F.col("context")["source_ip"].alias("source_ip"))
 
 
+def _repeated(a):
+    """Each alert again after 30, 60, 100 and 130 minutes."""
+    later = F.explode(F.array(*[F.lit(m) for m in (0, 30, 60, 100, 130)]))
+    return a.withColumn("later", later).withColumn("created_at", F.col("created_at") + F.make_dt_interval(mins=F.col("later"))).drop("later")
+
+
 def envelopes(a):
     out = notify.alert_envelope(a)
     return out.select("id", F.get_json_object("value", "$.type").alias("type"),
@@ -362,5 +368,6 @@ QUERIES: dict[str, Query] = {
     "alert_envelope": _on_alerts(envelopes),
     "alert_payload": _on_alerts(payloads),
     "notifications": _on_alerts(notify_rows),
+    "notify_dedup_hourly": _on_alerts(lambda a: _flat_alert(notify.notify_dedup(_repeated(a)))),
     "notify_dedup": _on_alerts(lambda a: _flat_alert(notify.notify_dedup(a.unionByName(a)))),
 }

@@ -338,6 +338,8 @@ CHECKS: dict[str, str] = {
     "alert_payload": _over_alerts("SELECT id, rule_id, title FROM alerts"),
     "notifications": _over_alerts("""SELECT id, concat('[', upper(severity), '] Security Alert: ', title) AS subject,
         'alert_generic.html' AS template, source_ip FROM alerts"""),
+    "notify_dedup_hourly": _over_alerts(f"""SELECT {FLAT} FROM (
+        SELECT * REPLACE (created_at + to_minutes(later) AS created_at) FROM alerts, (VALUES (0), (60), (130)) v(later))"""),
     "notify_dedup": _over_alerts(f"SELECT {FLAT} FROM alerts"),
 }
 # The two lookups that do not broadcast give the same rows.

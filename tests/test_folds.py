@@ -105,6 +105,38 @@ def test_suppress(spark, seed, dedup, throttle, keys):
     assert got == simulate_suppress(rows, dedup * 1000, throttle * 1000)
 
 
+def test_suppress_without_pause(spark):
+    """A group that never pauses is many small chunks, and equals the simulation."""
+    n, dedup, throttle = 5 * 86_400, 3600, 900
+    df = spark.range(n).select(F.lit(0).alias("rule_no"), F.lit("g").alias("group_key"), F.concat(F.lit("k"), F.col("id") % 3).alias("dedup_key"),
+                               (F.col("id") * 1000).alias("ts_ms"), F.lpad(F.col("id").cast("string"), 7, "0").alias("id"),
+                               F.lit(dedup * 1000).cast("long").alias("dedup_ms"), F.lit(throttle * 1000).cast("long").alias("throttle_ms"))
+    rows = [("g", f"k{i % 3}", i * 1000, f"{i:07d}") for i in range(n)]
+    assert {r.id: r.disposition for r in folds.suppress(df).collect()} == simulate_suppress(rows, dedup * 1000, throttle * 1000)
+
+
+def test_greedy_cover(spark):
+    rng = random.Random(8)
+    rows = [(k, t, life) for k, life in (("a", 1), ("b", 7), ("c", 5000), ("d", 10 ** 7)) for t in rng.choices(range(40_000), k=700)]
+    kept, free = [], {}
+    for k, t, life in sorted(set(rows)):
+        if t >= free.get(k, 0):
+            kept.append((k, t))
+            free[k] = t + life
+    got = folds.greedy_cover(spark.createDataFrame(rows, "key string, ts_ms long, life_ms long").repartition(3))
+    assert sorted(tuple(r) for r in got.collect()) == kept
+
+
+def test_notifications_live_an_hour(spark):
+    from logweir.operators.notify import notify_dedup
+
+    minutes = [("a", m) for m in (0, 0, 59, 60, 61, 119, 121, 300)] + [("b", 5)]
+    df = spark.createDataFrame([(i, m, {"m": str(m)}) for i, m in minutes], "id string, m long, metadata map<string,string>")
+    df = df.withColumn("created_at", F.timestamp_seconds(F.col("m") * 60)).select("id", "created_at", "m", "metadata")
+    assert sorted((r.id, r.m, r.metadata["m"]) for r in notify_dedup(df).collect()) == \
+        [("a", 0, "0"), ("a", 60, "60"), ("a", 121, "121"), ("a", 300, "300"), ("b", 5, "5")]
+
+
 def test_sliding_count_with_ties(spark):
     rng = random.Random(7)
     rows = [(rng.choice("aab"), t, f"{i:05d}") for i, t in enumerate(random_times(rng, 1000, True))]
