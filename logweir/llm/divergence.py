@@ -44,9 +44,9 @@ def _different(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         langs = batch.column("lang")
         for lang in langs.unique().to_pylist():
-            own = batch.column("text").filter(pc.equal(langs, lang))
-            words = set(" ".join(own.to_pylist()).split(" ")) - {""}
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), pa.array(list(words), pa.string())], names=["lang", "term"])
+            own = pc.binary_join_element_wise(batch.column("text").filter(pc.equal(langs, lang)), pa.scalar(""), pa.scalar(" "))
+            words = pa.array(set((own.buffers()[2] or pa.py_buffer(b"")).to_pybytes().split()), pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), words], names=["lang", "term"])
 
 
 def _terms() -> Column:
