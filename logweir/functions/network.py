@@ -41,6 +41,93 @@ def ip_to_long(ip) -> Column:
     return _once(_col(ip), lambda s: F.when(s.rlike(IPV4_PATTERN), _number(s)))
 
 
+# Flips the sign bit, so that unsigned halves of an address compare as signed numbers.
+_LEAST = -(1 << 63)
+
+
+def _groups6(s: Column) -> Column:
+    """The eight 16-bit groups of an IPv6 text, null when it is none. Text after % is a zone and is cut off."""
+    bare = F.lower(F.substring_index(s, "%", 1))
+    dotted = F.regexp_extract(bare, r":(\d+\.\d+\.\d+\.\d+)$", 1)
+
+    def unfolded(v4: Column) -> Column:
+        """A dotted end as two groups."""
+        ends = F.concat_ws(":", F.hex(F.shiftright(v4, 16)), F.hex(v4.bitwiseAND(F.lit(0xFFFF))))
+        return F.when(dotted == "", bare).when(v4.isNotNull(), F.concat(F.substr(bare, F.lit(1), F.length(bare) - F.length(dotted)), F.lower(ends)))
+    text = _once(ip_to_long(dotted), unfolded)
+
+    def groups(t: Column) -> Column:
+        def side(part: Column) -> Column:
+            return F.when(part == "", F.array().cast("array<string>")).otherwise(F.split(part, ":"))
+        left, right = side(F.substring_index(t, "::", 1)), side(F.substring_index(t, "::", -1))
+        known = F.size(left) + F.size(right)
+        short = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(8 - known, F.lit(0))), right)
+        once = F.size(F.split(t, "::")) == 2
+        all_ = F.when(~F.contains(t, F.lit("::")), F.split(t, ":")).when(once & (known <= 7), short)
+        return F.when((F.size(all_) == 8) & F.forall(all_, lambda g: g.rlike("^[0-9a-f]{1,4}$")),
+                      F.transform(all_, lambda g: F.conv(g, 16, 10).cast("long")))
+    return _once(text, groups)
+
+
+def _half(groups: Column, first: int) -> Column:
+    out = F.lit(0).cast("long")
+    for k in range(4):
+        out = out.bitwiseOR(F.shiftleft(F.get(groups, F.lit(first + k)), 48 - 16 * k))
+    return out.bitwiseXOR(F.lit(_LEAST))
+
+
+def _pair(hi: Column, lo: Column) -> Column:
+    return F.struct(hi.alias("hi"), lo.alias("lo"))
+
+
+def long_to_pair(value: Column) -> Column:
+    """An IPv4 number as a pair."""
+    return F.when(value.isNotNull(), _pair(F.lit(_LEAST), value.bitwiseXOR(F.lit(_LEAST))))
+
+
+def ip_to_pair(ip) -> Column:
+    """An address of either family as two numbers whose order is that of 128 bits; null when it is none.
+
+    IPv4 addresses are the last 32 of 128 bits, and so are IPv4 addresses written as IPv6 (``::ffff:1.2.3.4``).
+    """
+    def six(s):
+        def pair(g):
+            mapped = (F.get(g, F.lit(5)) == 0xFFFF) & F.forall(F.slice(g, 1, 5), lambda x: x == 0)
+            low = F.shiftleft(F.get(g, F.lit(6)), 16).bitwiseOR(F.get(g, F.lit(7)))
+            return F.when(g.isNotNull(), F.when(mapped, long_to_pair(low)).otherwise(_pair(_half(g, 0), _half(g, 4))))
+        return _once(_groups6(s), pair)
+    return _once(_col(ip), lambda s: F.when(s.contains(":"), six(s)).otherwise(long_to_pair(ip_to_long(s))))
+
+
+def pair_slice(pair: Column) -> Column:
+    """Number of the /16 an address is in; those of IPv6 come after those of IPv4."""
+    six = F.shiftrightunsigned(pair["hi"].bitwiseXOR(F.lit(_LEAST)), 48)
+    return F.when(pair["hi"] == _LEAST, F.shiftright(pair["lo"].bitwiseXOR(F.lit(_LEAST)), 16)).otherwise(six + (1 << 32))
+
+
+def network_bounds(network) -> tuple[Column, Column]:
+    """First and last address of an IPv4 or IPv6 network, as pairs; null for a bad one. Host bits are allowed."""
+    network = _col(network)
+    pair = ip_to_pair(F.substring_index(network, "/", 1))
+    width = F.when(F.contains(F.substring_index(network, "/", 1), F.lit(":")), 128).otherwise(32)
+    length = F.substring_index(network, "/", -1).try_cast("int")
+    free = width - length
+
+    def mask(bits: Column) -> Column:
+        """The lowest 0 to 64 bits set."""
+        return F.when(bits <= 0, F.lit(0).cast("long")).when(bits >= 64, F.lit(-1).cast("long")) \
+            .otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), bits.cast("int")) - 1)
+    low, high = mask(F.least(free, F.lit(64))), mask(free - 64)
+    ok = pair.isNotNull() & length.isNotNull() & (free >= 0) & (length >= 0)
+
+    def bounds(half: str, bits: Column) -> tuple[Column, Column]:
+        value = pair[half].bitwiseXOR(F.lit(_LEAST))
+        first = value.bitwiseAND(F.bitwise_not(bits))
+        return first.bitwiseXOR(F.lit(_LEAST)), first.bitwiseOR(bits).bitwiseXOR(F.lit(_LEAST))
+    (hi_first, hi_last), (lo_first, lo_last) = bounds("hi", high), bounds("lo", low)
+    return F.when(ok, _pair(hi_first, lo_first)), F.when(ok, _pair(hi_last, lo_last))
+
+
 def long_to_ip(value) -> Column:
     value = _col(value)
     return F.concat_ws(".", *[F.shiftrightunsigned(value, s).bitwiseAND(F.lit(255)).cast("string")

@@ -120,6 +120,22 @@ def enrich_geo(spark, sf, limit=enrich.BROADCAST_ROW_LIMIT):
                       F.col("geo.location.lat").alias("lat"), F.col("geo.location.lon").alias("lon"))
 
 
+def enrich_geo_six(spark, sf, limit=enrich.BROADCAST_ROW_LIMIT):
+    """Places of addresses of both families."""
+    flat = sample_events.events_flat(sample_events.read(spark, sf, "events"))
+    rows = flat.select("id", F.expr(samples.SIX_IP.format(str="string")).alias("ip"))
+    out = enrich.enrich_geo(rows, samples.geo_of_both(sample_events.read(spark, sf, "nation")), "ip", limit=limit)
+    return out.select("id", "ip", "geo.country_iso_code", "geo.country_name", F.col("geo.location.lat").alias("lat"))
+
+
+def threat_dense(spark, sf, limit=enrich.BROADCAST_ROW_LIMIT):
+    """Every source of the events is a listed block of its own."""
+    e = events(spark, sf)
+    ips = e.select(F.col("source.ip").alias("entry")).distinct()
+    entries = ips.select(F.lit("own").alias("feed"), F.crc32("entry").alias("line_no"), F.lit("cidr").alias("kind"), F.concat("entry", F.lit("/32")).alias("entry"))
+    return _match_columns(enrich.match_ip_cidr(e, feeds.feed_cidrs(entries), limit=limit), "block").filter("matched")
+
+
 def threat_exact(spark, sf):
     return _match_columns(enrich.match_ip_exact(events(spark, sf), _dims(spark, sf)[1]), "exact")
 
@@ -368,6 +384,9 @@ QUERIES: dict[str, Query] = {
     "alert_envelope": _on_alerts(envelopes),
     "alert_payload": _on_alerts(payloads),
     "notifications": _on_alerts(notify_rows),
+    "enrich_geo_six": enrich_geo_six,
+    "enrich_geo_six_large": lambda spark, sf: enrich_geo_six(spark, sf, 0),
+    "threat_dense": threat_dense,
     "notify_dedup_hourly": _on_alerts(lambda a: _flat_alert(notify.notify_dedup(_repeated(a)))),
     "notify_dedup": _on_alerts(lambda a: _flat_alert(notify.notify_dedup(a.unionByName(a)))),
 }

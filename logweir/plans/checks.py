@@ -8,7 +8,7 @@ from __future__ import annotations
 from .catalog import KNOWN_ALERT, SEARCH_WORDS
 from .sample_events import duckdb_flat, duckdb_requests
 from .sample_logs import FIELDS, CONSTANTS, duckdb_expected
-from .samples import DAY, FEED_LINE, FEED_NAME, MIXED_RULES, TUNED_RULES
+from .samples import DAY, FEED_LINE, FEED_NAME, MIXED_RULES, SIX_IP, TUNED_RULES
 
 ECS = f"ecs AS ({duckdb_flat()})"
 RANGE = "event_ts BETWEEN TIMESTAMP '2024-01-01' AND TIMESTAMP '2024-01-31'"
@@ -338,10 +338,15 @@ CHECKS: dict[str, str] = {
     "alert_payload": _over_alerts("SELECT id, rule_id, title FROM alerts"),
     "notifications": _over_alerts("""SELECT id, concat('[', upper(severity), '] Security Alert: ', title) AS subject,
         'alert_generic.html' AS template, source_ip FROM alerts"""),
+    "enrich_geo_six": _over_ecs(f"""SELECT id, {SIX_IP.format(str='VARCHAR')} AS ip, CASE WHEN public THEN concat('C', geo_no) END AS country_iso_code,
+        CASE WHEN public THEN (SELECT n_name FROM nation WHERE n_nationkey = geo_no) END AS country_name,
+        CASE WHEN public AND geo_no IN (SELECT n_nationkey FROM nation) THEN geo_no * 3.0::DOUBLE - 36 END AS lat FROM ecs"""),
+    "threat_dense": _over_ecs("SELECT id, true AS matched, 'own' AS feed, 85 AS score FROM ecs"),
     "notify_dedup_hourly": _over_alerts(f"""SELECT {FLAT} FROM (
         SELECT * REPLACE (created_at + to_minutes(later) AS created_at) FROM alerts, (VALUES (0), (60), (130)) v(later))"""),
     "notify_dedup": _over_alerts(f"SELECT {FLAT} FROM alerts"),
 }
 # The two lookups that do not broadcast give the same rows.
+CHECKS["enrich_geo_six_large"] = CHECKS["enrich_geo_six"]
 CHECKS["enrich_geo_large"] = CHECKS["enrich_geo"]
 CHECKS["threat_cidr_large"] = CHECKS["threat_cidr"]

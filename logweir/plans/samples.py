@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.network import ip_to_long
 from ..operators import detect, rules, search
+from ..sources import feeds
 
 # The sample events are sparse (some fourteen an hour), so windows are days and thresholds small.
 DAY = 86_400
@@ -39,6 +40,22 @@ def geo_ranges(nation: DataFrame) -> DataFrame:
                          (key * 3.0 - 36).alias("lat"), (key * 7.0 - 84).alias("lon"))
 
 
+def geo_of_both(nation: DataFrame) -> DataFrame:
+    """One IPv4 /24 and one IPv6 /48 per nation; even ones have the IPv6 network cut in two."""
+    key = F.col("n_nationkey").cast("string")
+    four, six = F.concat(F.lit("81.2."), key, F.lit(".0/24")), F.concat(F.lit("2a00:"), key)
+    networks = F.when(F.col("n_nationkey") % 2 == 1, F.array(four, F.concat(six, F.lit("::/48")))).otherwise(
+        F.array(four, F.concat(six, F.lit("::/49")), F.concat(six, F.lit(":0:8000::/49"))))
+    return feeds.geo_networks(nation.select(F.explode(networks).alias("network"), F.concat(F.lit("C"), key).alias("country_iso_code"),
+                                            F.col("n_name").alias("country_name"), F.lit(None).cast("string").alias("city_name"),
+                                            (F.col("n_nationkey") * 3.0 - 36).alias("lat"), (F.col("n_nationkey") * 7.0 - 84).alias("lon")))
+
+
+# Address text of a sample event in IPv6 for every third one; the same text runs on both engines.
+SIX_IP = ("CASE WHEN public AND k % 3 = 0 THEN concat('2A00:', cast(geo_no AS {str}), ':0:', CASE WHEN k % 2 = 0 THEN '0' ELSE '9001' END, '::', "
+          "cast(oct4 AS {str})) WHEN NOT public AND k % 3 = 0 THEN concat('fe80::', cast(oct4 AS {str})) ELSE source_ip END")
+
+
 # The same text runs on both engines: a line of a block list per supplier.
 FEED_LINE = ("CASE WHEN s_suppkey % 11 = 0 THEN concat('# note ', cast(s_suppkey AS {str})) "
              "WHEN s_suppkey % 7 = 0 THEN concat('81.2.', cast(s_suppkey % 25 AS {str}), '.', cast(s_suppkey % 8 AS {str}), '/', "

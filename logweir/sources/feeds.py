@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.network import cidr_bounds, normalize_oui
+from ..functions.network import cidr_bounds, network_bounds, normalize_oui
 
 CIDR_LINE, IP_LINE, COMMENT_LINE = r"^[\d.]+/\d+$", r"^[\d.]+$", r"^\s*[#;]"  # Fixed values.
 FEED_FORMATS = ("plain_ip", "plain_cidr", "csv_ip_port", "csv_ip_domain", "urlhaus_json")  # Fixed values.
@@ -155,3 +155,12 @@ def read_geo_ranges(spark: SparkSession, path: str) -> DataFrame:
     """Disjoint IPv4 ranges (lo, hi) with their place."""
     return spark.read.schema("lo long, hi long, country_iso_code string, country_name string, city_name string, "
                              "lat double, lon double").parquet(path)
+
+
+def geo_networks(rows: DataFrame) -> DataFrame:
+    """Ranges of both address families from disjoint networks: ``rows`` has network (text) and the columns of a place.
+
+    Bad networks are left out.
+    """
+    lo, hi = network_bounds("network")
+    return rows.withColumns({"lo": lo, "hi": hi}).filter(F.col("lo").isNotNull()).drop("network")
