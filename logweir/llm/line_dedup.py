@@ -22,6 +22,8 @@ PERCENT = 80
 # A pair of lines at the threshold shares at least one of the bands with a chance of 0.998, one at 90 % with 0.999997.
 BANDS, BAND_ROWS = 12, 4
 _BINS = BANDS * BAND_ROWS
+# Shingles of a set from which on one hash function serves all values of its signature.
+SMALL_SET = 512
 _EMPTY = np.uint64((1 << 64) - 1)
 _BLOCK = 1 << 16
 
@@ -49,40 +51,62 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
 
 
-def _signatures(lines: list[str], size: int) -> np.ndarray:
-    """Band keys of lines, a block of text at a time."""
-    out = np.empty((len(lines), BANDS), np.uint64)
+def _signatures(lines: list[str], size: int) -> list[np.ndarray]:
+    """Band keys of each line, a block of text at a time."""
+    out: list[np.ndarray] = []
     k = 0
     while k < len(lines):
         j, total = k, 0
         while j < len(lines) and (j == k or total + len(lines[j]) <= _BLOCK):
             total += len(lines[j])
             j += 1
-        out[k:j] = _block_signatures(lines[k:j], size)
+        out += _block_signatures(lines[k:j], size)
         k = j
     return out
 
 
-def _block_signatures(lines: list[str], size: int) -> np.ndarray:
-    """One hash per shingle, the least of each bin, empty bins filled from the next one, bins hashed by band."""
-    least = np.full((len(lines), _BINS), _EMPTY)
-    flat = least.reshape(-1)
-    codes = _codes("".join(lines))
-    length = np.array([len(x) for x in lines])
-    if len(codes) >= size:
-        hashes = _windows(codes, size)
-        row = np.repeat(np.arange(len(lines)), length)
-        full = row[: len(hashes)] == row[size - 1:]
-        _lower(flat, row[: len(hashes)][full], hashes[full])
-    for short in np.flatnonzero(length < size):
-        _lower(flat, np.array([short]), _windows(_codes(lines[short]), size))
-    place = np.where(least != _EMPTY, np.arange(_BINS), 4 * _BINS)
-    twice = np.concatenate([place, place + _BINS], axis=1)
-    following = np.minimum.accumulate(twice[:, ::-1], axis=1)[:, ::-1][:, :_BINS]
-    away = (following - np.arange(_BINS)).astype(np.uint64)
-    values = np.take_along_axis(least, following % _BINS, axis=1) + away * np.uint64(0x9E3779B97F4A7C15)
-    bands = mix(values).reshape(len(lines), BANDS, BAND_ROWS) * seeds(BAND_ROWS, 40)
-    return mix(np.add.reduce(bands, axis=2) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
+def _bands(values: np.ndarray, kind: int) -> np.ndarray:
+    """Hashes of ``BAND_ROWS`` values each, told apart by band and kind of signature."""
+    bands = mix(values).reshape(len(values), BANDS, BAND_ROWS) * seeds(BAND_ROWS, 40)
+    return mix(np.add.reduce(bands, axis=2) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03) + np.uint64(kind))
+
+
+def _block_signatures(lines: list[str], size: int) -> list[np.ndarray]:
+    """Band keys by the size of each line's set.
+
+    Small sets have one hash function per value: bins of a single one would mostly be empty, and then tell little.
+    Large sets have one hash per shingle, the least of each bin. Sets within the similarity of the border have both.
+    """
+    codes = [_codes(x) for x in lines]
+    hashes = [_windows(c, size) for c in codes]
+    values = np.concatenate(hashes)
+    distinct = np.array([len(np.unique(h)) if len(h) >= SMALL_SET * PERCENT // 100 else 0 for h in hashes])
+    small = np.flatnonzero(distinct * PERCENT <= SMALL_SET * 100)
+    large = np.flatnonzero(distinct * 100 >= SMALL_SET * PERCENT)
+    out: list[list[np.ndarray]] = [[] for _ in lines]
+    if len(small):
+        length = np.array([len(hashes[k]) for k in small])
+        own = values if len(small) == len(lines) else np.concatenate([hashes[k] for k in small])
+        starts = np.cumsum(length) - length
+        least = np.empty((len(small), _BINS), np.uint64)
+        for k, factor in enumerate(seeds(_BINS // 2, 90)):
+            spread = own * factor
+            least[:, 2 * k] = np.minimum.reduceat((spread >> np.uint64(32)).astype(np.uint32), starts)
+            least[:, 2 * k + 1] = np.minimum.reduceat(spread.astype(np.uint32), starts)
+        for k, bands in zip(small.tolist(), _bands(least, 1)):
+            out[k].append(bands)
+    if len(large):
+        least = np.full((len(large), _BINS), _EMPTY)
+        for row, k in enumerate(large.tolist()):
+            _lower(least[row], np.zeros(len(hashes[k]), np.int64), hashes[k])
+        place = np.where(least != _EMPTY, np.arange(_BINS), 4 * _BINS)
+        twice = np.concatenate([place, place + _BINS], axis=1)
+        following = np.minimum.accumulate(twice[:, ::-1], axis=1)[:, ::-1][:, :_BINS]
+        away = (following - np.arange(_BINS)).astype(np.uint64)
+        filled = np.take_along_axis(least, following % _BINS, axis=1) + away * np.uint64(0x9E3779B97F4A7C15)
+        for k, bands in zip(large.tolist(), _bands(filled, 2)):
+            out[k].append(bands)
+    return [np.concatenate(x) for x in out]
 
 
 def _lower(flat: np.ndarray, row: np.ndarray, hashes: np.ndarray) -> None:
@@ -105,8 +129,9 @@ def _lines(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBa
                     told.add(own)
                     new.append(line), new_at.append(len(lines) - 1)
         count = np.zeros(len(lines) + 1, np.int32)
-        count[np.array(new_at, int) + 1] = BANDS
-        bands = signed(_signatures(new, size).reshape(-1)) if new else np.zeros(0, np.int64)
+        made = _signatures(new, size)
+        count[np.array(new_at, int) + 1] = [len(x) for x in made]
+        bands = signed(np.concatenate(made)) if made else np.zeros(0, np.int64)
         lists = pa.ListArray.from_arrays(pa.array(np.cumsum(count).astype(np.int32)), pa.array(bands))
         yield pa.RecordBatch.from_arrays(
             [pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(numbers, pa.int32()), pa.array(lines, pa.int64()), lists],
