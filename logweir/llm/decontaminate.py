@@ -155,6 +155,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = SHINGLE, per
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that contain no item of ``benchmark``, with their columns."""
-    bad = contaminated(docs, benchmark).select(F.col("doc_id").alias("bad_id"), F.col("text_key").alias("bad_key")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("bad_id")) & (F.xxhash64(docs["text"]) == F.col("bad_key")), "left_anti")
+    """The rows of ``docs`` that contain no item of ``benchmark``, with their columns, whatever these are called."""
+    bad = contaminated(docs, benchmark).select(F.struct("doc_id", "text_key").alias("bad")).distinct().alias("leaks")
+    own = F.struct(F.col("docs.doc_id").cast("long").alias("doc_id"), F.xxhash64("docs.text").alias("text_key"))
+    return docs.alias("docs").join(bad, own.eqNullSafe(F.col("leaks.bad")), "left_anti")
