@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweir.llm import decontaminate, language_id, line_dedup, mixing, ngram_join
-from logweir.llm.scratch import new_path, small_arrow_batches
+from logweir.llm.scratch import new_path, small_arrow_batches, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -34,11 +34,30 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest doc_id. Rows of one doc_id are one document."""
+    """One row of each group of near copies, texts joined by links: the one with the smallest doc_id, then text hash.
+
+    Groups are of texts, so that rows of one doc_id with different texts are judged apart; a null doc_id comes after all others, and of rows that
+    are equal in both one stays. Rows whose texts have no words are linked with nothing and all stay.
+    """
     small_arrow_batches(spark)
-    found = ngram_join.ngram_components(docs)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("gone"), "left_anti")
+    key = F.xxhash64("text")
+    # Every different text is one document of the join, under a number of its own.
+    found = ngram_join.ngram_components(docs.select(key.alias("doc_id"), "text").where("text IS NOT NULL"))
+    groups = written(found.where("n_shingles > 0").select(F.col("doc_id").alias("key"), F.col("component_id").alias("group")).distinct(), "groups")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    rows = docs.select("doc_id", key.alias("key")).groupBy("doc_id", "key").agg(F.count("*").alias("times")).join(groups, "key")
+    rows = written(rows.withColumn("place", place), "places")
+    firsts = rows.groupBy(F.col("group").alias("own")).agg(F.min("place").alias("first"))
+    judged = rows.join(firsts, F.col("group") == F.col("own")).select(
+        F.struct("doc_id", "key").alias("copy"), (F.col("place") == F.col("first")).alias("stays"), "times")
+    judged = written(judged.where("NOT stays OR times > 1"), "copies").alias("copies")
+    own = F.struct(F.col("docs.doc_id"), F.xxhash64("docs.text").alias("key"))
+    marked = docs.alias("docs").join(judged, own.eqNullSafe(F.col("copies.copy")), "left")
+    alone = marked.where("copies.stays IS NULL").select("docs.*")
+    # Of equal rows that stay, one does.
+    every = F.struct(*[F.col(f"docs.`{c}`") for c in docs.columns])
+    one = marked.where("copies.stays").groupBy("copies.copy").agg(F.first(every).alias("row")).select("row.*")
+    return alone.unionByName(one)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,9 +66,10 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with their size in words and number of copies."""
+    """The documents that the mix takes, with their size in words and number of copies, in place of columns of these names."""
     mixed = mixing.mix_sources(docs)
-    return mixed.where("mix_copies > 0").select(*docs.columns, F.col("mix_size").alias("size"), F.col("mix_copies").alias("copies"))
+    return mixed.where("mix_copies > 0").select(*[c for c in docs.columns if c not in ("size", "copies")],
+                                                F.col("mix_size").alias("size"), F.col("mix_copies").alias("copies"))
 
 
 STAGES: list[tuple[str, Stage]] = [
