@@ -5,7 +5,7 @@ map over the source's partitions: no shuffle and no Python worker.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..schema import EVENT, GEO, THREAT
@@ -217,4 +217,19 @@ def pipeline_counts(parsed: DataFrame) -> DataFrame:
     return parsed.groupBy(dataset.alias("dataset"), status.alias("status")).agg(F.count("*").alias("n"))
 
 
+def observed_counts(parsed: DataFrame, parsers: tuple, observation: Observation) -> DataFrame:
+    """``parsed``, whose lines per log type and outcome are noted in ``observation`` as it is read; no pass of its own."""
+    reason, parser = F.col("reason"), F.col("parser")
+    metrics = [F.count_if(reason == "no_parser").alias("unrecognized|dead_letter")]
+    for p in parsers:
+        metrics += [F.count_if(reason.isNull() & (parser == p.name)).alias(f"{p.dataset}|success"),
+                    F.count_if((reason == "parse_failed") & (parser == p.name)).alias(f"unifi.{p.name}|failed")]
+    return parsed.observe(observation, *metrics)
+
+
+def counts_observed(observation: Observation) -> list[tuple[str, str, int]]:
+    """(dataset, status, n) rows of ``observed_counts``, as ``pipeline_counts`` has them."""
+    return [(*name.split("|"), n) for name, n in sorted(observation.get.items()) if n]
+
+
 EVENT_COLUMNS = EVENT.fieldNames()

@@ -93,13 +93,18 @@ def feed_cidrs(entries: DataFrame) -> DataFrame:
             .filter(F.col("lo").isNotNull()))
 
 
-def read_feed_plain(spark: SparkSession, folder: str) -> DataFrame:
-    """Lines of every ``*.txt`` in the folder as (feed, line_no, line); feed is the file's stem.
+def exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+def read_feed_plain(spark: SparkSession, folder: str, names: str = "*.txt") -> DataFrame:
+    """Lines of every file in the folder that is named like ``names`` as (feed, line_no, line); feed is the file's stem.
 
     One file is one row here, which keeps the lines numbered; block lists are
     small files, so nothing large passes through a task.
     """
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt").text(folder)
+    files = spark.read.option("pathGlobFilter", names).text(folder, wholetext=True)
     stem = F.regexp_replace(F.col("_metadata.file_name"), r"\.txt$", "")
     return files.select(stem.alias("feed"), F.posexplode(F.split("value", r"\r\n|\r|\n")).alias("line_no", "line"))
 
@@ -118,7 +123,7 @@ def read_feed_csv(spark: SparkSession, path: str, layout: str, feed: str) -> Dat
 def read_feed_json(spark: SparkSession, path: str, feed: str = "urlhaus") -> DataFrame:
     """URL hosts of a JSON feed that maps ids to lists of ``{"url": ...}``."""
     schema = "map<string, array<struct<url string>>>"
-    docs = spark.read.option("wholetext", True).text(path).select(F.from_json("value", schema).alias("m"))
+    docs = spark.read.text(path, wholetext=True).select(F.from_json("value", schema).alias("m"))
     urls = docs.select(F.explode("m").alias("id", "items")).select("id", F.explode("items").alias("u"))
     return urls.select(F.lit(feed).alias("feed"), F.col("id").try_cast("long").alias("line_no"),
                        url_host(F.col("u.url")).alias("line"))
@@ -136,6 +141,42 @@ def feed_catalog(spark: SparkSession, only_enabled: bool = True, disabled: tuple
     return df.filter("enabled") if only_enabled else df
 
 
+def load_feed_catalog(spark: SparkSession, path: str, only_enabled: bool = True) -> DataFrame:
+    """Feed metadata from a YAML catalogue: as ``feed_catalog``, and the ``file`` that holds each feed.
+
+    The file's stem is what matches carry. An unknown format raises. The catalogue is a handful of entries.
+    """
+    import yaml
+    text = spark.read.text(path, wholetext=True).first()
+    rows = []
+    for entry in (yaml.safe_load(text["value"]) or {}).get("feeds", []) if text else []:
+        if entry["format"] not in FEED_FORMATS:
+            raise ValueError(f"unknown feed format {entry['format']!r}; must be one of {FEED_FORMATS}")
+        file = entry["local_path"].rsplit("/", 1)[-1]
+        rows.append((entry["name"], entry["format"], file.rsplit(".", 1)[0], file, entry.get("update_interval_hours"), bool(entry.get("enabled", True)),
+                     list(entry.get("tags") or []), entry.get("confidence")))
+    df = spark.createDataFrame(rows, "name string, format string, feed string, file string, update_interval_hours int, enabled boolean, "
+                                     "tags array<string>, confidence string")
+    return df.filter("enabled") if only_enabled else df
+
+
+def read_catalog_feeds(spark: SparkSession, catalog: DataFrame, folder: str) -> DataFrame:
+    """(feed, line_no, line) of every file of ``catalog`` in ``folder``, each read as its format says. Files that are missing are skipped."""
+    out = spark.createDataFrame([], "feed string, line_no long, line string")
+    for entry in catalog.select("feed", "format", "file").collect():
+        path = f"{folder}/{entry['file']}"
+        if not exists(spark, path):
+            continue
+        if entry["format"].startswith("plain_"):
+            lines = read_feed_plain(spark, path, "*").withColumn("feed", F.lit(entry["feed"]))
+        elif entry["format"].startswith("csv_"):
+            lines = read_feed_csv(spark, path, entry["format"], entry["feed"])
+        else:
+            lines = read_feed_json(spark, path, entry["feed"])
+        out = out.unionByName(lines.select("feed", F.col("line_no").cast("long").alias("line_no"), "line"))
+    return out
+
+
 def builtin_oui(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(BUILTIN_OUI.items()), "oui string, vendor string")
 

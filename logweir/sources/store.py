@@ -5,15 +5,28 @@ from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.time import event_date
 from ..operators.dashboard import DELETE_DAYS
+from ..operators.search import acknowledge
+from ..schema import ALERT
 from ..session import broadcast_if_bounded
+from .feeds import exists
+
+
+# Alerts as stored; the last three are absent until a day has an acknowledgement.
+STORED_ALERT = T.StructType([*ALERT.fields, T.StructField("acknowledged", T.BooleanType()), T.StructField("acknowledged_by", T.StringType()),
+                             T.StructField("acknowledged_at", T.TimestampType()), T.StructField("alert_date", T.DateType())])
 
 
 def write_events(events: DataFrame, path: str, mode: str = "append", batch_id: int | None = None) -> None:
     """Write events under ``event_date=YYYY-MM-DD``.
 
+    Rows are dealt out by day in parts of the session's advisory size, so that a day has as many files as its
+    size asks for, however many tasks there were. Ids have Bloom filters, by which a
+    lookup of one id skips the row groups without it.
+
     With ``batch_id`` the rows also go under ``batch=<id>`` and replace what an
     earlier attempt of the same batch left there, so a retried batch is not
     written twice.
@@ -22,7 +35,8 @@ def write_events(events: DataFrame, path: str, mode: str = "append", batch_id: i
     keys = ["event_date"]
     if batch_id is not None:
         out, keys, mode = out.withColumn("batch", F.lit(batch_id)), ["event_date", "batch"], "overwrite"
-    out.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+    (out.hint("rebalance", *keys).write.mode(mode).option("partitionOverwriteMode", "dynamic")
+     .option("parquet.bloom.filter.enabled#event.id", "true").partitionBy(*keys).parquet(path))
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
@@ -36,7 +50,7 @@ def write_alerts(alerts: DataFrame, path: str) -> None:
     """
     spark = alerts.sparkSession
     fresh = alerts.dropDuplicates(["id"]).withColumn("alert_date", event_date("created_at"))
-    if _exists(spark, path):
+    if exists(spark, path):
         days = fresh.select("alert_date").distinct()
         # The type is given, as a table may have no rows yet.
         stored = spark.read.schema(fresh.schema).parquet(path).join(broadcast_if_bounded(days, 10_000), "alert_date", "left_semi").select("id")
@@ -44,9 +58,27 @@ def write_alerts(alerts: DataFrame, path: str) -> None:
     fresh.write.mode("append").partitionBy("alert_date").parquet(path)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+def read_alerts(spark: SparkSession, path: str) -> DataFrame:
+    """Stored alerts with their acknowledgement columns."""
+    rows = spark.read.schema(STORED_ALERT).parquet(path)
+    return rows.withColumn("acknowledged", F.coalesce("acknowledged", F.lit(False)))
+
+
+def acknowledge_stored(spark: SparkSession, path: str, acks: DataFrame) -> list[date]:
+    """Store acknowledgements (alert_id, user_id, at) of open alerts; the first one of an alert wins, for good. Returns the days rewritten.
+
+    Only days with an open alert among them are read whole and replaced, each at once when the write commits; other days' files stay as
+    they are. Acknowledging again changes nothing, so a retry is safe.
+    """
+    acks = acks.filter("alert_id IS NOT NULL")
+    named = acks.select(F.col("alert_id").alias("id")).distinct()
+    opened = read_alerts(spark, path).filter("NOT acknowledged").select("id", "alert_date").join(named, "id", "left_semi")
+    days = sorted(row["alert_date"] for row in opened.select("alert_date").distinct().collect())
+    if days:
+        rows = acknowledge(read_alerts(spark, path).filter(F.col("alert_date").isin(days)), acks)
+        (rows.select(STORED_ALERT.fieldNames()).hint("rebalance", "alert_date").write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("alert_date").parquet(path))
+    return days
 
 
 def drop_expired(spark: SparkSession, path: str, today: date, days: int = DELETE_DAYS) -> list[str]:

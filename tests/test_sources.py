@@ -11,6 +11,7 @@ from logweir.functions.network import cidr_bounds, ip_to_long, is_non_routable,
 from logweir.operators import dashboard, enrich, notify, requests as req, search
 from logweir.plans import samples
 from logweir.plans.sample_events import events_as_ecs, read
+from logweir.schema import ALERT_COLUMNS
 from logweir.sources import feeds, raw_logs, store
 from logweir.streaming.jobs import deliver
 
@@ -43,7 +44,9 @@ def folder(tmp_path):
 
 
 def test_feeds(spark, folder):
-    entries = feeds.feed_entries(feeds.read_feed_plain(spark, folder))
+    lines = feeds.read_feed_plain(spark, folder)
+    assert {(r.feed, r.line_no) for r in lines.collect() if r.line} == {("a_list", 0), ("a_list", 1), *(("b_list", k) for k in range(7))}
+    entries = feeds.feed_entries(lines)
     assert {tuple(r) for r in feeds.feed_ips(entries).collect()} == {("1.2.3.4", "a_list"), ("5.6.7.8", "b_list")}
     blocks = feeds.feed_cidrs(entries)
     assert {(r.lo, r.feed) for r in blocks.collect()} == {
@@ -60,6 +63,31 @@ def test_feeds(spark, folder):
     assert [(r.line, r.detail) for r in feeds.read_feed_csv(spark, f"{folder}/d.csv", "csv_ip_port", "sslbl").collect()] == [("4.4.4.4", "443")]
 
 
+CATALOG = """
+feeds:
+  - {name: one, format: plain_ip, local_path: /x/a_list.txt, update_interval_hours: 6, enabled: true, tags: [botnet], confidence: high}
+  - {name: two, format: csv_ip_port, local_path: /x/d.csv, tags: [c2], confidence: medium}
+  - {name: three, format: urlhaus_json, local_path: /x/c.json, update_interval_hours: 2, tags: [], confidence: low}
+  - {name: disabled, format: plain_cidr, local_path: /x/b_list.txt, enabled: false}
+  - {name: gone, format: plain_cidr, local_path: /x/none.txt}
+"""
+
+
+def test_catalogue_steers_the_readers(spark, folder, tmp_path):
+    (tmp_path / "feeds.yml").write_text(CATALOG)
+    catalog = feeds.load_feed_catalog(spark, f"{folder}/feeds.yml")
+    assert [tuple(r) for r in catalog.select("name", "feed", "update_interval_hours", "confidence").collect()] == [
+        ("one", "a_list", 6, "high"), ("two", "d", None, "medium"), ("three", "c", 2, "low"), ("gone", "none", None, None)]
+    entries = feeds.feed_entries(feeds.read_catalog_feeds(spark, catalog, folder))
+    assert {tuple(r) for r in feeds.feed_ips(entries).collect()} == {("1.2.3.4", "a_list"), ("4.4.4.4", "d"), ("9.9.9.9", "c")}
+    ips = spark.createDataFrame([("4.4.4.4",), ("9.9.9.9",), ("5.6.7.8",)], "ip string")
+    found = enrich.with_feed_details(enrich.enrich_threat(ips, feeds.feed_ips(entries), feeds.feed_cidrs(entries), "ip").select("ip", "threat_intel.feed"), catalog)
+    assert {(r.ip, r.feed, r.confidence) for r in found.collect()} == {("4.4.4.4", "d", "medium"), ("9.9.9.9", "c", "low"), ("5.6.7.8", None, None)}
+    (tmp_path / "bad.yml").write_text("feeds: [{name: x, format: xml, local_path: a}]")
+    with pytest.raises(ValueError):
+        feeds.load_feed_catalog(spark, f"{folder}/bad.yml")
+
+
 def test_nested_blocks_against_every_pair(spark):
     rng = random.Random(5)
     blocks = [(f"10.{rng.randrange(3)}.{rng.randrange(256)}.0/{rng.choice([8, 14, 16, 20, 24, 26, 32])}", f"f{rng.randrange(4)}", i)
@@ -145,6 +173,44 @@ def test_first_acknowledgement_wins(spark, sf_dir):
         search.list_alerts(alerts, 1, 500)
 
 
+def test_stored_acknowledgements(spark, sf_dir, tmp_path):
+    """Two acks, a retry and a later one agree; files of other days are not touched."""
+    alerts = samples.alerts(events_as_ecs(read(spark, sf_dir, "events"))).select(*ALERT_COLUMNS).persist()
+    path = str(tmp_path / "alerts")
+    store.write_alerts(alerts, path)
+    files = lambda: {(p, p.stat().st_mtime_ns) for p in (tmp_path / "alerts").glob("alert_date=*/*.parquet")}
+    before, chosen = files(), alerts.orderBy("created_at").limit(3)
+    acks = samples.acks(chosen.withColumn("created_at", F.col("created_at") - F.make_dt_interval(mins=F.minute("created_at"))))
+    days = store.acknowledge_stored(spark, path, acks)
+    touched = {f"alert_date={d}" for d in days}
+    assert days and {x for x in before if x[0].parent.name not in touched} <= files()
+    once = sorted(map(str, store.read_alerts(spark, path).select(sorted(store.STORED_ALERT.fieldNames())).collect()))
+    assert store.acknowledge_stored(spark, path, acks.withColumn("user_id", F.lit("zoe"))) == []
+    again = store.read_alerts(spark, path)
+    assert sorted(map(str, again.select(sorted(store.STORED_ALERT.fieldNames())).collect())) == once
+    assert again.count() == alerts.count() and {r.acknowledged_by for r in again.filter("acknowledged").collect()} == {"bob"}
+    assert again.filter("acknowledged").count() == 3
+    store.write_alerts(alerts, path)
+    assert store.read_alerts(spark, path).count() == alerts.count()
+
+
+def test_files_of_a_day_and_lookup_of_an_id(spark, sf_dir, tmp_path):
+    events, path = events_as_ecs(read(spark, sf_dir, "events")), str(tmp_path / "events")
+    store.write_events(events.repartition(40), path)
+    assert max(len(list(d.glob("*.parquet"))) for d in (tmp_path / "events").glob("event_date=*")) <= 2
+    stored = store.read_events(spark, path)
+    known = stored.select("event.id").first()[0]
+    assert search.get_event(stored, known).count() == 1
+
+    def rows_read(event_id):
+        df = stored.filter(F.col("event.id") == event_id).select("ts")
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan()
+        scan = plan.collectLeaves().head()
+        return scan.metrics().apply("numOutputRows").value()
+    assert rows_read("no-such-id") == 0 and 0 < rows_read(known) < stored.count() / 4
+
+
 def test_request_functions(spark):
     rows = spark.createDataFrame([("POST", "/api/v1/users/", "1.1.1.1, 2.2.2.2", "9.9.9.9"), ("PATCH", "/", "", "9.9.9.9"),
                                   ("HEAD", "/x", None, None)], "m string, p string, x string, peer string")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from logweir.operators import detect, rules
 from logweir.operators.dashboard import events_per_minute
+from logweir.operators.parse import parse_logs, pipeline_counts
 from logweir.operators.windows import sliding_count
 from logweir.plans.sample_events import events_as_ecs, read
 from logweir.plans.sample_logs import events_as_syslog
@@ -124,9 +125,15 @@ def test_folds_step_by_step():
 
 
 def test_ingest_stream(spark, sf_dir, tmp_path):
+    """Two batches, the second with late lines and a blank one; then the second again, as after a failure."""
     source, out = str(tmp_path / "raw"), str(tmp_path / "events")
-    lines = events_as_syslog(read(spark, sf_dir, "events"))
-    lines.write.json(source)
+    lines = events_as_syslog(read(spark, sf_dir, "events")).persist()
+    parsed = parse_logs(lines).select("id", F.unix_millis("parsed.ts").alias("ms")).filter("ms IS NOT NULL").persist()
+    cut = parsed.agg(F.expr("percentile_approx(ms, 0.7)")).first()[0]
+    old = [r.id for r in parsed.filter(F.col("ms") <= cut).limit(40).collect()]
+    lines.join(parsed.filter(F.col("ms") > cut).select("id").unionByName(parsed.filter((F.col("ms") <= cut) & ~F.col("id").isin(old)).select("id")), "id").coalesce(1).write.json(f"{source}/0")
+    blank = lines.limit(1).withColumns({"raw": F.lit(" \x00 "), "id": F.lit("blank")})
+    lines.filter(F.col("id").isin(old)).unionByName(blank).coalesce(1).write.json(f"{source}/1")
     entries = feeds.feed_entries(feed_lines(read(spark, sf_dir, "supplier")))
     loads = []
 
@@ -135,13 +142,28 @@ def test_ingest_stream(spark, sf_dir, tmp_path):
         return {"ips": feeds.feed_ips(entries), "blocks": feeds.feed_cidrs(entries), "oui": feeds.builtin_oui(spark)}
     raw = read_raw_logs(spark, source, streaming=True)
     assert raw.schema == RAW_LOG
-    query = jobs.start_ingest(raw, jobs.Dimensions(load), out, str(tmp_path / "rejects"), str(tmp_path / "ckpt"),
-                              trigger={"availableNow": True})
-    query.awaitTermination(180)
-    stored = read_events(spark, out)
-    rejects = spark.read.parquet(str(tmp_path / "rejects"))
-    assert stored.count() + rejects.count() == lines.count()
-    assert {"event_date", "batch"} <= set(stored.columns) and len(loads) == 1
+    raw = spark.readStream.schema(RAW_LOG).option("maxFilesPerTrigger", 1).json(f"{source}/*")
+    counts, late = str(tmp_path / "counts"), str(tmp_path / "late")
+
+    def ingest():
+        query = jobs.start_ingest(raw, dimensions, out, str(tmp_path / "rejects"), str(tmp_path / "ckpt"), trigger={"availableNow": True},
+                                  counts_path=counts, late_path=late, delay_seconds=60)
+        assert query.awaitTermination(300)
+    dimensions = jobs.Dimensions(load)
+    for attempt in range(2):
+        ingest()
+        stored, rejects = read_events(spark, out), spark.read.parquet(str(tmp_path / "rejects"))
+        behind = spark.read.parquet(f"{late}/events")
+        mark = parsed.agg(F.max("ms")).first()[0] - 60_000
+        assert {r.id for r in behind.select("event.id").collect()} == set(old) and parsed.filter(F.col("id").isin(old) & (F.col("ms") > mark)).count() == 0
+        assert stored.count() + behind.count() == parsed.count() and {"event_date", "batch"} <= set(stored.columns) and len(loads) == 1
+        done = parse_logs(lines.join(stored.select("event.id").unionByName(behind.select("event.id")).unionByName(rejects.select("id")), "id"))
+        assert {tuple(r) for r in spark.read.parquet(counts).groupBy("dataset", "status").agg(F.sum("n").alias("n")).select("dataset", "status", "n").collect()} == \
+            {tuple(r) for r in pipeline_counts(done).collect()}
+        # The last batch runs again when its commit is missing.
+        last = max(int(p.name) for p in (tmp_path / "ckpt" / "commits").iterdir() if p.name.isdigit())
+        for name in (f"{last}", f".{last}.crc"):
+            (tmp_path / "ckpt" / "commits" / name).unlink(missing_ok=True)
 
 
 def test_dimensions_refresh_and_survive_failure():
