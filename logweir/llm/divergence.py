@@ -109,8 +109,8 @@ def _row_counts(rows: DataFrame, least: int) -> DataFrame:
 def source_term_counts(docs: DataFrame, least: int = LEAST_DOCUMENTS, vocabulary_limit: int = VOCABULARY_LIMIT) -> DataFrame:
     """(lang, source, term, count): occurrences in each source of the terms that ``least`` documents of the language have.
 
-    Languages whose different terms, counted before, are within ``vocabulary_limit`` get a CountVectorizer each, whose vocabulary
-    the driver holds; its vectors are summed by source exactly. Otherwise terms stay rows. Both give the same counts. lang and
+    Languages whose different terms are within ``vocabulary_limit``, by the length of their texts or counted before, get a CountVectorizer
+    each, whose vocabulary the driver holds; its vectors are summed by source exactly. Otherwise terms stay rows. Both give the same counts. lang and
     source must not be null.
     """
     spark, path = docs.sparkSession, new_path(docs.sparkSession, "texts")
@@ -119,11 +119,17 @@ def source_term_counts(docs: DataFrame, least: int = LEAST_DOCUMENTS, vocabulary
     (docs.select("lang", "source", "text").mapInArrow(_cleaned, kept).withColumn("lang_key", F.md5("lang"))
      .write.partitionBy("lang_key").parquet(path))
     rows = spark.read.schema(f"{kept}, lang_key string").parquet(path)
-    sizes = (rows.select("lang", "text").mapInArrow(_different, "lang string, term string").groupBy("lang")
-             .agg(F.approx_count_distinct("term", 0.02).alias("terms")).limit(LANGUAGE_LIMIT + 1).collect())
-    if len(sizes) > LANGUAGE_LIMIT or any(row["terms"] * 1.1 > vocabulary_limit for row in sizes):
+    # A kept term takes ``least`` bytes and spaces of its own at least; where texts are long enough for more terms, terms are counted.
+    sizes = rows.groupBy("lang").agg(F.sum(F.octet_length("text") + 1).alias("bytes")).limit(LANGUAGE_LIMIT + 1).collect()
+    long_ = [F.md5(F.lit(row["lang"])) for row in sizes if row["bytes"] // (2 * least) > vocabulary_limit]
+    many = len(sizes) > LANGUAGE_LIMIT
+    if long_ and not many:
+        found = rows.where(F.col("lang_key").isin(long_)).select("lang", "text").mapInArrow(_different, "lang string, term string")
+        terms = found.groupBy("lang").agg(F.approx_count_distinct("term", 0.02).alias("terms"))
+        many = not terms.where(F.col("terms") * 1.1 > vocabulary_limit).isEmpty()
+    if many:
         return written(_row_counts(rows, least), "counts")
-    parts = [written(_vector_counts(rows, row["lang"], least), "counts") for row in sorted(sizes)]
+    parts = [written(_vector_counts(rows, row["lang"], least), "counts") for row in sorted(sizes, key=lambda row: row["lang"])]
     out = spark.createDataFrame([], "lang string, source string, term string, count long")
     for part in parts:
         out = out.unionByName(part)
