@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import settled
 from .fold_steps import NONE, CountChunk, DistinctChunk
 from .windows import time_chunks
 
@@ -246,6 +247,7 @@ def suppress(candidates: DataFrame) -> DataFrame:
     lone = F.when(F.col("dedup_ms") <= 0, F.col("id"))  # without a dedup time every candidate counts
     firsts = candidates.groupBy(*group, "dedup_key", "ts_ms", "dedup_ms", "throttle_ms", lone.alias("_lone")) \
         .agg(F.min("id").alias("id")).drop("_lone")
+    firsts = settled(firsts)
 
     def covered(rows: DataFrame, keys: list[str], life: str) -> DataFrame:
         """``rows`` with ``kept``; a life of 0 or less keeps everything."""
@@ -253,7 +255,7 @@ def suppress(candidates: DataFrame) -> DataFrame:
         kept = greedy_cover(marked.filter(F.col(life) > 0).select("key", "ts_ms", F.col(life).alias("life_ms"))).withColumn("_hit", F.lit(True))
         return marked.join(kept, ["key", "ts_ms"], "left").withColumn("kept", F.col("_hit").isNotNull() | (F.col(life) <= 0)).drop("key", "_hit")
 
-    fresh = covered(firsts, [*group, "dedup_key"], "dedup_ms").filter("kept").drop("kept")
+    fresh = settled(covered(firsts, [*group, "dedup_key"], "dedup_ms").filter("kept").drop("kept"))
     through = covered(fresh, group, "throttle_ms")
     in_turn = F.row_number().over(Window.partitionBy(*group, "ts_ms").orderBy("id"))
     emitted = F.col("kept") & ((F.col("throttle_ms") <= 0) | (in_turn == 1))

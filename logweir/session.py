@@ -40,3 +40,8 @@ def broadcast_if_bounded(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> Dat
     may split skewed partitions.
     """
     return F.broadcast(df) if within_rows(df, limit) else df
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` worked out once for several uses: as a checkpoint where the session has a folder for them, else kept by Spark."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
