@@ -77,17 +77,29 @@ def _block_signatures(lines: list[str], size: int) -> list[np.ndarray]:
     Small sets have one hash function per value: bins of a single one would mostly be empty, and then tell little.
     Large sets have one hash per shingle, the least of each bin. Sets within the similarity of the border have both.
     """
-    codes = [_codes(x) for x in lines]
-    hashes = [_windows(c, size) for c in codes]
-    values = np.concatenate(hashes)
-    distinct = np.array([len(np.unique(h)) if len(h) >= SMALL_SET * PERCENT // 100 else 0 for h in hashes])
+    length = np.array([len(x) for x in lines])
+    short = np.flatnonzero(length < size)
+    count = np.maximum(length - size + 1, 1)
+    first = np.cumsum(count) - count
+    values = np.empty(int(count.sum()), np.uint64)
+    codes = _codes("".join(lines))
+    if len(codes) >= size:
+        every = _windows(codes, size)
+        row = np.repeat(np.arange(len(lines)), length)
+        inside = np.ones(len(values), bool)
+        inside[first[short]] = False
+        values[inside] = every[row[: len(every)] == row[size - 1:]]
+    for k in short.tolist():
+        values[first[k]] = _windows(_codes(lines[k]), size)[0]
+    distinct = np.zeros(len(lines), np.int64)
+    for k in np.flatnonzero(count >= SMALL_SET * PERCENT // 100).tolist():
+        distinct[k] = len(np.unique(values[first[k]: first[k] + count[k]]))
     small = np.flatnonzero(distinct * PERCENT <= SMALL_SET * 100)
     large = np.flatnonzero(distinct * 100 >= SMALL_SET * PERCENT)
     out: list[list[np.ndarray]] = [[] for _ in lines]
     if len(small):
-        length = np.array([len(hashes[k]) for k in small])
-        own = values if len(small) == len(lines) else np.concatenate([hashes[k] for k in small])
-        starts = np.cumsum(length) - length
+        own = values if len(small) == len(lines) else np.concatenate([values[first[k]: first[k] + count[k]] for k in small])
+        starts = np.cumsum(count[small]) - count[small]
         least = np.empty((len(small), _BINS), np.uint64)
         for k, factor in enumerate(seeds(_BINS // 2, 90)):
             spread = own * factor
@@ -98,7 +110,7 @@ def _block_signatures(lines: list[str], size: int) -> list[np.ndarray]:
     if len(large):
         least = np.full((len(large), _BINS), _EMPTY)
         for row, k in enumerate(large.tolist()):
-            _lower(least[row], np.zeros(len(hashes[k]), np.int64), hashes[k])
+            _lower(least[row], np.zeros(count[k], np.int64), values[first[k]: first[k] + count[k]])
         place = np.where(least != _EMPTY, np.arange(_BINS), 4 * _BINS)
         twice = np.concatenate([place, place + _BINS], axis=1)
         following = np.minimum.accumulate(twice[:, ::-1], axis=1)[:, ::-1][:, :_BINS]
