@@ -27,7 +27,7 @@ def _col(value) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
-def _once(value: Column, use) -> Column:
+def once(value: Column, use) -> Column:
     """``use(value)`` with the value computed once, however often ``use`` names it."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
@@ -38,7 +38,7 @@ def _number(ip: Column) -> Column:
 
 def ip_to_long(ip) -> Column:
     """Numeric value of a dotted IPv4 address, null when it is not one."""
-    return _once(_col(ip), lambda s: F.when(s.rlike(IPV4_PATTERN), _number(s)))
+    return once(_col(ip), lambda s: F.when(s.rlike(IPV4_PATTERN), _number(s)))
 
 
 # Flips the sign bit, so that unsigned halves of an address compare as signed numbers.
@@ -54,7 +54,7 @@ def _groups6(s: Column) -> Column:
         """A dotted end as two groups."""
         ends = F.concat_ws(":", F.hex(F.shiftright(v4, 16)), F.hex(v4.bitwiseAND(F.lit(0xFFFF))))
         return F.when(dotted == "", bare).when(v4.isNotNull(), F.concat(F.substr(bare, F.lit(1), F.length(bare) - F.length(dotted)), F.lower(ends)))
-    text = _once(ip_to_long(dotted), unfolded)
+    text = once(ip_to_long(dotted), unfolded)
 
     def groups(t: Column) -> Column:
         def side(part: Column) -> Column:
@@ -66,7 +66,7 @@ def _groups6(s: Column) -> Column:
         all_ = F.when(~F.contains(t, F.lit("::")), F.split(t, ":")).when(once & (known <= 7), short)
         return F.when((F.size(all_) == 8) & F.forall(all_, lambda g: g.rlike("^[0-9a-f]{1,4}$")),
                       F.transform(all_, lambda g: F.conv(g, 16, 10).cast("long")))
-    return _once(text, groups)
+    return once(text, groups)
 
 
 def _half(groups: Column, first: int) -> Column:
@@ -95,8 +95,8 @@ def ip_to_pair(ip) -> Column:
             mapped = (F.get(g, F.lit(5)) == 0xFFFF) & F.forall(F.slice(g, 1, 5), lambda x: x == 0)
             low = F.shiftleft(F.get(g, F.lit(6)), 16).bitwiseOR(F.get(g, F.lit(7)))
             return F.when(g.isNotNull(), F.when(mapped, long_to_pair(low)).otherwise(_pair(_half(g, 0), _half(g, 4))))
-        return _once(_groups6(s), pair)
-    return _once(_col(ip), lambda s: F.when(s.contains(":"), six(s)).otherwise(long_to_pair(ip_to_long(s))))
+        return once(_groups6(s), pair)
+    return once(_col(ip), lambda s: F.when(s.contains(":"), six(s)).otherwise(long_to_pair(ip_to_long(s))))
 
 
 def pair_slice(pair: Column) -> Column:
@@ -150,7 +150,7 @@ def is_non_routable(ip) -> Column:
     def test(s):
         v6 = s.contains(":") & ~s.rlike(NON_ROUTABLE_V6)
         return F.when(s.rlike(IPV4_PATTERN), _in_networks(_number(s), NON_ROUTABLE_V4)).otherwise(~v6)
-    return F.coalesce(_once(_col(ip), test), F.lit(True))
+    return F.coalesce(once(_col(ip), test), F.lit(True))
 
 
 def is_private(ip) -> Column:
@@ -158,7 +158,7 @@ def is_private(ip) -> Column:
     def test(s):
         v4 = _in_networks(_number(s), PRIVATE_V4, PUBLIC_INSIDE_PRIVATE)
         return F.when(s.rlike(IPV4_PATTERN), v4).otherwise(s.contains(":") & s.rlike(PRIVATE_V6))
-    return F.coalesce(_once(_col(ip), test), F.lit(False))
+    return F.coalesce(once(_col(ip), test), F.lit(False))
 
 
 def normalize_oui(mac) -> Column:

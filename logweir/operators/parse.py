@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ..functions.network import once
 from ..schema import EVENT, GEO, THREAT
 from .parsers import DEFAULT_PARSERS, Parser
 from .parsers.base import MOST_PATTERNS, TEXT_FIELDS, UNIX_LINES
@@ -37,32 +38,34 @@ def header(raw: Column, received_at: Column) -> Column:
     Lines that carry a protocol version digit after the priority have no known
     header here and keep their whole text as the message.
     """
-    line = strip_pri(raw)
-
-    def iso(n):
-        return F.regexp_extract(line, UNIX_LINES + HEADER_ISO, n)
-
-    def bsd(n):
-        return F.regexp_extract(line, UNIX_LINES + HEADER_BSD, n)
-
-    month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), bsd(1)).cast("int")
-    pieces = [bsd(n).try_cast("int") for n in (2, 3, 4, 5)]
-
-    def at_year(year):
-        return F.try_make_timestamp(year, month, *pieces[:3], pieces[3].cast("decimal(16,6)"))
-
-    this_year = at_year(F.year(received_at))
-    bsd_ts = F.when((this_year > received_at) & (month > F.month(received_at)),
-                    at_year(F.year(received_at) - 1)).otherwise(this_year)
-    nothing = F.lit(None).cast("string")
-    return (F.when(line.rlike(UNIX_LINES + HEADER_ISO),
-                   F.struct(iso(1).try_cast("timestamp").alias("ts"), iso(2).alias("host"),
-                            iso(3).alias("program"), iso(4).alias("message")))
-            .when(line.rlike(UNIX_LINES + HEADER_BSD),
-                  F.struct(bsd_ts.alias("ts"), bsd(6).alias("host"), bsd(7).alias("program"),
-                           bsd(9).alias("message")))
-            .otherwise(F.struct(F.lit(None).cast("timestamp").alias("ts"), nothing.alias("host"),
-                                nothing.alias("program"), line.alias("message"))))
+    def read(line: Column) -> Column:
+        def iso(n):
+            return F.regexp_extract(line, UNIX_LINES + HEADER_ISO, n)
+
+        def bsd(n):
+            return F.regexp_extract(line, UNIX_LINES + HEADER_BSD, n)
+
+        def dated(pieces: Column) -> Column:
+            """Time of month, day, hour, minute and second in the year that is not in the future."""
+            month = F.get(pieces, F.lit(0))
+
+            def at_year(year):
+                return F.try_make_timestamp(year, *[F.get(pieces, F.lit(n)) for n in range(4)], F.get(pieces, F.lit(4)).cast("decimal(16,6)"))
+            return once(at_year(F.year(received_at)), lambda this_year: F.when(
+                (this_year > received_at) & (month > F.month(received_at)), at_year(F.year(received_at) - 1)).otherwise(this_year))
+
+        month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), bsd(1)).cast("int")
+        bsd_ts = once(F.array(month, *[bsd(n).try_cast("int") for n in (2, 3, 4, 5)]), dated)
+        nothing = F.lit(None).cast("string")
+        return (F.when(line.rlike(UNIX_LINES + HEADER_ISO),
+                       F.struct(iso(1).try_cast("timestamp").alias("ts"), iso(2).alias("host"),
+                                iso(3).alias("program"), iso(4).alias("message")))
+                .when(line.rlike(UNIX_LINES + HEADER_BSD),
+                      F.struct(bsd_ts.alias("ts"), bsd(6).alias("host"), bsd(7).alias("program"),
+                               bsd(9).alias("message")))
+                .otherwise(F.struct(F.lit(None).cast("timestamp").alias("ts"), nothing.alias("host"),
+                                    nothing.alias("program"), line.alias("message"))))
+    return once(strip_pri(raw), read)
 
 
 def program_host(raw: Column) -> tuple[Column, Column]:
@@ -91,20 +94,20 @@ def classify(envelopes: DataFrame, parsers: tuple[Parser, ...] = DEFAULT_PARSERS
     return _held(envelopes.withColumn("program", program), "parser", classify_sql(parsers))
 
 
-def _read_sql(parser: Parser, index: int) -> str:
-    """Texts of the parser's first matching pattern, headed by that pattern's number."""
+def _number_sql(parser: Parser, index: int) -> str:
+    """Number of the parser's first matching pattern."""
     base = (index + 1) * _PER_PARSER
     return "CASE " + " ".join(
-        f"WHEN {p.found()} THEN {'NULL' if p.reject else p.values(base + i)}"
+        f"WHEN {p.found()} THEN {'NULL' if p.reject else base + i}"
         for i, p in enumerate(parser.patterns)) + " END"
 
 
 def _by_pattern(parsers: tuple[Parser, ...], build) -> str:
-    """SQL that picks ``build(parser, pattern)`` by pattern number, parser first."""
+    """SQL that picks ``build(parser, pattern, number)`` by pattern number, parser first."""
     outer = []
     for i, parser in enumerate(parsers):
         base = (i + 1) * _PER_PARSER
-        inner = " ".join(f"WHEN {base + j} THEN {build(parser, q)}"
+        inner = " ".join(f"WHEN {base + j} THEN {build(parser, q, base + j)}"
                          for j, q in enumerate(parser.patterns) if not q.reject)
         outer.append(f"WHEN {i} THEN CASE pattern_no {inner} END")
     return f"CASE cast(pattern_no DIV {_PER_PARSER} - 1 AS int) {' '.join(outer)} END"
@@ -119,18 +122,18 @@ def parse_logs(envelopes: DataFrame, parsers: tuple[Parser, ...] = DEFAULT_PARSE
     """
     staged = classify(envelopes, parsers)
     if fallthrough:
-        found = "coalesce(" + ", ".join(
-            f"CASE WHEN {p.claims()} THEN {_read_sql(p, i)} END" for i, p in enumerate(parsers)) + ")"
+        number = "coalesce(" + ", ".join(
+            f"CASE WHEN {p.claims()} THEN {_number_sql(p, i)} END" for i, p in enumerate(parsers)) + ")"
     else:
-        found = "CASE parser " + " ".join(
-            f"WHEN '{p.name}' THEN {_read_sql(p, i)}" for i, p in enumerate(parsers)) + " END"
-    # Groups that took no part read as ''. Running the long CASE under a lambda
-    # also keeps it out of one generated method too large for the JIT.
-    staged = _held(staged, "found", f"transform({found}, v -> coalesce(v, ''))")
-    staged = staged.withColumn("pattern_no", F.expr("coalesce(cast(found[0] AS int), -1)"))
+        number = "CASE parser " + " ".join(
+            f"WHEN '{p.name}' THEN {_number_sql(p, i)}" for i, p in enumerate(parsers)) + " END"
+    # Running a long CASE under a lambda keeps it out of one generated method too large for the JIT.
+    staged = _held(staged, "pattern_no", f"transform(array({number}), v -> coalesce(v, -1))[0]")
+    # Groups that took no part read as ''. The texts are a plain column, so that nothing is extracted where none is asked for.
+    staged = staged.withColumn("found", F.expr("transform(" + _by_pattern(parsers, lambda p, q, n: q.values(n)) + ", v -> coalesce(v, ''))"))
     staged = staged.withColumns({
-        "texts": F.expr("transform(" + _by_pattern(parsers, lambda p, q: q.event_texts(p)) + ", v -> nullif(v, ''))"),
-        "labels": F.expr(_by_pattern(parsers, lambda p, q: q.label_map()))})
+        "texts": F.expr("transform(" + _by_pattern(parsers, lambda p, q, n: q.event_texts(p)) + ", v -> nullif(v, ''))"),
+        "labels": F.expr(_by_pattern(parsers, lambda p, q, n: q.label_map()))})
     hit = F.col("pattern_no") > 0
     staged = staged.withColumn("head", F.when(hit, header(F.col("raw"), F.col("received_at"))))
     owner = F.expr(f"cast(pattern_no DIV {_PER_PARSER} - 1 AS int)")
@@ -161,7 +164,8 @@ def parse_logs(envelopes: DataFrame, parsers: tuple[Parser, ...] = DEFAULT_PARSE
         F.col("head.host").alias("hostname"), flat("user").alias("user"), of_owner("observer").alias("observer"),
         F.split(flat("tags"), " ").alias("tags"), F.col("labels"), flat("message").alias("message"))
     reason = F.when(F.col("parser").isNull(), "no_parser").when(~hit, "parse_failed")
-    owner_name = F.when(hit, of_owner("name")).otherwise(F.col("parser"))
+    # Without fallthrough the claimant is the owner, and a filter by log type goes before the extraction.
+    owner_name = F.when(hit, of_owner("name")).otherwise(F.col("parser")) if fallthrough else F.col("parser")
     return staged.select("id", "raw", "received_at", "source_ip", owner_name.alias("parser"),
                          reason.alias("reason"), F.when(hit, parsed).alias("parsed"))
 

@@ -364,7 +364,9 @@ def _chosen(templates: list[str | None], dialect: str) -> str:
 
 def events_as_syslog(events: DataFrame) -> DataFrame:
     """Raw log envelopes, one per event; the sample is the event id modulo their number."""
-    line = F.expr(_chosen([f"{program}: {text}" for _, program, text, _ in SAMPLES], "spark"))
+    chosen = _chosen([f"{program}: {text}" for _, program, text, _ in SAMPLES], "spark")
+    # Under a lambda, as the parser's own long CASE.
+    line = F.expr(f"transform(array({chosen}), v -> v)[0]")
     head = F.concat(F.lit("<134>"), F.date_format("event_ts", "MMM"), F.lit(" "),
                     F.lpad(F.dayofmonth("event_ts").cast("string"), 2, " "), F.lit(" "),
                     F.date_format("event_ts", "HH:mm:ss"), F.lit(" "), F.col("hostname"), F.lit(" "))

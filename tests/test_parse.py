@@ -4,7 +4,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from logweir.operators.parse import dead_letters, parse_logs, pipeline_counts, to_ecs
+from logweir.operators.parse import dead_letters, header, parse_logs, pipeline_counts, to_ecs
 from logweir.operators.parsers import DEFAULT_PARSERS, Parser, Pattern, register_parser
 from logweir.plans.sample_logs import CONSTANTS, FIELDS, SAMPLES, UNREADABLE, expected
 
@@ -101,3 +101,23 @@ def test_counts_and_ecs(spark):
     assert tuple(event) == ("denied", False, "Ubiquiti")
     assert to_ecs(parsed, compat=False).select("event.action").collect()[0][0] is None
     assert to_ecs(parsed).filter(F.col("event.id") == "0").count() == 1
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_filter_by_log_type_goes_before_the_reading(spark):
+    parsed = parse_logs(envelopes(spark, ["x"])).filter((F.col("parser") == "wan") & F.col("reason").isNull())
+    steps = plan_of(parsed).splitlines()
+    read = next(i for i, step in enumerate(steps) if "Generate" in step and "[pattern_no#" in step)
+    assert any("Filter" in step and "= wan)" in step for step in steps[read + 1:])
+
+
+def test_lines_set_aside_are_not_taken_apart(spark):
+    assert " AS found#" not in plan_of(dead_letters(parse_logs(envelopes(spark, ["x"]))).select("id", "reason"))
+
+
+def test_a_header_is_cut_out_once(spark):
+    rows = envelopes(spark, ["x"]).select(header(F.col("raw"), F.col("received_at")).alias("h"))
+    assert plan_of(rows).count("regexp_replace(") == 1

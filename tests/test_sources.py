@@ -216,3 +216,10 @@ def test_request_functions(spark):
                                   ("HEAD", "/x", None, None)], "m string, p string, x string, peer string")
     got = rows.select(req.derive_action(F.col("m"), F.col("p")), req.client_ip(F.col("x"), F.col("peer"))).collect()
     assert [tuple(r) for r in got] == [("create:users", "1.1.1.1"), ("update:unknown", "9.9.9.9"), ("head:x", "unknown")]
+
+
+def test_tables_read_in_few_parts_are_dealt_out(spark):
+    from logweir.plans.sample_events import spread
+    cores = spark.sparkContext.defaultParallelism
+    few, many = spark.range(0, 100, 1, 2), spark.range(0, 100, 1, 4 * cores)
+    assert spread(few).rdd.getNumPartitions() == cores and spread(many).rdd.getNumPartitions() == 4 * cores
