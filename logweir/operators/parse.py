@@ -129,11 +129,10 @@ def parse_logs(envelopes: DataFrame, parsers: tuple[Parser, ...] = DEFAULT_PARSE
             f"WHEN '{p.name}' THEN {_number_sql(p, i)}" for i, p in enumerate(parsers)) + " END"
     # Running a long CASE under a lambda keeps it out of one generated method too large for the JIT.
     staged = _held(staged, "pattern_no", f"transform(array({number}), v -> coalesce(v, -1))[0]")
-    # Groups that took no part read as ''. The texts are a plain column, so that nothing is extracted where none is asked for.
-    staged = staged.withColumn("found", F.expr("transform(" + _by_pattern(parsers, lambda p, q, n: q.values(n)) + ", v -> coalesce(v, ''))"))
-    staged = staged.withColumns({
-        "texts": F.expr("transform(" + _by_pattern(parsers, lambda p, q, n: q.event_texts(p)) + ", v -> nullif(v, ''))"),
-        "labels": F.expr(_by_pattern(parsers, lambda p, q, n: q.label_map()))})
+    # Groups that took no part read as ''.
+    staged = _held(staged, "found", "transform(" + _by_pattern(parsers, lambda p, q, n: q.values(n)) + ", v -> coalesce(v, ''))")
+    staged = _held(staged, "texts", "transform(" + _by_pattern(parsers, lambda p, q, n: q.event_texts(p)) + ", v -> nullif(v, ''))")
+    staged = staged.withColumn("labels", F.expr(_by_pattern(parsers, lambda p, q, n: q.label_map())))
     hit = F.col("pattern_no") > 0
     staged = staged.withColumn("head", F.when(hit, header(F.col("raw"), F.col("received_at"))))
     owner = F.expr(f"cast(pattern_no DIV {_PER_PARSER} - 1 AS int)")

@@ -114,8 +114,12 @@ def test_a_filter_by_log_type_goes_before_the_reading(spark):
     assert any("Filter" in step and "= wan)" in step for step in steps[read + 1:])
 
 
-def test_lines_set_aside_are_not_taken_apart(spark):
-    assert " AS found#" not in plan_of(dead_letters(parse_logs(envelopes(spark, ["x"]))).select("id", "reason"))
+def test_only_lines_that_are_asked_for_are_taken_apart(spark):
+    for rows in (dead_letters(parse_logs(envelopes(spark, ["x"]))), to_ecs(parse_logs(envelopes(spark, ["x"])))):
+        steps = plan_of(rows).splitlines()
+        apart = next(i for i, step in enumerate(steps) if "Generate" in step and "[found#" in step)
+        read = next(i for i, step in enumerate(steps) if "Generate" in step and "[pattern_no#" in step)
+        assert any("Filter" in step and "pattern_no#" in step for step in steps[apart + 1:read])
 
 
 def test_a_header_is_cut_out_once(spark):
