@@ -1,10 +1,12 @@
 """Secrets and personal data: base spans against plain patterns, and what the networks add."""
 import re
+import zlib
 
 import numpy as np
 from logweir.llm import personal_data, secret_scan
 
 from conftest import SF_DIR
+from llm.conftest import words
 
 KEY = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
 
@@ -96,3 +98,22 @@ def test_the_middle_of_a_long_candidate_is_read():
     plain = "a" * 60
     asked = [(plain + "!" + plain, (0, 121)), (plain + plain, (0, 120))]
     assert secret_scan.span_scores(Middle(), asked).tolist() == [1.0, 0.0]
+
+
+def test_every_text_is_learned_from(spark, documents, monkeypatch):
+    """The network and its threshold come from all texts, in any number of tasks, and not from a sample of them."""
+    def text(k):
+        return " ".join(words(k, 30)) + (f" token = {KEY[k % 7:]}{k:06d} " if k % 2 else " nothing here ")
+
+    asked = []
+    calibrate = secret_scan._calibrate_counts
+    monkeypatch.setattr(secret_scan, "_calibrate_counts", lambda net, logits, labels, counts, *more: (
+        asked.append(counts[labels == 1].sum()), calibrate(net, logits, labels, counts, *more)))
+    rows = documents([(k, text(k)) for k in range(3000)])
+    examples = [(zlib.crc32(t.encode()) % 3 == 2, label) for t in map(text, range(3000))
+                for _, label in secret_scan._text_examples(t, np.random.default_rng(zlib.crc32(t.encode())))]
+    for task_examples in (secret_scan.TASK_EXAMPLES, 3000):
+        net = secret_scan.fit(rows, task_examples=task_examples)
+        assert asked.pop() == examples.count((True, 1)) > 900
+        assert net.recall >= 0.98 and net.threshold > 0.5
+    assert secret_scan.fit(documents([(1, "no secret here")])) is None and secret_scan.fit(documents([])) is None
