@@ -27,7 +27,7 @@ FREQUENT_MOST = 2_000_000
 _SLACK = 1e-9
 
 _SKETCH = "doc_id long, class long, n long, keys array<long>"
-_POSTING = "shingle long, class long, at int"
+_POSTING = "shingle long, class long, at int, leads boolean"
 _SET = "class long, members array<long>"
 _MEASURED = "a long, b long, distance double, linked boolean"
 
@@ -65,13 +65,15 @@ def _prefixes(batches: Iterator[pa.RecordBatch], size: int, percent: int,
     """The first shingles of each set in one order for all: two linked sets share one of them.
 
     Sets that share at least percent of their union share percent of the larger one, so of n
-    shingles in order, the first n - ceil(n * percent / 100) + 1 cannot all be missing.
+    shingles in order, the first n - ceil(n * percent / 100) + 1 cannot all be missing. Two sets of n and
+    more shingles share n * 2 * percent / (100 + percent) at least, so that the first they share is
+    nearer to the front of the smaller one: its leading shingles are those up to there.
     A class is told once per task.
     """
     bits = frequent.value if frequent is not None else None
     told: set[int] = set()
     for batch in small_batches(batches):
-        shingle_parts, class_parts, at_parts = [], [], []
+        shingle_parts, class_parts, at_parts, lead_parts = [], [], [], []
         for members in _sets(batch.column(0), size):
             if len(members) == 0 or (own := _class(members)) in told:
                 continue
@@ -83,10 +85,11 @@ def _prefixes(batches: Iterator[pa.RecordBatch], size: int, percent: int,
             head = members[: n - -(-n * percent // 100) + 1]
             shingle_parts.append(head), class_parts.append(np.full(len(head), own))
             at_parts.append(np.arange(len(head), dtype=np.int32))
+            lead_parts.append(at_parts[-1] <= n - -(-2 * n * percent // (100 + percent)))
         if shingle_parts:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(signed(np.concatenate(shingle_parts))), pa.array(np.concatenate(class_parts)),
-                 pa.array(np.concatenate(at_parts))], names=["shingle", "class", "at"])
+                 pa.array(np.concatenate(at_parts)), pa.array(np.concatenate(lead_parts))], names=["shingle", "class", "at", "leads"])
 
 
 def _class_sets(batches: Iterator[pa.RecordBatch], size: int, wanted: Broadcast) -> Iterator[pa.RecordBatch]:
@@ -190,13 +193,13 @@ class _Join:
             F.coalesce("home.distance", F.lit(0.0)).alias("radius")), "regions")
 
     def postings(self) -> DataFrame:
-        """(shingle, class, at) of prefix shingles that several classes have; at is the place in the class's order."""
+        """(shingle, class, at, leads) of prefix shingles that several classes have; at is the place in the class's order."""
         texts = self.docs.select("text")
         counts = (texts.mapInArrow(partial(_prefixes, size=self.size, percent=self.percent, frequent=None), _POSTING)
                   .groupBy("shingle").count().where(F.col("count") >= FREQUENT))
         frequent = self._frequent(written(counts, "frequent"))
         rows = texts.mapInArrow(partial(_prefixes, size=self.size, percent=self.percent, frequent=frequent), _POSTING)
-        return shared_postings(rows)
+        return written(shared_postings(rows), "prefixes")
 
     def _frequent(self, counts: DataFrame) -> Broadcast:
         """The most frequent shingles as a bit set of fixed size, ``FREQUENT_MOST`` at most.
@@ -225,6 +228,12 @@ class _Join:
         after = F.least(F.col(a_n) - F.col("a_last"), F.col(b_n) - F.col("b_last")) - 1
         return (F.col("common") + after) * (100 + self.percent) >= (F.col(a_n) + F.col(b_n)) * self.percent
 
+    def _place(self, a: str, b: str) -> Column:
+        """Whether two sets can be linked that share a shingle at these places: of what comes before and after it they share the shorter at most."""
+        before = F.least(f"{a}_at", f"{b}_at")
+        after = F.least(F.col(f"{a}_n") - F.col(f"{a}_at"), F.col(f"{b}_n") - F.col(f"{b}_at")) - 1
+        return (before + 1 + after) * (100 + self.percent) >= (F.col(f"{a}_n") + F.col(f"{b}_n")) * self.percent
+
     def links(self) -> DataFrame:
         """(a, b): links that join all classes which are connected.
 
@@ -241,13 +250,20 @@ class _Join:
         regions = self.regions(measured)
         found = measured.where("linked").select("a", "b")
         regions = self._joined(regions, found)
-        shared = written(_parted(self.postings().join(regions, "class")), "postings")
+        # Tasks tell a class each on its own.
+        shared = written(_parted(self.postings().join(regions, "class")).distinct(), "postings")
         extent = regions.groupBy("region").agg(F.max("radius").alias("radius"), F.min("n").alias("low"), F.max("n").alias("high"))
         extent = written(extent, "extent")
-        heads = shared.groupBy("shingle", "region", "component").agg(F.max("at").alias("at"))
-        met = (heads.select("shingle", F.col("region").alias("a"), F.col("at").alias("a_at"), F.col("component").alias("a_component"))
-               .join(heads.select("shingle", F.col("region").alias("b"), F.col("at").alias("b_at"), F.col("component").alias("b_component")),
-                     "shingle").where("a < b AND a_component <> b_component"))
+        # Of two sets that can be linked, the smaller leads with a shingle they share; what else they share comes after it in both.
+        heads = shared.groupBy("shingle", "region", "component").agg(
+            F.max("at").alias("at"), F.min("n").alias("low"), F.max("n").alias("n"), F.min(F.when(F.col("leads"), F.col("n"))).alias("lead_n"),
+            (F.max("radius") == 0).alias("single"))
+        head_a, head_b = (heads.select("shingle", F.col("region").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in
+                                                                             ("at", "component", "low", "n", "lead_n", "single")]) for x in "ab")
+        met = head_a.join(head_b, "shingle").where("a < b AND a_component <> b_component").where(
+            "a_lead_n <= b_n OR b_lead_n <= a_n").where(
+            f"a_low * {self.percent} <= b_n * 100 AND b_low * {self.percent} <= a_n * 100").where(
+            ~(F.col("a_single") & F.col("b_single")) | self._place("a", "b"))
         one, two = (extent.select(F.col("region").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("radius", "low", "high")])
                     for x in "ab")
         pairs = _met_often(met).join(one, "a").join(two, "b").where(
@@ -262,16 +278,17 @@ class _Join:
             return found
         members = written(_parted(self._joined(shared.drop("component"), found)), "members")
         room = F.col("distance") - self.reach - _SLACK
-        side = (members.select("shingle", F.col("class").alias("x"), F.col("at").alias("a_at"), F.col("region").alias("a"), F.col("radius").alias("x_radius"),
-                               F.col("n").alias("x_n"), F.col("component").alias("x_component"))
+        side = (members.select("shingle", F.col("class").alias("x"), F.col("at").alias("x_at"), F.col("region").alias("a"), F.col("radius").alias("x_radius"),
+                               F.col("n").alias("x_n"), F.col("component").alias("x_component"), F.col("leads").alias("x_leads"))
                 .join(open_pairs, "a").where(F.col("x_radius") + F.col("b_radius") >= room))
-        other = members.select("shingle", F.col("class").alias("y"), F.col("at").alias("b_at"), F.col("region").alias("b"), F.col("radius").alias("y_radius"),
-                               F.col("n").alias("y_n"), F.col("component").alias("y_component"))
+        other = members.select("shingle", F.col("class").alias("y"), F.col("at").alias("y_at"), F.col("region").alias("b"), F.col("radius").alias("y_radius"),
+                               F.col("n").alias("y_n"), F.col("component").alias("y_component"), F.col("leads").alias("y_leads"))
         near = F.least("x_n", "y_n") * 100 >= F.greatest("x_n", "y_n") * self.percent
-        inner = (side.join(other, ["shingle", "b"])
+        leads = F.when(F.struct("x_n", "x") < F.struct("y_n", "y"), F.col("x_leads")).otherwise(F.col("y_leads"))
+        inner = (side.join(other, ["shingle", "b"]).where(leads & self._place("x", "y"))
                  .where((F.col("x_radius") + F.col("y_radius") >= room) & (F.col("x_component") != F.col("y_component")) & near)
-                 .select("shingle", F.col("x").alias("a"), F.col("y").alias("b"), "a_at", "b_at", F.col("x_n").alias("a_n"),
-                         F.col("y_n").alias("b_n")).distinct())
+                 .select("shingle", F.col("x").alias("a"), F.col("y").alias("b"), F.col("x_at").alias("a_at"), F.col("y_at").alias("b_at"), F.col("x_n").alias("a_n"),
+                         F.col("y_n").alias("b_n")))
         inner = _met_often(inner, "a_n", "b_n").where(self._room("a_n", "b_n"))
         return found.unionByName(self.measure(inner).where("linked").select("a", "b"))
 

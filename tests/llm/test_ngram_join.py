@@ -1,6 +1,7 @@
 """The n-gram join against all pairs."""
 import random
 
+import pyarrow as pa
 import pytest
 
 from logweir.llm import ngram_join
@@ -65,3 +66,42 @@ def test_equals_all_pairs(documents, monkeypatch, keys, frequent):
 def test_odd_rows(documents, odd_rows):
     assert found(documents(odd_rows)) == brute(odd_rows)
     assert found(documents([])) == []
+
+
+def test_leading_shingles_and_places_lose_no_link():
+    """Any two linked sets share a shingle that leads in the smaller one, and what they share can fit wherever they share one."""
+    rng = random.Random(4)
+    rows = [(k, " ".join(words(3, 60)[: rng.randrange(5, 60)] + words(k, rng.randrange(4)))) for k in range(60)]
+    batch = pa.RecordBatch.from_arrays([pa.array([t for _, t in rows])], names=["text"])
+    postings = pa.Table.from_batches(ngram_join._prefixes(iter([batch]), 5, 75, None)).to_pylist()
+    own = {}
+    for p in postings:
+        own.setdefault(p["class"], {})[p["shingle"]] = (p["at"], p["leads"])
+    sets = {ngram_join._class(s): set(s.tolist()) for s in ngram_join._sets(batch.column(0), 5)}
+    linked = 0
+    for a, x in sets.items():
+        for b, y in sets.items():
+            if a != b and len(x) <= len(y) and 100 * len(x & y) >= 75 * len(x | y):
+                linked += 1
+                both = own[a].keys() & own[b].keys()
+                assert any(own[a][s][1] for s in both)
+                for s in both:
+                    i, j = own[a][s][0], own[b][s][0]
+                    assert (min(i, j) + min(len(x) - i, len(y) - j)) * 175 >= 75 * (len(x) + len(y))
+    assert linked > 20 and not all(p["leads"] for p in postings)
+
+
+def test_postings_are_written_once(documents, monkeypatch):
+    """Prefixes are taken from the texts twice, for their counts and for the join, and a class told by several tasks is joined once."""
+    names, written = [], ngram_join.written
+
+    def kept(df, name):
+        out = written(df, name)
+        names.append((name, out))
+        return out
+
+    monkeypatch.setattr(ngram_join, "written", kept)
+    rows = near_groups(1)
+    assert found(documents(rows * 3).repartition(6)) == sorted(brute(rows) * 3)
+    tables = dict(names)
+    assert tables["prefixes"].count() >= tables["postings"].count() == tables["postings"].select("shingle", "class").distinct().count() > 0
