@@ -1,13 +1,13 @@
 """How the sources of a language differ in their words: exact sparse count vectors, group sums, and pairs evaluated sparsely."""
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
@@ -19,10 +19,12 @@ LEAST_DOCUMENTS = 10
 MOST_TERMS = (1 << 31) - 1
 TOP_TERMS = 10
 SCALE = 1_000_000_000
-# Different terms of a language, and languages, up to which vectors and their vocabulary are used; beyond, terms are joined as rows.
+# Kept terms of a language, and languages, up to which vectors and their vocabulary are used; beyond, terms are joined as rows.
 VOCABULARY_LIMIT, LANGUAGE_LIMIT = 4_000_000, 200
 # Cells of the group sums that a task holds before it passes them on, and least entries of a block of terms.
 _CELLS, _ENTRIES = 1 << 23, 200_000
+# Terms that a task counts before it passes them on.
+_TASK_TERMS = 200_000
 
 
 # Bytes of UTF-8: letters beyond ASCII stay, A-Z become lower case, all else becomes a space.
@@ -39,14 +41,24 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("source"), text], names=["lang", "source", "text"])
 
 
-def _different(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, term): the different terms of each language in each batch of cleaned texts."""
+def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, term, documents): how many of a task's cleaned texts have a term, passed on when there are many terms."""
+    counts: dict[str, Counter] = {}
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        for lang, own in counts.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang] * len(own), pa.string()), pa.array(list(own), pa.binary()).cast(pa.string()), pa.array(list(own.values()), pa.int64())],
+                names=["lang", "term", "documents"])
+        counts.clear()
     for batch in batches:
-        langs = batch.column("lang")
-        for lang in langs.unique().to_pylist():
-            own = pc.binary_join_element_wise(batch.column("text").filter(pc.equal(langs, lang)), pa.scalar(""), pa.scalar(" "))
-            words = pa.array(set((own.buffers()[2] or pa.py_buffer(b"")).to_pybytes().split()), pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), words], names=["lang", "term"])
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
+            if lang not in counts:
+                counts[lang] = Counter()
+            counts[lang].update(set((text or b"").split()))
+        if sum(map(len, counts.values())) > _TASK_TERMS:
+            yield from flush()
+    yield from flush()
 
 
 def _terms() -> Column:
@@ -84,10 +96,11 @@ def _named(batches: Iterator[pa.RecordBatch], vocabulary: Broadcast) -> Iterator
                                          names=["source", "term", "count"])
 
 
-def _vector_counts(rows: DataFrame, lang: str, least: int) -> DataFrame:
-    """(lang, source, term, count) of one language, by count vectors of its documents."""
+def _vector_counts(rows: DataFrame, lang: str, kept: DataFrame) -> DataFrame:
+    """(lang, source, term, count) of one language, by count vectors of its documents over its terms in ``kept``."""
     own = rows.where(F.col("lang_key") == F.md5(F.lit(lang))).select("source", _terms())
-    model = CountVectorizer(inputCol="terms", outputCol="counts", minDF=float(least), vocabSize=MOST_TERMS).fit(own)
+    terms = kept.where(F.col("lang") == lang).select(F.array("term").alias("terms"))
+    model = CountVectorizer(inputCol="terms", outputCol="counts", vocabSize=MOST_TERMS).fit(terms)
     spark = rows.sparkSession
     vocabulary = spark.sparkContext.broadcast(pa.array(model.vocabulary, pa.string()))
     sums = (model.transform(own).select("source", "counts")
@@ -109,9 +122,9 @@ def _row_counts(rows: DataFrame, least: int) -> DataFrame:
 def source_term_counts(docs: DataFrame, least: int = LEAST_DOCUMENTS, vocabulary_limit: int = VOCABULARY_LIMIT) -> DataFrame:
     """(lang, source, term, count): occurrences in each source of the terms that ``least`` documents of the language have.
 
-    Languages whose different terms are within ``vocabulary_limit``, by the length of their texts or counted before, get a CountVectorizer
-    each, whose vocabulary the driver holds; its vectors are summed by source exactly. Otherwise terms stay rows. Both give the same counts. lang and
-    source must not be null.
+    How many documents have a term is counted first, for all languages at once. Where each language keeps at most ``vocabulary_limit`` terms, they get a
+    CountVectorizer each, whose vocabulary the driver holds; its vectors are summed by source exactly. Otherwise terms stay rows. Both give the same counts.
+    lang and source must not be null.
     """
     spark, path = docs.sparkSession, new_path(docs.sparkSession, "texts")
     # A folder for each language, so that its counting reads no other.
@@ -119,17 +132,16 @@ def source_term_counts(docs: DataFrame, least: int = LEAST_DOCUMENTS, vocabulary
     (docs.select("lang", "source", "text").mapInArrow(_cleaned, kept).withColumn("lang_key", F.md5("lang"))
      .write.partitionBy("lang_key").parquet(path))
     rows = spark.read.schema(f"{kept}, lang_key string").parquet(path)
-    # A kept term takes ``least`` bytes and spaces of its own at least; where texts are long enough for more terms, terms are counted.
-    sizes = rows.groupBy("lang").agg(F.sum(F.octet_length("text") + 1).alias("bytes")).limit(LANGUAGE_LIMIT + 1).collect()
-    long_ = [F.md5(F.lit(row["lang"])) for row in sizes if row["bytes"] // (2 * least) > vocabulary_limit]
-    many = len(sizes) > LANGUAGE_LIMIT
-    if long_ and not many:
-        found = rows.where(F.col("lang_key").isin(long_)).select("lang", "text").mapInArrow(_different, "lang string, term string")
-        terms = found.groupBy("lang").agg(F.approx_count_distinct("term", 0.02).alias("terms"))
-        many = not terms.where(F.col("terms") * 1.1 > vocabulary_limit).isEmpty()
-    if many:
+    langs = [row["lang"] for row in rows.select("lang").distinct().limit(LANGUAGE_LIMIT + 1).collect()]
+    if len(langs) > LANGUAGE_LIMIT:
+        return written(_row_counts(rows, least), "counts")
+    found = rows.select("lang", "text").mapInArrow(_document_counts, "lang string, term string, documents long")
+    terms = found.groupBy("lang", "term").agg(F.sum("documents").alias("documents")).where(F.col("documents") >= least)
+    kept = written(terms.select("lang", "term"), "terms")
+    sizes = kept.groupBy("lang").count().collect()
+    if any(row["count"] > vocabulary_limit for row in sizes):
         return written(_row_counts(rows, least), "counts")
-    parts = [written(_vector_counts(rows, row["lang"], least), "counts") for row in sorted(sizes, key=lambda row: row["lang"])]
+    parts = [written(_vector_counts(rows, row["lang"], kept), "counts") for row in sorted(sizes, key=lambda row: row["lang"])]
     out = spark.createDataFrame([], "lang string, source string, term string, count long")
     for part in parts:
         out = out.unionByName(part)

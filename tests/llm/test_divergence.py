@@ -70,3 +70,16 @@ def test_odd_rows(spark, documents, odd_rows):
     assert divergence.source_divergence(documents([])).collect() == []
     alone = divergence.source_divergence(documents([(1, "some words", "en", "a"), (2, None, "en", "b")])).collect()
     assert sorted(tuple(r) for r in alone) == [("en", "a", "pair", "b", 0, 1), ("en", "b", "pair", "a", 0, 1)]
+
+
+def test_texts_are_counted_once_for_the_vocabulary(spark, documents, monkeypatch):
+    """CountVectorizer is fitted on kept terms alone, not on the texts again; and the limit is on kept terms, not on all that occur."""
+    fitted, fit = [], divergence.CountVectorizer.fit
+    monkeypatch.setattr(divergence.CountVectorizer, "fit", lambda self, df, *more: (fitted.append(sorted(t for r in df.collect() for t in r.terms)),
+                                                                                   fit(self, df, *more))[1])
+    monkeypatch.setattr(divergence, "_TASK_TERMS", 5)
+    rows = [(k, f"often often \u00e9t\u00e9 rare{chr(97 + k)} Twice" if k < 4 else "only here", "en" if k < 4 else "de", "ab"[k % 2]) for k in range(5)]
+    df = documents(rows).repartition(3)
+    got = sorted(tuple(r) for r in divergence.source_term_counts(df, 4, 3).collect())
+    assert fitted == [["often", "twice", "\u00e9t\u00e9"]]
+    assert got == sorted(("en", s, t, 4 if t == "often" else 2) for s in "ab" for t in ("often", "twice", "\u00e9t\u00e9"))
