@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from logweir.llm.components import components
 from logweir.llm.idset import id_set, in_set
+from logweir.llm.parity import SLACK, parities, parity, short_parities, short_within, within_reach
 from logweir.llm.postings import shared_postings
 from logweir.llm.scratch import written
 from logweir.llm.words import mix, seeds, shingles, signed, small_batches, texts_as_words
@@ -24,9 +25,10 @@ KEYS = 16
 FREQUENT = 8
 # How many shingles are ordered last at most; the most frequent ones are.
 FREQUENT_MOST = 2_000_000
-_SLACK = 1e-9
+# Where a shingle has as many postings, pairs are told apart by short parities as they meet.
+MANY = 16
 
-_SKETCH = "doc_id long, class long, n long, keys array<long>"
+_SKETCH = "doc_id long, class long, n long, keys array<long>, parity array<long>"
 _POSTING = "shingle long, class long, at int, leads boolean"
 _SET = "class long, members array<long>"
 _MEASURED = "a long, b long, distance double, linked boolean"
@@ -46,18 +48,20 @@ def _class(members: np.ndarray) -> int:
 def _sketches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     turn = seeds(KEYS, 300)
     for batch in small_batches(batches):
-        classes, counts, keys = [], [], []
+        classes, counts, keys, parities = [], [], [], []
         for members in _sets(batch.column(1), size):
             counts.append(len(members))
             if len(members) == 0:
-                classes.append(None), keys.append(None)
+                classes.append(None), keys.append(None), parities.append(None)
                 continue
             classes.append(_class(members))
             least = np.array([np.min(members * t) for t in turn], np.uint64)
             keys.append(signed(mix(least + turn)))
+            parities.append(signed(parity(members)))
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(classes, pa.int64()), pa.array(counts, pa.int64()),
-             pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "class", "n", "keys"])
+             pa.array(keys, pa.list_(pa.int64())), pa.array(parities, pa.list_(pa.int64()))],
+            names=["doc_id", "class", "n", "keys", "parity"])
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], size: int, percent: int,
@@ -127,11 +131,15 @@ def _met_often(met: DataFrame, *keep: str) -> DataFrame:
 
 def _parted(postings: DataFrame) -> DataFrame:
     """Postings of shingles that classes of different components have; what is connected already needs no more links."""
-    several = (postings.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-               .where("low <> high").select("shingle"))
+    several = (postings.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("count"))
+               .where("low <> high").select("shingle", (F.col("count") >= MANY).alias("many")))
     return postings.join(several, "shingle")
 
 
+def _side(rows: DataFrame, side: str, *keys: str) -> DataFrame:
+    return rows.select(*keys, *[F.col(c).alias(f"{side}_{c}") for c in rows.columns if c not in keys])
+
+
 class _Join:
     """The documents of one join, their classes, and how pairs of classes are measured."""
 
@@ -140,11 +148,20 @@ class _Join:
         self.reach = 1 - percent / 100
         self.sketch = written(docs.mapInArrow(partial(_sketches, size=size), _SKETCH), "sketch")
         self.classes = written(self.sketch.where("class IS NOT NULL").groupBy("class").agg(
-            F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("keys").alias("keys")), "classes")
+            F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("parity").alias("parity")), "classes")
+
+    def possible(self, pairs: DataFrame) -> DataFrame:
+        """Of pairs (a, b, reach) of classes those that can be within reach by their parities."""
+        pairs = written(pairs.select("a", "b", "reach"), "met")
+        needed = written(pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct(), "met-classes")
+        own = parities(self.classes, id_set(needed))
+        one, two = (own.select(F.col("class").alias(x), F.col("n").alias(f"{x}_n"), F.col("parity").alias(f"{x}_parity")) for x in "ab")
+        both = pairs.join(one, "a").join(two, "b").select("a", "b", "reach", "a_n", "a_parity", "b_n", "b_parity")
+        return both.mapInArrow(within_reach, "a long, b long")
 
     def measure(self, pairs: DataFrame) -> DataFrame:
-        """(a, b, distance, linked) of pairs (a, b) of classes, from their whole sets."""
-        pairs = written(pairs.select("a", "b"), "pairs")
+        """(a, b, distance, linked) of pairs (a, b, reach) of classes that can be within reach, from their whole sets."""
+        pairs = written(self.possible(pairs), "pairs")
         needed = written(pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
                          .join(self.classes.select("class", "first_id"), "class"), "needed")
         found = self.docs.mapInArrow(partial(_class_sets, size=self.size, wanted=id_set(needed.select("first_id"))), _SET)
@@ -177,7 +194,7 @@ class _Join:
         best = best.select("key", F.col("best.class").alias("b"), F.col("best.n").alias("b_n"))
         near = (F.least("n", "b_n") * 100 >= F.greatest("n", "b_n") * self.percent)
         return (keyed.join(best, "key").where((F.col("class") != F.col("b")) & near)
-                .select(F.col("class").alias("a"), "b").distinct())
+                .select(F.col("class").alias("a"), "b", F.lit(self.reach).alias("reach")).distinct())
 
     def regions(self, measured: DataFrame) -> DataFrame:
         """(class, n, region, radius): the nearest pivot within reach, else the class itself.
@@ -252,45 +269,63 @@ class _Join:
         regions = self._joined(regions, found)
         # Tasks tell a class each on its own.
         shared = written(_parted(self.postings().join(regions, "class")).distinct(), "postings")
-        extent = regions.groupBy("region").agg(F.max("radius").alias("radius"), F.min("n").alias("low"), F.max("n").alias("high"))
+        extent = regions.groupBy("region").agg(F.max("radius").alias("radius"), F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("classes"))
         extent = written(extent, "extent")
         # Of two sets that can be linked, the smaller leads with a shingle they share; what else they share comes after it in both.
-        heads = shared.groupBy("shingle", "region", "component").agg(
+        heads = shared.groupBy("shingle", "many", "region", "component").agg(
             F.max("at").alias("at"), F.min("n").alias("low"), F.max("n").alias("n"), F.min(F.when(F.col("leads"), F.col("n"))).alias("lead_n"),
             (F.max("radius") == 0).alias("single"))
-        head_a, head_b = (heads.select("shingle", F.col("region").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in
-                                                                             ("at", "component", "low", "n", "lead_n", "single")]) for x in "ab")
-        met = head_a.join(head_b, "shingle").where("a < b AND a_component <> b_component").where(
-            "a_lead_n <= b_n OR b_lead_n <= a_n").where(
-            f"a_low * {self.percent} <= b_n * 100 AND b_low * {self.percent} <= a_n * 100").where(
-            ~(F.col("a_single") & F.col("b_single")) | self._place("a", "b"))
-        one, two = (extent.select(F.col("region").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("radius", "low", "high")])
+        outlines = (extent.select("region", F.col("radius").alias("around")).join(self._short(heads).withColumnRenamed("class", "region"), "region"))
+
+        def met(rows: DataFrame) -> DataFrame:
+            both = _side(rows, "a", "shingle").join(_side(rows, "b", "shingle"), "shingle")
+            return both.where("a_region < b_region AND a_component <> b_component").where(
+                "a_lead_n <= b_n OR b_lead_n <= a_n").where(
+                f"a_low * {self.percent} <= b_n * 100 AND b_low * {self.percent} <= a_n * 100").where(
+                ~(F.col("a_single") & F.col("b_single")) | self._place("a", "b"))
+
+        rare, many = met(heads.where("NOT many")), met(heads.where("many").join(outlines, "region"))
+        many = many.where(short_within("a", "b", F.col("a_around") + F.col("b_around") + self.reach))
+        ends = [F.col("a_region").alias("a"), F.col("b_region").alias("b"), "a_at", "b_at"]
+        one, two = (extent.select(F.col("region").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("radius", "low", "high", "classes")])
                     for x in "ab")
-        pairs = _met_often(met).join(one, "a").join(two, "b").where(
+        pairs = _met_often(rare.select(*ends).unionByName(many.select(*ends))).join(one, "a").join(two, "b").where(
             f"a_low * {self.percent} <= b_high * 100 AND b_low * {self.percent} <= a_high * 100")
         pairs = pairs.where((F.col("a_radius") + F.col("b_radius") > 0) | self._room("a_low", "b_low"))
-        between = self.measure(pairs)
+        between = self.measure(pairs.withColumn("reach", F.col("a_radius") + F.col("b_radius") + self.reach))
         found = found.unionByName(between.where("linked").select("a", "b"))
-        open_pairs = written(between.where("NOT linked").join(one, "a").join(two, "b").where(
-            F.col("distance") <= F.col("a_radius") + F.col("b_radius") + self.reach + _SLACK)
-            .where("a_radius + b_radius > 0").select("a", "b", "distance", "a_radius", "b_radius"), "open")
+        open_pairs = between.where("NOT linked").join(one, "a").join(two, "b").where(
+            F.col("distance") <= F.col("a_radius") + F.col("b_radius") + self.reach + SLACK).where("a_radius + b_radius > 0")
+        # The region of fewer classes asks the other one.
+        asks, other = (F.when(F.col("a_classes") <= F.col("b_classes"), F.struct(x, f"{x}_radius")).otherwise(F.struct(F.col(y).alias(x), F.col(f"{y}_radius").alias(f"{x}_radius")))
+                       for x, y in ("ab", "ba"))
+        open_pairs = written(open_pairs.select("distance", asks.alias("one"), other.alias("two")).select(
+            F.col("one.a").alias("x_region"), F.col("two.b").alias("y_region"), "distance", F.col("two.b_radius").alias("around")), "open")
         if open_pairs.limit(1).count() == 0:
             return found
-        members = written(_parted(self._joined(shared.drop("component"), found)), "members")
-        room = F.col("distance") - self.reach - _SLACK
-        side = (members.select("shingle", F.col("class").alias("x"), F.col("at").alias("x_at"), F.col("region").alias("a"), F.col("radius").alias("x_radius"),
-                               F.col("n").alias("x_n"), F.col("component").alias("x_component"), F.col("leads").alias("x_leads"))
-                .join(open_pairs, "a").where(F.col("x_radius") + F.col("b_radius") >= room))
-        other = members.select("shingle", F.col("class").alias("y"), F.col("at").alias("y_at"), F.col("region").alias("b"), F.col("radius").alias("y_radius"),
-                               F.col("n").alias("y_n"), F.col("component").alias("y_component"), F.col("leads").alias("y_leads"))
-        near = F.least("x_n", "y_n") * 100 >= F.greatest("x_n", "y_n") * self.percent
-        leads = F.when(F.struct("x_n", "x") < F.struct("y_n", "y"), F.col("x_leads")).otherwise(F.col("y_leads"))
-        inner = (side.join(other, ["shingle", "b"]).where(leads & self._place("x", "y"))
-                 .where((F.col("x_radius") + F.col("y_radius") >= room) & (F.col("x_component") != F.col("y_component")) & near)
-                 .select("shingle", F.col("x").alias("a"), F.col("y").alias("b"), F.col("x_at").alias("a_at"), F.col("y_at").alias("b_at"), F.col("x_n").alias("a_n"),
-                         F.col("y_n").alias("b_n")))
-        inner = _met_often(inner, "a_n", "b_n").where(self._room("a_n", "b_n"))
-        return found.unionByName(self.measure(inner).where("linked").select("a", "b"))
+        members = written(_parted(self._joined(shared.drop("component", "many"), found)), "members")
+        room = F.col("distance") - self.reach - SLACK
+        short = self._short(members)
+
+        def inside(rows: DataFrame) -> DataFrame:
+            x = _side(rows, "x", "shingle").join(open_pairs, "x_region").where(F.col("x_radius") + F.col("around") >= room)
+            near = F.least("x_n", "y_n") * 100 >= F.greatest("x_n", "y_n") * self.percent
+            leads = F.when(F.struct("x_n", "x_class") < F.struct("y_n", "y_class"), F.col("x_leads")).otherwise(F.col("y_leads"))
+            return (x.join(_side(rows, "y", "shingle"), ["shingle", "y_region"]).where(leads & self._place("x", "y"))
+                    .where((F.col("x_radius") + F.col("y_radius") >= room) & (F.col("x_component") != F.col("y_component")) & near))
+
+        rare, many = inside(members.where("NOT many")), inside(members.where("many").join(short, "class"))
+        many = many.where(short_within("x", "y", F.lit(self.reach)))
+        ends = [F.col("x_class").alias("a"), F.col("y_class").alias("b"), F.col("x_at").alias("a_at"), F.col("y_at").alias("b_at"),
+                F.col("x_n").alias("a_n"), F.col("y_n").alias("b_n")]
+        inner = _met_often(rare.select(*ends).unionByName(many.select(*ends)), "a_n", "b_n").where(self._room("a_n", "b_n"))
+        return found.unionByName(self.measure(inner.withColumn("reach", F.lit(self.reach))).where("linked").select("a", "b"))
+
+    def _short(self, rows: DataFrame) -> DataFrame:
+        """Short parities of the classes that have postings among ``rows`` where many others have one, or of the regions' pivots."""
+        own = "class" if "class" in rows.columns else "region"
+        wanted = written(rows.where("many").select(F.col(own).alias("class")).distinct(), "short")
+        return short_parities(self.classes, id_set(wanted)).join(wanted, "class", "left_semi")
 
 
 def ngram_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

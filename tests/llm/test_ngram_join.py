@@ -1,10 +1,11 @@
 """The n-gram join against all pairs."""
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
-from logweir.llm import ngram_join
+from logweir.llm import ngram_join, parity
 
 from llm.conftest import words
 
@@ -105,3 +106,42 @@ def test_postings_are_written_once(documents, monkeypatch):
     assert found(documents(rows * 3).repartition(6)) == sorted(brute(rows) * 3)
     tables = dict(names)
     assert tables["prefixes"].count() >= tables["postings"].count() == tables["postings"].select("shingle", "class").distinct().count() > 0
+
+
+def half_alike(n):
+    """Texts with own words in place of some of one text's, so that most pairs share prefix shingles and few are near."""
+    rng = random.Random(8)
+    base = words(7, 140)
+    rows = []
+    for k in range(n):
+        own = list(base)
+        for at in rng.sample(range(140), rng.choice((1, 5, 6, 7, 8))):
+            own[at] = f"own{k}x{at}"
+        rows.append((k, " ".join(own)))
+    return rows
+
+
+def test_texts_that_are_half_alike_are_not_all_measured(documents, monkeypatch):
+    measured = []
+
+    def written(df, name, write=ngram_join.written):
+        out = write(df, name)
+        if name == "pairs":
+            measured.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "written", written)
+    rows = half_alike(150)
+    assert found(documents(rows)) == brute(rows)
+    assert sum(measured) < 3 * len(rows)
+
+
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(5)
+    for n in (1, 3, 140, 400, 900, 5000):
+        for changed in (0, 1, n // 8, n // 2, n):
+            x = rng.integers(0, 1 << 63, n, np.uint64) * np.uint64(2)
+            y = np.concatenate([x[changed:], rng.integers(0, 1 << 63, changed + n // 9, np.uint64)])
+            apart = parity.differing(parity.parity(x).view(np.int64), parity.parity(y).view(np.int64))
+            assert apart <= len(np.setxor1d(x, y)) and (changed + n // 9 > 0 or apart == 0)
+            assert changed != n // 2 or n > 900 or n < 100 or apart > n // 3
