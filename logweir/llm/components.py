@@ -67,6 +67,11 @@ def _local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield forest()
 
 
+def _first_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Both steps in one call: a second one in the same task would be a second Python worker."""
+    yield from _local_forest(_shuffled_ids(batches))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of ``links`` (its first two columns, longs).
 
@@ -80,10 +85,10 @@ def components(links: DataFrame) -> DataFrame:
     """
     a, b = links.columns[:2]
     todo = (links.select(F.col(a).cast("long").alias("node"), F.col(b).cast("long").alias("top"))
-            .where("node <> top").mapInArrow(_shuffled_ids, _PAIR))
-    rounds = []
+            .where("node <> top"))
+    rounds: list[tuple[DataFrame, DataFrame]] = []
     while True:
-        forest = written(todo.mapInArrow(_local_forest, _PAIR), "forest")
+        forest = written(todo.mapInArrow(_local_forest if rounds else _first_forest, _PAIR), "forest")
         least = written(forest.groupBy("node").agg(F.min("top").alias("least")), "least")
         rounds.append((forest, least))
         between = (forest.join(least, "node").where("top <> least")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from logweir.llm.components import components
 from logweir.llm.idset import id_set, in_set
-from logweir.llm.parity import SLACK, parities, parity, short_parities, short_within, within_reach
+from logweir.llm.parity import SLACK, near_pairs, parities, parity, short_parities, short_within
 from logweir.llm.postings import shared_postings
 from logweir.llm.scratch import written
 from logweir.llm.words import mix, seeds, shingles, signed, small_batches, texts_as_words
@@ -154,10 +154,7 @@ class _Join:
         """Of pairs (a, b, reach) of classes those that can be within reach by their parities."""
         pairs = written(pairs.select("a", "b", "reach"), "met")
         needed = written(pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct(), "met-classes")
-        own = parities(self.classes, id_set(needed))
-        one, two = (own.select(F.col("class").alias(x), F.col("n").alias(f"{x}_n"), F.col("parity").alias(f"{x}_parity")) for x in "ab")
-        both = pairs.join(one, "a").join(two, "b").select("a", "b", "reach", "a_n", "a_parity", "b_n", "b_parity")
-        return both.mapInArrow(within_reach, "a long, b long")
+        return near_pairs(written(parities(self.classes, id_set(needed)), "parities"), pairs)
 
     def measure(self, pairs: DataFrame) -> DataFrame:
         """(a, b, distance, linked) of pairs (a, b, reach) of classes that can be within reach, from their whole sets."""
@@ -325,7 +322,7 @@ class _Join:
         """Short parities of the classes that have postings among ``rows`` where many others have one, or of the regions' pivots."""
         own = "class" if "class" in rows.columns else "region"
         wanted = written(rows.where("many").select(F.col(own).alias("class")).distinct(), "short")
-        return short_parities(self.classes, id_set(wanted)).join(wanted, "class", "left_semi")
+        return written(short_parities(self.classes, id_set(wanted)), "short-parities").join(wanted, "class", "left_semi")
 
 
 def ngram_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

@@ -22,9 +22,9 @@ SHORT, LONG = 8, 32
 SLACK = 1e-9
 
 
-def parity(members: np.ndarray) -> np.ndarray:
-    """The parity of a set, of about two bits for each member within the limits."""
-    words = SHORT
+def parity(members: np.ndarray, least: int = SHORT) -> np.ndarray:
+    """The parity of a set, of about two bits for each member, of ``least`` to ``LONG`` words."""
+    words = least
     while words < LONG and words * 32 < len(members):
         words *= 2
     odd = np.bincount((members & np.uint64(words * 64 - 1)).astype(np.int64), minlength=words * 64) & 1
@@ -74,3 +74,10 @@ def within_reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apart = np.array([differing(x.values.to_numpy(), y.values.to_numpy()) for x, y in zip(batch.column(4), batch.column(6))], np.int64)
         keep = 2 * apart <= (batch.column(2).to_numpy() + SLACK) * (sizes + apart)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
+
+
+def near_pairs(own: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b): of ``pairs`` (a, b, reach) those that can be within reach by their parities, of which ``own`` (class, n, parity) has all."""
+    one, two = (own.select(F.col("class").alias(x), F.col("n").alias(f"{x}_n"), F.col("parity").alias(f"{x}_parity")) for x in "ab")
+    both = pairs.join(one, "a").join(two, "b").select("a", "b", "reach", "a_n", "a_parity", "b_n", "b_parity")
+    return both.mapInArrow(within_reach, "a long, b long")

@@ -24,3 +24,12 @@ def test_components(spark, monkeypatch):
         top[b] = a
     assert found == {x: root(x) for link in real for x in link}
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_a_task_has_one_python_worker(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(components, "written", lambda df, name, write=components.written: (
+        plans.append(df._jdf.queryExecution().executedPlan().toString()), write(df, name))[1])
+    found = components.components(spark.createDataFrame([(1, 2), (2, 3), (7, 9)], "a long, b long"))
+    assert sorted(map(tuple, found.collect())) == [(1, 1), (2, 1), (3, 1), (7, 7), (9, 7)]
+    assert max(p.count("MapInArrow") for p in plans) == 1
