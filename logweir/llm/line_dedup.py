@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from logweir.llm.components import components
 from logweir.llm.idset import id_set, in_set
+from logweir.llm.parity import near_pairs, parity
 from logweir.llm.postings import shared_postings
 from logweir.llm.scratch import written
 from logweir.llm.words import mix, rolling, seeds, signed, small_batches
@@ -27,7 +28,7 @@ SMALL_SET = 512
 _EMPTY = np.uint64((1 << 64) - 1)
 _BLOCK = 1 << 16
 
-_LINE = "doc_id long, text_key long, no int, line long, bands array<long>"
+_LINE = "doc_id long, text_key long, no int, line long"
 
 
 def _norm(line: str) -> str:
@@ -126,28 +127,32 @@ def _lower(flat: np.ndarray, row: np.ndarray, hashes: np.ndarray) -> None:
     np.minimum.at(flat, row * _BINS + bins.astype(np.int64), hashes & np.uint64((1 << 48) - 1))
 
 
-def _lines(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """One row per line that is not blank; its bands once per task."""
-    told: set[int] = set()
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per line that is not blank."""
     for batch in small_batches(batches):
-        ids, keys, numbers, lines, new, new_at = [], [], [], [], [], []
+        ids, keys, numbers, lines = [], [], [], []
         for doc_id, key, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
             for no, line in enumerate((text or "").split("\n")):
-                if not (line := _norm(line)):
-                    continue
-                own = _line_id(line)
-                ids.append(doc_id), keys.append(key), numbers.append(no), lines.append(own)
-                if own not in told:
-                    told.add(own)
-                    new.append(line), new_at.append(len(lines) - 1)
-        count = np.zeros(len(lines) + 1, np.int32)
-        made = _signatures(new, size)
-        count[np.array(new_at, int) + 1] = [len(x) for x in made]
-        bands = signed(np.concatenate(made)) if made else np.zeros(0, np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(np.cumsum(count).astype(np.int32)), pa.array(bands))
+                if line := _norm(line):
+                    ids.append(doc_id), keys.append(key), numbers.append(no), lines.append(_line_id(line))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(numbers, pa.int32()), pa.array(lines, pa.int64()), lists],
-            names=["doc_id", "text_key", "no", "line", "bands"])
+            [pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(numbers, pa.int32()), pa.array(lines, pa.int64())],
+            names=["doc_id", "text_key", "no", "line"])
+
+
+def _line_bands(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """One row per band of a line that is not blank, once per task."""
+    told: set[int] = set()
+    for batch in small_batches(batches):
+        lines, texts = [], []
+        for text in batch.column(0).to_pylist():
+            for line in (text or "").split("\n"):
+                if (line := _norm(line)) and (own := _line_id(line)) not in told:
+                    told.add(own)
+                    lines.append(own), texts.append(line)
+        if made := _signatures(texts, size):
+            yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(made))), pa.array(np.repeat(np.array(lines, np.int64), [len(x) for x in made]))],
+                                             names=["band", "line"])
 
 
 def _line_texts(batches: Iterator[pa.RecordBatch], wanted: Broadcast) -> Iterator[pa.RecordBatch]:
@@ -164,6 +169,18 @@ def _line_texts(batches: Iterator[pa.RecordBatch], wanted: Broadcast) -> Iterato
                                          names=["line", "text"])
 
 
+def _line_parities(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    for batch in small_batches(batches):
+        sets = [np.unique(_windows(_codes(text), size)) for text in batch.column(1).to_pylist()]
+        own = pa.array([signed(parity(x, 1)) for x in sets], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), own], names=["class", "n", "parity"])
+
+
+def _wanted_texts(batches: Iterator[pa.RecordBatch], wanted: Broadcast) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield batch.filter(pa.array(in_set(wanted.value, batch.column(0).to_numpy())))
+
+
 def _linked(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
     for batch in small_batches(batches):
         made: dict[int, np.ndarray] = {}
@@ -179,22 +196,28 @@ def _linked(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Itera
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def line_components(texts: DataFrame, lines: DataFrame, size: int, percent: int) -> DataFrame:
-    """(line, component) of lines that are similar to others, from ``lines`` with their bands.
+def line_components(texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """(line, component) of lines of ``texts`` that are similar to others.
 
     Lines that share a band are first compared with the band's leader only, which joins groups of
     any size by as many pairs as they have lines. Then all pairs of a band that are still in
-    different components are compared, so no pair that shares a band is left out.
+    different components are compared, so no pair that shares a band is left out. Texts are fetched
+    for pairs only that can be similar by the parities of their sets.
     """
-    bands = lines.where("bands IS NOT NULL").select(F.explode("bands").alias("band"), "line")
+    bands = texts.mapInArrow(partial(_line_bands, size=size), "band long, line long")
     shared = written(shared_postings(bands).distinct(), "shared")
     wanted = written(shared.select("line").distinct(), "wanted")
     known = written(texts.mapInArrow(partial(_line_texts, wanted=id_set(wanted)), "line long, text string").join(wanted, "line", "left_semi")
                     .groupBy("line").agg(F.min("text").alias("text")), "line-texts")
 
+    own = written(known.mapInArrow(partial(_line_parities, size=size), "class long, n long, parity array<long>"), "line-parities")
+
     def linked(pairs: DataFrame) -> DataFrame:
-        one = known.select(F.col("line").alias("a"), F.col("text").alias("x"))
-        two = known.select(F.col("line").alias("b"), F.col("text").alias("y"))
+        pairs = written(near_pairs(own, pairs.withColumn("reach", F.lit(1 - percent / 100))), "near")
+        needed = written(pairs.select("a").union(pairs.select("b")).distinct(), "near-lines")
+        near = written(known.mapInArrow(partial(_wanted_texts, wanted=id_set(needed)), known.schema), "near-texts")
+        one = near.select(F.col("line").alias("a"), F.col("text").alias("x"))
+        two = near.select(F.col("line").alias("b"), F.col("text").alias("y"))
         both = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y")
         return both.mapInArrow(partial(_linked, size=size, percent=percent), "a long, b long")
 
@@ -242,8 +265,8 @@ def without_near_lines(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
         raise ValueError(f"reserved column names: {clash}")
     key = F.xxhash64("text")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("text_key"), "text")
-    lines = written(rows.mapInArrow(partial(_lines, size=size), _LINE), "lines")
-    joined = line_components(rows.select("text"), lines, size, percent)
+    joined = line_components(rows.select("text"), size, percent)
+    lines = written(rows.mapInArrow(_lines, _LINE), "lines")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "no", "text_key")
     placed = lines.join(joined, "line", "left").select(
         F.coalesce("component", "line").alias("component"), "doc_id", "text_key", "no", place.alias("place"))

@@ -97,3 +97,28 @@ def test_a_changed_character_in_sixty_is_a_near_repeat(documents):
     shapes = [{x[k:k + 6] for k in range(55)} for x in (line, other)]
     assert len(line) == 60 and 0.8 <= len(shapes[0] & shapes[1]) / len(shapes[0] | shapes[1]) < 0.81
     assert found(documents(rows)) == [(1, line, line), (2, other, "")]
+
+
+def test_texts_are_fetched_for_near_lines_only(documents, monkeypatch):
+    """Lines that are half alike share bands and are told apart by parities, without their texts."""
+    rng = random.Random(3)
+    base = "".join(rng.choice("abcdefghijklmnop ") for _ in range(240))
+    rows = []
+    for k in range(80):
+        own = list(base)
+        for _ in range(rng.choice((2, 14, 15, 16))):
+            own[rng.randrange(240)] = rng.choice("0123456789")
+        rows.append((k, "x" + "".join(own)))
+    tables = {}
+
+    def written(df, name, write=line_dedup.written):
+        out = write(df, name)
+        tables.setdefault(name, []).append(out)
+        return out
+
+    monkeypatch.setattr(line_dedup, "written", written)
+    found = sorted((r.doc_id, r.text, r.kept_text) for r in line_dedup.without_near_lines(documents(rows)).collect())
+    assert found == brute(rows)
+    assert "bands" not in tables["lines"][0].columns
+    shared = tables["shared"][0].select("line").distinct().count()
+    assert sum(t.count() for t in tables["near-lines"]) < shared
