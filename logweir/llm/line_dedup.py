@@ -13,18 +13,20 @@ from pyspark.sql import functions as F
 
 from logweir.llm.components import components
 from logweir.llm.idset import id_set, in_set
-from logweir.llm.parity import near_pairs, parity
+from logweir.llm.parity import SLACK, near_pairs, parity
 from logweir.llm.postings import shared_postings
 from logweir.llm.scratch import written
 from logweir.llm.words import mix, rolling, seeds, signed, small_batches
 
 SHINGLE = 6
 PERCENT = 80
-# A pair of lines at the threshold shares at least one of the bands with a chance of 0.998, one at 90 % with 0.999997.
-BANDS, BAND_ROWS = 12, 4
+# A pair of lines at the threshold shares at least one of the bands with a chance of 0.998, one at 90 % with 0.9999993.
+BANDS, BAND_ROWS = 16, 5
 _BINS = BANDS * BAND_ROWS
 # Shingles of a set from which on one hash function serves all values of its signature.
 SMALL_SET = 512
+# Lines, and characters, of a band from which on it is compared in parts.
+PART_LINES, PART_CHARS = 1024, 4 << 20
 _EMPTY = np.uint64((1 << 64) - 1)
 _BLOCK = 1 << 16
 
@@ -48,6 +50,11 @@ def _windows(line: np.ndarray, size: int) -> np.ndarray:
     return np.concatenate([rolling(line[k: k + _BLOCK + width - 1], width) for k in range(0, len(line) - width + 1, _BLOCK)])
 
 
+def _distinct(hashes: np.ndarray) -> np.ndarray:
+    own = np.sort(hashes)
+    return own[np.concatenate([[True], own[1:] != own[:-1]])]
+
+
 def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
 
@@ -94,7 +101,7 @@ def _block_signatures(lines: list[str], size: int) -> list[np.ndarray]:
         values[first[k]] = _windows(_codes(lines[k]), size)[0]
     distinct = np.zeros(len(lines), np.int64)
     for k in np.flatnonzero(count >= SMALL_SET * PERCENT // 100).tolist():
-        distinct[k] = len(np.unique(values[first[k]: first[k] + count[k]]))
+        distinct[k] = len(_distinct(values[first[k]: first[k] + count[k]]))
     small = np.flatnonzero(distinct * PERCENT <= SMALL_SET * 100)
     large = np.flatnonzero(distinct * 100 >= SMALL_SET * PERCENT)
     out: list[list[np.ndarray]] = [[] for _ in lines]
@@ -169,11 +176,13 @@ def _line_texts(batches: Iterator[pa.RecordBatch], wanted: Broadcast) -> Iterato
                                          names=["line", "text"])
 
 
-def _line_parities(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+def _with_parities(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in small_batches(batches):
-        sets = [np.unique(_windows(_codes(text), size)) for text in batch.column(1).to_pylist()]
+        texts = batch.column(1).to_pylist()
+        sets = [_distinct(_windows(_codes(text), size)) for text in texts]
         own = pa.array([signed(parity(x, 1)) for x in sets], pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), own], names=["class", "n", "parity"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) for x in texts], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), own],
+                                         names=["line", "text", "chars", "n", "parity"])
 
 
 def _wanted_texts(batches: Iterator[pa.RecordBatch], wanted: Broadcast) -> Iterator[pa.RecordBatch]:
@@ -181,6 +190,13 @@ def _wanted_texts(batches: Iterator[pa.RecordBatch], wanted: Broadcast) -> Itera
         yield batch.filter(pa.array(in_set(wanted.value, batch.column(0).to_numpy())))
 
 
+def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = np.concatenate([x, y])
+    both.sort()
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return 100 * common >= percent * (len(both) - common)
+
+
 def _linked(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
     for batch in small_batches(batches):
         made: dict[int, np.ndarray] = {}
@@ -188,34 +204,122 @@ def _linked(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Itera
         for a, b, x, y in zip(*(batch.column(k).to_pylist() for k in range(4))):
             for own, text in ((a, x), (b, y)):
                 if own not in made:
-                    made[own] = np.unique(_windows(_codes(text), size))
-            both = np.concatenate([made[a], made[b]])
-            both.sort()
-            common = int(np.count_nonzero(both[1:] == both[:-1]))
-            keep.append(100 * common >= percent * (len(both) - common))
+                    made[own] = _distinct(_windows(_codes(text), size))
+            keep.append(_alike(made[a], made[b], percent))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows in order of their cell (the first three columns) as tables of whole cells, with the end of each row's cell."""
+    held = None
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        rows = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
+        at = _cell_starts(rows)
+        held = rows.slice(at[-1])
+        if at[-1]:
+            yield rows.slice(0, at[-1]), np.repeat(at[1:], np.diff(at))
+    if held is not None:
+        yield held, np.full(held.num_rows, held.num_rows)
+
+
+def _cell_starts(rows: pa.Table) -> np.ndarray:
+    new = np.zeros(rows.num_rows, bool)
+    new[0] = True
+    for k in range(3):
+        key = rows.column(k).to_numpy()
+        new[1:] |= key[1:] != key[:-1]
+    return np.flatnonzero(new)
+
+
+def _parity_words(lists: pa.ChunkedArray) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """The words of each row's parity, and for each number of words all parities of as many or more, folded to it."""
+    own = [x.values.to_numpy().view(np.uint64) for x in lists]
+    words = np.array([len(x) for x in own])
+    folds = {}
+    for count in np.unique(words).tolist():
+        folds[count] = np.zeros((len(own), count), np.uint64)
+        for more in np.unique(words[words >= count]).tolist():
+            rows = np.flatnonzero(words == more)
+            folds[count][rows] = np.bitwise_xor.reduce(np.stack([own[k] for k in rows]).reshape(len(rows), more // count, count), axis=1)
+    return words, folds
+
+
+def _near_in_cells(rows: pa.Table, end: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
+    """Pairs of rows of a cell that are of different components and can be similar by their sizes and parities."""
+    low, high, part, component, n = (rows.column(k).to_numpy() for k in ("low", "high", "part", "component", "n"))
+    words, folds = _parity_words(rows.column("parity"))
+    reach = 1 - percent / 100 + SLACK
+    after = end - np.arange(len(end)) - 1
+    upto = np.cumsum(after)
+    k = 0
+    while k < len(end):
+        j = max(k + 1, int(np.searchsorted(upto, (upto[k - 1] if k else 0) + _BLOCK, side="right")))
+        first = np.cumsum(after[k:j]) - after[k:j]
+        a = np.repeat(np.arange(k, j), after[k:j])
+        b = a + 1 + np.arange(len(a)) - np.repeat(first, after[k:j])
+        k = j
+        meet = (component[a] != component[b]) & ((low[a] == high[a]) | (part[a] != part[b]))
+        meet &= 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
+        a, b = a[meet], b[meet]
+        least = np.minimum(words[a], words[b])
+        for count, fold in folds.items():
+            x, y = a[least == count], b[least == count]
+            apart = np.bitwise_count(fold[x] ^ fold[y]).sum(axis=1, dtype=np.int64)
+            near = 2 * apart <= reach * (n[x] + n[y] + apart)
+            yield from zip(x[near].tolist(), y[near].tolist())
+
+
+def _linked_in_cells(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Links between similar rows of a cell that are of different components; none between components that the task has linked already."""
+    for rows, end in _cells(batches):
+        top: dict[int, int] = {}
+        made: dict[int, np.ndarray] = {}
+
+        def root(x: int) -> int:
+            while (up := top.get(x, x)) != x:
+                top[x] = x = top.get(up, up)
+            return x
+
+        line, text, component = rows.column("line").to_numpy(), rows.column("text"), rows.column("component").to_numpy()
+        links = []
+        for a, b in _near_in_cells(rows, end, percent):
+            one, two = root(int(component[a])), root(int(component[b]))
+            if one == two:
+                continue
+            for k in (a, b):
+                if line[k] not in made:
+                    made[line[k]] = _distinct(_windows(_codes(text[k].as_py()), size))
+            if _alike(made[line[a]], made[line[b]], percent):
+                top[one] = two
+                links.append((line[a], line[b]))
+        found = np.array(links, np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+
+
 def line_components(texts: DataFrame, size: int, percent: int) -> DataFrame:
     """(line, component) of lines of ``texts`` that are similar to others.
 
     Lines that share a band are first compared with the band's leader only, which joins groups of
-    any size by as many pairs as they have lines. Then all pairs of a band that are still in
-    different components are compared, so no pair that shares a band is left out. Texts are fetched
-    for pairs only that can be similar by the parities of their sets.
+    any size by as many pairs as they have lines; texts are fetched for pairs only that can be similar
+    by the parities of their sets. Then all pairs of a band that are still in different components are
+    compared where its lines meet, so no pair that shares a band is left out and no pair is written that
+    is not a link. Bands of many lines are cut into parts, and each two parts meet in a cell of their own.
     """
     bands = texts.mapInArrow(partial(_line_bands, size=size), "band long, line long")
     shared = written(shared_postings(bands).distinct(), "shared")
     wanted = written(shared.select("line").distinct(), "wanted")
-    known = written(texts.mapInArrow(partial(_line_texts, wanted=id_set(wanted)), "line long, text string").join(wanted, "line", "left_semi")
-                    .groupBy("line").agg(F.min("text").alias("text")), "line-texts")
-
-    own = written(known.mapInArrow(partial(_line_parities, size=size), "class long, n long, parity array<long>"), "line-parities")
+    told = (texts.mapInArrow(partial(_line_texts, wanted=id_set(wanted)), "line long, text string").join(wanted, "line", "left_semi")
+            .groupBy("line").agg(F.min("text").alias("text")))
+    known = written(told.mapInArrow(partial(_with_parities, size=size), "line long, text string, chars long, n long, parity array<long>"), "line-texts")
+    own = known.select(F.col("line").alias("class"), "n", "parity")
 
     def linked(pairs: DataFrame) -> DataFrame:
         pairs = written(near_pairs(own, pairs.withColumn("reach", F.lit(1 - percent / 100))), "near")
         needed = written(pairs.select("a").union(pairs.select("b")).distinct(), "near-lines")
-        near = written(known.mapInArrow(partial(_wanted_texts, wanted=id_set(needed)), known.schema), "near-texts")
+        known_texts = known.select("line", "text")
+        near = written(known_texts.mapInArrow(partial(_wanted_texts, wanted=id_set(needed)), known_texts.schema), "near-texts")
         one = near.select(F.col("line").alias("a"), F.col("text").alias("x"))
         two = near.select(F.col("line").alias("b"), F.col("text").alias("y"))
         both = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y")
@@ -225,15 +329,19 @@ def line_components(texts: DataFrame, size: int, percent: int) -> DataFrame:
     first = shared.join(leaders, "band").where("line <> b").select(F.col("line").alias("a"), "b").distinct()
     found = written(linked(first), "links")
     joined = components(found).withColumnRenamed("node", "line")
-    members = written(shared.join(joined, "line", "left").select("band", "line", F.coalesce("component", "line").alias("component")),
-                      "members")
-    split = (members.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-             .where("low <> high").select("band"))
-    members = members.join(split, "band")
-    rest = (members.select("band", F.col("line").alias("a"), F.col("component").alias("a_component"))
-            .join(members.select("band", F.col("line").alias("b"), F.col("component").alias("b_component")), "band")
-            .where("a < b AND a_component <> b_component").select("a", "b").distinct())
-    more = written(linked(rest), "links")
+    members = written(shared.join(joined, "line", "left").join(known.select("line", "chars"), "line")
+                      .select("band", "line", F.coalesce("component", "line").alias("component"), "chars"), "members")
+    split = (members.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("lines"), F.sum("chars").alias("chars"))
+             .where("least <> most")
+             .select("band", F.greatest(F.ceil(F.col("lines") / PART_LINES), F.ceil(F.col("chars") / PART_CHARS)).cast("int").alias("parts")))
+    rows = (members.select("band", "line", "component").join(split, "band")
+            .withColumn("part", F.expr("cast(pmod(xxhash64(line), parts) as int)"))
+            .withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+            .select("band", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "line", "component")
+            .join(known.select("line", "text", "n", "parity"), "line")
+            .select("band", "low", "high", "part", "line", "component", "n", "parity", "text"))
+    rows = rows.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high")
+    more = written(rows.mapInArrow(partial(_linked_in_cells, size=size, percent=percent), "a long, b long"), "links")
     return components(found.unionByName(more)).withColumnRenamed("node", "line")
 
 
@@ -274,6 +382,7 @@ def without_near_lines(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     gone = (placed.join(first, "component").where("place <> first")
             .groupBy(F.col("doc_id").alias("line_dedup_id"), F.col("text_key").alias("line_dedup_key"))
             .agg(F.collect_set("no").alias("removed")))
+    gone = written(gone, "gone")
     found = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("line_dedup_id")) & (key == F.col("line_dedup_key")), "left").select(
         *[F.col(f"`{c}`") for c in docs.columns], "removed")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
+_CLEANUP_SETTING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 _BATCH_BYTES = 8 << 20
 
@@ -31,8 +32,16 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a written table: computed once, its lineage cut, safe when executors are lost."""
+    """``df`` as a written table: computed once, its lineage cut, safe when executors are lost.
+
+    Its shuffle files go when it is written; else they stay until the driver happens to collect its garbage.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP_SETTING, None)
+    spark.conf.set(_CLEANUP_SETTING, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP_SETTING) if before is None else spark.conf.set(_CLEANUP_SETTING, before)
     return spark.read.schema(df.schema).parquet(path)

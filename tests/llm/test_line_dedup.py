@@ -122,3 +122,53 @@ def test_texts_are_fetched_for_near_lines_only(documents, monkeypatch):
     assert "bands" not in tables["lines"][0].columns
     shared = tables["shared"][0].select("line").distinct().count()
     assert sum(t.count() for t in tables["near-lines"]) < shared
+
+
+def test_unlike_lines_of_a_band_are_told_apart_where_they_meet(documents, monkeypatch):
+    """Many lines that are alike below the border: no pair of them is written or dealt out, whatever the parts a band is cut into."""
+    rng = random.Random(7)
+    base = "".join(rng.choice("abcdefghijklmnop ") for _ in range(240))
+    rows = []
+    for k in range(90):
+        own = list(base)
+        for _ in range(rng.choice((3, 9, 10))):
+            own[rng.randrange(240)] = rng.choice("0123456789")
+        rows.append((k, "x" + "".join(own)))
+    pairs, links = [], []
+
+    def near_pairs(own, met, near=line_dedup.near_pairs):
+        pairs.append(met.count())
+        return near(own, met)
+
+    def written(df, name, write=line_dedup.written):
+        out = write(df, name)
+        if name in ("shared", "links"):
+            links.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(line_dedup, "near_pairs", near_pairs)
+    monkeypatch.setattr(line_dedup, "written", written)
+    expected = brute(rows)
+    assert found(documents(rows)) == expected
+    monkeypatch.setattr(line_dedup, "PART_LINES", 7, raising=False)
+    assert found(documents(rows)) == expected
+    shared = dict(links)["shared"]
+    assert sum(pairs) <= 2 * shared and sum(pairs[1:2]) <= shared
+
+
+def test_lines_of_different_groups_are_linked_in_cells(monkeypatch):
+    """Cells reach over batches; a pair meets in one cell; only pairs of different components that the cell joins are told."""
+    import pyarrow as pa
+
+    base = "".join(random.Random(9).choices("abcdefghijklmnop ", k=200))
+    texts = [base + str(k) for k in range(6)] + ["something else altogether"]
+    made = next(line_dedup._with_parities(iter([pa.RecordBatch.from_arrays([pa.array(range(7), pa.int64()), pa.array(texts)], names=["line", "text"])]), 6))
+    rows = pa.RecordBatch.from_arrays(
+        [pa.array([1] * 7, pa.int64()), pa.array([0] * 7, pa.int32()), pa.array([1] * 7, pa.int32()), pa.array([0, 0, 1, 1, 0, 1, 1], pa.int32()), made.column(0),
+         pa.array([0, 0, 2, 3, 4, 4, 6], pa.int64()), made.column(3), made.column(4), made.column(1)],
+        names=["band", "low", "high", "part", "line", "component", "n", "parity", "text"])
+    out = [x for batch in line_dedup._linked_in_cells(iter([rows.slice(0, 3), rows.slice(3)]), 6, 80) for x in zip(*(c.to_pylist() for c in batch.columns))]
+    top = list(range(7))
+    for a, b in [(0, 1), (4, 5), *out]:
+        top = [top[b] if x == top[a] else x for x in top]
+    assert len(set(top[:6])) == 1 and top[6] != top[0] and len(out) == 3
