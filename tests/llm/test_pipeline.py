@@ -55,3 +55,26 @@ def test_clashing_columns(spark, documents):
     assert texts_left(corpus_pipeline.benchmark_leaks(spark, docs, SF_DIR)) == [(1, "some clean words")]
     mixed = corpus_pipeline.mix(spark, docs, SF_DIR)
     assert mixed.columns[-2:] == ["size", "copies"] and mixed.where("size = 3").count() in (0, 1) and mixed.schema["size"].dataType.typeName() == "long"
+
+
+def test_line_stage_deals_out_no_pairs_of_unlike_lines(spark, documents, monkeypatch):
+    """Lines that are alike below the border share bands; pairs of them grow with the square of their number."""
+    import random
+
+    rng = random.Random(8)
+    base = "".join(rng.choices("abcdefghijklmnop ", k=240))
+    rows = []
+    for k in range(90):
+        own = list(base)
+        for _ in range(10):
+            own[rng.randrange(240)] = rng.choice("0123456789")
+        rows.append((k, "x" + "".join(own)))
+    pairs = []
+
+    def near_pairs(own, met, near=corpus_pipeline.line_dedup.near_pairs):
+        pairs.append(met.count())
+        return near(own, met)
+
+    monkeypatch.setattr(corpus_pipeline.line_dedup, "near_pairs", near_pairs)
+    assert corpus_pipeline.lines(spark, documents(rows), SF_DIR).count() <= 90
+    assert 0 < sum(pairs) < 90 * 89 // 8
