@@ -14,19 +14,21 @@ from pyspark.sql import functions as F
 from logweir.llm.components import components
 from logweir.llm.idset import id_set, in_set
 from logweir.llm.parity import SLACK, near_pairs, parity
-from logweir.llm.postings import shared_postings
+from logweir.llm.postings import several_items
 from logweir.llm.scratch import written
 from logweir.llm.words import mix, rolling, seeds, signed, small_batches
 
 SHINGLE = 6
 PERCENT = 80
-# A pair of lines at the threshold shares at least one of the bands with a chance of 0.998, one at 90 % with 0.9999993.
-BANDS, BAND_ROWS = 16, 5
+# A pair of lines at the threshold shares at least one of the bands with a chance of 0.998, one at 90 % with 0.999997.
+BANDS, BAND_ROWS = 12, 4
 _BINS = BANDS * BAND_ROWS
 # Shingles of a set from which on one hash function serves all values of its signature.
 SMALL_SET = 512
 # Lines, and characters, of a band from which on it is compared in parts.
 PART_LINES, PART_CHARS = 1024, 4 << 20
+# A sketch has two bits of each of so many values. Lines at the threshold have fewer than the least number of them in common with a chance of some 10^-7.
+SKETCH, LEAST_COMMON = 32, 16
 _EMPTY = np.uint64((1 << 64) - 1)
 _BLOCK = 1 << 16
 
@@ -60,8 +62,13 @@ def _codes(text: str) -> np.ndarray:
 
 
 def _signatures(lines: list[str], size: int) -> list[np.ndarray]:
-    """Band keys of each line, a block of text at a time."""
-    out: list[np.ndarray] = []
+    """Band keys of each line."""
+    return [bands for bands, _ in _sketched(lines, size)]
+
+
+def _sketched(lines: list[str], size: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Band keys of each line, and with each the sketch of its signature, a block of text at a time."""
+    out: list[tuple[np.ndarray, np.ndarray]] = []
     k = 0
     while k < len(lines):
         j, total = k, 0
@@ -79,8 +86,13 @@ def _bands(values: np.ndarray, kind: int) -> np.ndarray:
     return mix(np.add.reduce(bands, axis=2) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03) + np.uint64(kind))
 
 
-def _block_signatures(lines: list[str], size: int) -> list[np.ndarray]:
-    """Band keys by the size of each line's set.
+def _sketches(values: np.ndarray) -> np.ndarray:
+    bits = mix(values[:, :SKETCH]) >> np.uint64(62)
+    return np.bitwise_or.reduce(bits << np.arange(0, 2 * SKETCH, 2, dtype=np.uint64), axis=1)
+
+
+def _block_signatures(lines: list[str], size: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Band keys and sketches by the size of each line's set.
 
     Small sets have one hash function per value: bins of a single one would mostly be empty, and then tell little.
     Large sets have one hash per shingle, the least of each bin. Sets within the similarity of the border have both.
@@ -104,7 +116,7 @@ def _block_signatures(lines: list[str], size: int) -> list[np.ndarray]:
         distinct[k] = len(_distinct(values[first[k]: first[k] + count[k]]))
     small = np.flatnonzero(distinct * PERCENT <= SMALL_SET * 100)
     large = np.flatnonzero(distinct * 100 >= SMALL_SET * PERCENT)
-    out: list[list[np.ndarray]] = [[] for _ in lines]
+    out: list[list[tuple[np.ndarray, np.uint64]]] = [[] for _ in lines]
     if len(small):
         own = values if len(small) == len(lines) else np.concatenate([values[first[k]: first[k] + count[k]] for k in small])
         starts = np.cumsum(count[small]) - count[small]
@@ -113,8 +125,8 @@ def _block_signatures(lines: list[str], size: int) -> list[np.ndarray]:
             spread = own * factor
             least[:, 2 * k] = np.minimum.reduceat((spread >> np.uint64(32)).astype(np.uint32), starts)
             least[:, 2 * k + 1] = np.minimum.reduceat(spread.astype(np.uint32), starts)
-        for k, bands in zip(small.tolist(), _bands(least, 1)):
-            out[k].append(bands)
+        for k, *made in zip(small.tolist(), _bands(least, 1), _sketches(least)):
+            out[k].append(made)
     if len(large):
         least = np.full((len(large), _BINS), _EMPTY)
         for row, k in enumerate(large.tolist()):
@@ -124,9 +136,9 @@ def _block_signatures(lines: list[str], size: int) -> list[np.ndarray]:
         following = np.minimum.accumulate(twice[:, ::-1], axis=1)[:, ::-1][:, :_BINS]
         away = (following - np.arange(_BINS)).astype(np.uint64)
         filled = np.take_along_axis(least, following % _BINS, axis=1) + away * np.uint64(0x9E3779B97F4A7C15)
-        for k, bands in zip(large.tolist(), _bands(filled, 2)):
-            out[k].append(bands)
-    return [np.concatenate(x) for x in out]
+        for k, *made in zip(large.tolist(), _bands(filled, 2), _sketches(filled)):
+            out[k].append(made)
+    return [(np.concatenate([bands for bands, _ in x]), np.repeat(np.array([sketch for _, sketch in x], np.uint64), BANDS)) for x in out]
 
 
 def _lower(flat: np.ndarray, row: np.ndarray, hashes: np.ndarray) -> None:
@@ -157,9 +169,24 @@ def _line_bands(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Rec
                 if (line := _norm(line)) and (own := _line_id(line)) not in told:
                     told.add(own)
                     lines.append(own), texts.append(line)
-        if made := _signatures(texts, size):
-            yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(made))), pa.array(np.repeat(np.array(lines, np.int64), [len(x) for x in made]))],
-                                             names=["band", "line"])
+        if made := _sketched(texts, size):
+            bands, sketches = (signed(np.concatenate(x)) for x in zip(*made))
+            yield pa.RecordBatch.from_arrays([pa.array(bands), pa.array(np.repeat(np.array(lines, np.int64), [len(x) for x, _ in made])), pa.array(sketches)],
+                                             names=["band", "line", "sketch"])
+
+
+def _near_postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of postings in order of their band, those with another line of it that can be similar by their sketches, and all of a long band."""
+    for rows, end in _cells(several_items(batches), 1):
+        line, sketch = rows.column("line").to_numpy(), rows.column("sketch").to_numpy().view(np.uint64)
+        lines = np.unique(end, return_counts=True)[1]
+        keep = np.repeat(lines > PART_LINES, lines)
+        for a, b in _pairs(np.where(keep, np.arange(len(end)) + 1, end)):
+            apart = sketch[a] ^ sketch[b]
+            apart = (apart | apart >> np.uint64(1)) & np.uint64(0x5555555555555555)
+            near = (np.bitwise_count(apart) <= SKETCH - LEAST_COMMON) & (line[a] != line[b])
+            keep[a[near]] = keep[b[near]] = True
+        yield from rows.select(["band", "line"]).filter(pa.array(keep)).combine_chunks().to_batches()
 
 
 def _line_texts(batches: Iterator[pa.RecordBatch], wanted: Broadcast) -> Iterator[pa.RecordBatch]:
@@ -209,14 +236,14 @@ def _linked(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Itera
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Rows in order of their cell (the first three columns) as tables of whole cells, with the end of each row's cell."""
+def _cells(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows in order of their cell (the first ``keys`` columns) as tables of whole cells, with the end of each row's cell."""
     held = None
     for batch in batches:
         if batch.num_rows == 0:
             continue
         rows = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
-        at = _cell_starts(rows)
+        at = _cell_starts(rows, keys)
         held = rows.slice(at[-1])
         if at[-1]:
             yield rows.slice(0, at[-1]), np.repeat(at[1:], np.diff(at))
@@ -224,15 +251,28 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.nda
         yield held, np.full(held.num_rows, held.num_rows)
 
 
-def _cell_starts(rows: pa.Table) -> np.ndarray:
+def _cell_starts(rows: pa.Table, keys: int) -> np.ndarray:
     new = np.zeros(rows.num_rows, bool)
     new[0] = True
-    for k in range(3):
+    for k in range(keys):
         key = rows.column(k).to_numpy()
         new[1:] |= key[1:] != key[:-1]
     return np.flatnonzero(new)
 
 
+def _pairs(end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of a row and a later one before its end, some at a time."""
+    after = end - np.arange(len(end)) - 1
+    upto = np.cumsum(after)
+    k = 0
+    while k < len(end):
+        j = max(k + 1, int(np.searchsorted(upto, (upto[k - 1] if k else 0) + _BLOCK, side="right")))
+        first = np.cumsum(after[k:j]) - after[k:j]
+        a = np.repeat(np.arange(k, j), after[k:j])
+        yield a, a + 1 + np.arange(len(a)) - np.repeat(first, after[k:j])
+        k = j
+
+
 def _parity_words(lists: pa.ChunkedArray) -> tuple[np.ndarray, dict[int, np.ndarray]]:
     """The words of each row's parity, and for each number of words all parities of as many or more, folded to it."""
     own = [x.values.to_numpy().view(np.uint64) for x in lists]
@@ -251,15 +291,7 @@ def _near_in_cells(rows: pa.Table, end: np.ndarray, percent: int) -> Iterator[tu
     low, high, part, component, n = (rows.column(k).to_numpy() for k in ("low", "high", "part", "component", "n"))
     words, folds = _parity_words(rows.column("parity"))
     reach = 1 - percent / 100 + SLACK
-    after = end - np.arange(len(end)) - 1
-    upto = np.cumsum(after)
-    k = 0
-    while k < len(end):
-        j = max(k + 1, int(np.searchsorted(upto, (upto[k - 1] if k else 0) + _BLOCK, side="right")))
-        first = np.cumsum(after[k:j]) - after[k:j]
-        a = np.repeat(np.arange(k, j), after[k:j])
-        b = a + 1 + np.arange(len(a)) - np.repeat(first, after[k:j])
-        k = j
+    for a, b in _pairs(end):
         meet = (component[a] != component[b]) & ((low[a] == high[a]) | (part[a] != part[b]))
         meet &= 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
         a, b = a[meet], b[meet]
@@ -273,7 +305,7 @@ def _near_in_cells(rows: pa.Table, end: np.ndarray, percent: int) -> Iterator[tu
 
 def _linked_in_cells(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
     """Links between similar rows of a cell that are of different components; none between components that the task has linked already."""
-    for rows, end in _cells(batches):
+    for rows, end in _cells(batches, 3):
         top: dict[int, int] = {}
         made: dict[int, np.ndarray] = {}
 
@@ -307,8 +339,9 @@ def line_components(texts: DataFrame, size: int, percent: int) -> DataFrame:
     compared where its lines meet, so no pair that shares a band is left out and no pair is written that
     is not a link. Bands of many lines are cut into parts, and each two parts meet in a cell of their own.
     """
-    bands = texts.mapInArrow(partial(_line_bands, size=size), "band long, line long")
-    shared = written(shared_postings(bands).distinct(), "shared")
+    bands = texts.mapInArrow(partial(_line_bands, size=size), "band long, line long, sketch long")
+    near = bands.repartition("band").sortWithinPartitions("band").mapInArrow(_near_postings, "band long, line long")
+    shared = written(near.distinct(), "shared")
     wanted = written(shared.select("line").distinct(), "wanted")
     told = (texts.mapInArrow(partial(_line_texts, wanted=id_set(wanted)), "line long, text string").join(wanted, "line", "left_semi")
             .groupBy("line").agg(F.min("text").alias("text")))

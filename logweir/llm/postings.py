@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def several_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of postings in order of their key, those whose key several items have."""
     held, last, is_open = None, None, False
     for batch in batches:
@@ -32,4 +32,4 @@ def shared_postings(postings: DataFrame) -> DataFrame:
     Keys are dealt and sorted once and then streamed; a key with any number of items is never held.
     """
     key = postings.columns[0]
-    return postings.repartition(key).sortWithinPartitions(key).mapInArrow(_shared, postings.schema)
+    return postings.repartition(key).sortWithinPartitions(key).mapInArrow(several_items, postings.schema)

@@ -172,3 +172,33 @@ def test_lines_of_different_groups_are_linked_in_cells(monkeypatch):
     for a, b in [(0, 1), (4, 5), *out]:
         top = [top[b] if x == top[a] else x for x in top]
     assert len(set(top[:6])) == 1 and top[6] != top[0] and len(out) == 3
+
+
+def test_near_lines_have_near_sketches_and_others_leave_their_band():
+    """Of lines that share a band all similar ones go on, those with nothing else in common do not."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    lines = []
+    for length in (20, 60, 300, 460, 700):
+        for _ in range(40):
+            line = "".join(rng.choices("abcdefghij ", k=length)).strip()
+            lines += [line, changed(rng, line, 0.01).strip()]
+    lines = list(dict.fromkeys(lines))
+    made = line_dedup._sketched(lines, 6)
+    band, sketch = (np.concatenate(x) for x in zip(*made))
+    line = np.repeat(np.arange(len(lines)), [len(x) for x, _ in made])
+    band = np.where(np.arange(len(band)) % 12 == 0, np.uint64(5), band)
+    order = np.argsort(band.view(np.int64), kind="stable")
+    rows = pa.RecordBatch.from_arrays([pa.array(x[order].view(np.int64)) for x in (band, line, sketch)], names=["band", "line", "sketch"])
+    left, groups = {}, {}
+    for batch in line_dedup._near_postings(iter([rows.slice(0, 100), rows.slice(100)])):
+        for b, x in zip(*(c.to_pylist() for c in batch.columns)):
+            left.setdefault(b, set()).add(x)
+    for b, x in zip(band.view(np.int64).tolist(), line.tolist()):
+        groups.setdefault(b, set()).add(x)
+    shapes = [sets(x) for x in lines]
+    near = {b: {x for x in g if any(x != y and len(shapes[x] & shapes[y]) >= 0.8 * len(shapes[x] | shapes[y]) for y in g)} for b, g in groups.items()}
+    assert len(near[5]) > 50 and all(g <= left.get(b, set()) for b, g in near.items())
+    assert len(left[5]) < len(groups[5])
